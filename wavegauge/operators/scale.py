@@ -144,17 +144,25 @@ def ranked_quantiles(df: DataFrame, keys: list[str], spec: dict[str, dict[str, f
     names = [n for s in spec.values() for n in s]
     return wide.select(
         *keys,
-        *[((1 - F.col(f"_f_{n}")) * F.col(f"_lo_{n}") + F.col(f"_f_{n}") * F.col(f"_hi_{n}")).alias(n) for n in names],
+        *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in names],
     )
 
 
-def quantile_columns(spec: dict[str, dict[str, float]]) -> list[Column]:
-    """The same quantiles as plain aggregates, for groups known to be small."""
-    out = []
+def sorted_lists(spec: dict[str, dict[str, float]]) -> list[Column]:
+    """One sorted array per value column, for groups known to be small; feeds ``pick_quantiles``."""
+    return [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_sorted_{c}") for c in spec]
+
+
+def pick_quantiles(df: DataFrame, spec: dict[str, dict[str, float]]) -> DataFrame:
+    """Replace the sorted arrays by linearly interpolated quantiles."""
+    picked = {}
     for c, names in spec.items():
+        a = f"`_sorted_{c}`"
         for name, p in names.items():
-            out.append(F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(name))
-    return out
+            h = f"((size({a}) - 1) * {float(p)!r}D)"
+            lo, hi = f"get({a}, cast(floor({h}) as int))", f"get({a}, cast(ceil({h}) as int))"
+            picked[name] = F.expr(f"{lo} + ({hi} - {lo}) * ({h} - floor({h}))")
+    return df.withColumns(picked).drop(*[f"_sorted_{c}" for c in spec])
 
 
 def grouped_quantiles(
@@ -171,7 +179,7 @@ def grouped_quantiles(
     """
     extra = extra or []
     if largest_group(df, keys) <= hot_rows:
-        return df.groupBy(*keys).agg(*extra, *quantile_columns(spec))
+        return pick_quantiles(df.groupBy(*keys).agg(*extra, *sorted_lists(spec)), spec)
     ranked = ranked_quantiles(df, keys, spec)
     if not extra:
         base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()

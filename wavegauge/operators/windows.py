@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, require_columns
-from .scale import HOT_GROUP_ROWS, largest_group, null_safe_join, quantile_columns, ranked_quantiles
+from .scale import HOT_GROUP_ROWS, largest_group, null_safe_join, pick_quantiles, ranked_quantiles, sorted_lists
 
 # Measured columns, window quantiles and counted event types.
 SAMPLE_COLUMNS = [
@@ -132,7 +132,7 @@ def window_features(
     bins = samples.select("ue_id", "phase_id", F.floor(F.col("time_s") / widest).alias("_bin"))
     if 2 * largest_group(bins, ["ue_id", "phase_id", "_bin"]) <= hot_rows:
         mode = F.mode("serving_cell_id", True).cast("int").alias("serving_cell_mode")
-        feats = placed.groupBy(*keys).agg(*plain, mode, *quantile_columns(spec))
+        feats = pick_quantiles(placed.groupBy(*keys).agg(*plain, mode, *sorted_lists(spec)), spec)
     else:
         feats = placed.groupBy(*keys).agg(*plain)
         feats = null_safe_join(feats, ranked_quantiles(placed, WINDOW_KEYS, spec), WINDOW_KEYS)

@@ -9,6 +9,7 @@ from ..operators import labels as L
 from ..operators import ranking as M
 from ..operators.scale import grouped_quantiles
 from ..operators.windows import DERIVED, SAMPLE_COLUMNS, count_columns, drop_family_sets, window_features
+from ..session import materialise
 from . import adapter as A
 from .registry import i, query, r, tidy
 
@@ -158,11 +159,13 @@ scored AS (""" + " UNION ALL ".join(
 ) + ")"
 
 
-def scored(spark, d, extra=()):
+def scored(spark, d):
     """Long score table of three simple detectors; scores have many ties."""
     base = labelled(spark, d)
     stack = F.array(*[F.struct(F.lit(n).alias("detector"), F.round(F.expr(e).cast("double"), 9).alias("score")) for n, e in DETECTORS.items()])
-    return base.withColumn("_d", F.explode(stack)).withColumns({"detector": F.col("_d.detector"), "score": F.col("_d.score")}).drop("_d")
+    base = base.select("phase_id", "scenario_name", "t_mid_s", "t_end_s", "active_ids", "label_anomaly", stack.alias("_d"))
+    base = materialise(base, "scored")  # metrics read the scores several times
+    return base.withColumn("_d", F.explode("_d")).withColumns({"detector": F.col("_d.detector"), "score": F.col("_d.score")}).drop("_d")
 
 
 def ap_sql(src: str, keys: str, label: str, score: str = "score") -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "wave
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -28,13 +31,15 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "wave
     return spark
 
 
+@lru_cache(maxsize=1)
+def _local_fallback() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a scratch folder only where none is set."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return folder or _local_fallback()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
