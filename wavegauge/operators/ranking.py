@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, ratio
-from .scale import dense_position, grouped_quantiles, null_safe_join, prefix_sum
+from .scale import HOT_GROUP_ROWS, dense_position, grouped_quantiles, largest_group, null_safe_join, prefix_sum
 
 
-def ranking_metrics(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
+def ranking_metrics(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", weight: str | None = None, small: bool | None = None) -> DataFrame:
     """Average precision and ROC-AUC per key over distinct score thresholds; NULL for one class.
 
     Rows are first collapsed to one row per distinct score, then accumulated with ``prefix_sum``.
@@ -19,7 +19,7 @@ def ranking_metrics(df: DataFrame, keys: list[str], score: str = "score", label:
     steps = d.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
         F.sum(F.col(label).cast("long") * w).alias("_pos"), F.sum(w.cast("long")).alias("_n")
     )
-    r = prefix_sum(steps, keys, "_score", ["_pos", "_n"], descending=True)
+    r = prefix_sum(steps, keys, "_score", ["_pos", "_n"], descending=True, small=small)
     neg = F.col("_n") - F.col("_pos")
     above = F.col("cum__pos") - F.col("_pos")
     out = r.groupBy(*keys).agg(
@@ -94,12 +94,14 @@ def bootstrap_ap(
         *keys, F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y")
     )
     strata = [*keys, "_y"] if stratify else list(keys)
+    # A replicate has no more distinct scores than its source, so one measurement serves all steps.
+    small = True if largest_group(d, keys) <= HOT_GROUP_ROWS else None
     if stratify:
-        pos = dense_position(d, strata, "_s")
+        pos = dense_position(d, strata, "_s", small=small)
     else:
         # One stratum: order by score, negatives first inside a tie.
         both = d.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_p"))
-        r = prefix_sum(both, keys, "_s", ["_n"])
+        r = prefix_sum(both, keys, "_s", ["_n"], small=small)
         pos = r.select(
             *keys, "_s", F.col("tot__n").alias("n"), F.col("_n") , F.col("_p"), (F.col("cum__n") - F.col("_n")).alias("_first")
         ).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(
@@ -109,11 +111,12 @@ def bootstrap_ap(
     salt = F.col("_y").cast("string") if stratify else F.lit("all")
     picks = resample_positions(sizes, strata, "n", "n", reps, salt)
     hit = null_safe_join(picks, pos.drop("n"), [*strata, "pos"], "inner")
-    per_rep = ranking_metrics(hit, [*keys, "rep"], "_s", "_y", weight="picks").where(F.col("ap").isNotNull())
+    per_rep = ranking_metrics(hit, [*keys, "rep"], "_s", "_y", weight="picks", small=small).where(F.col("ap").isNotNull())
     ci = grouped_quantiles(
-        per_rep, keys, {"ap": {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2}}, [F.count(F.lit(1)).alias("n_valid")]
+        per_rep, keys, {"ap": {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2}}, [F.count(F.lit(1)).alias("n_valid")],
+        small=True,  # at most one row per replicate
     )
-    point = ranking_metrics(d, keys, "_s", "_y").select(*keys, "ap", "n_pos", "n_neg")
+    point = ranking_metrics(d, keys, "_s", "_y", small=small).select(*keys, "ap", "n_pos", "n_neg")
     return null_safe_join(point, ci, keys).withColumn("n_valid", F.coalesce("n_valid", F.lit(0).cast("long")))
 
 
@@ -125,7 +128,8 @@ def bootstrap_statistic(
     Groups with fewer than ``min_rows`` values keep NULL bounds.
     """
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    pos = dense_position(d, keys, "_v")
+    small = True if largest_group(d, keys) <= HOT_GROUP_ROWS else None
+    pos = dense_position(d, keys, "_v", small=small)
     sizes = pos.groupBy(*keys).agg(F.max("n").alias("n"))
     salt = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
     picks = resample_positions(sizes, keys, "n", "n", reps, salt)
@@ -133,18 +137,18 @@ def bootstrap_statistic(
     if stat == "mean":
         rep = hit.groupBy(*keys, "rep").agg((F.sum(F.col("_v") * F.col("picks")) / F.sum("picks")).alias("_b"))
     else:
-        rep = _weighted_median(hit, [*keys, "rep"])
-    ci = grouped_quantiles(rep, keys, {"_b": {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2}})
+        rep = _weighted_median(hit, [*keys, "rep"], small)
+    ci = grouped_quantiles(rep, keys, {"_b": {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2}}, small=True)
     centre = {"_v": {"median": 0.5}}
-    point = grouped_quantiles(d, keys, centre, [F.count(F.lit(1)).alias("n_obs"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std")])
+    point = grouped_quantiles(d, keys, centre, [F.count(F.lit(1)).alias("n_obs"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std")], small=small)
     out = null_safe_join(point, ci, keys)
     enough = F.col("n_obs") >= min_rows
     return out.withColumns({c: F.when(enough, F.col(c)) for c in ("ci_low", "ci_high")})
 
 
-def _weighted_median(hit: DataFrame, keys: list[str]) -> DataFrame:
+def _weighted_median(hit: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
     steps = hit.groupBy(*keys, "_v").agg(F.sum("picks").alias("n"))
-    r = prefix_sum(steps, keys, "_v", ["n"])
+    r = prefix_sum(steps, keys, "_v", ["n"], small=small)
     lo, hi = F.floor((F.col("tot_n") - 1) / 2), F.ceil((F.col("tot_n") - 1) / 2)
 
     def at(rank: Column) -> Column:

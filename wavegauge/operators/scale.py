@@ -70,12 +70,19 @@ def prefix_sum(
     descending: bool = False,
     with_next: bool = False,
     buckets: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Inclusive running totals per key in the order of a numeric column.
 
     ``df`` must hold one row per (keys, order value). Adds ``cum_<c>`` and ``tot_<c>`` for every
     column in ``sums``; ``with_next`` adds ``next_<order>``, the following value in ascending order.
+    Keys measured (or known by the caller, ``small``) to hold at most ``HOT_GROUP_ROWS`` rows are
+    ordered whole; otherwise every key is cut into value buckets.
     """
+    if small is None:
+        small = buckets is None and largest_group(df, keys) <= HOT_GROUP_ROWS
+    if small:
+        return _plain_prefix_sum(df, keys, order, sums, descending, with_next)
     n = buckets or bucket_count(df.sparkSession)
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(order, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("_cuts")
@@ -107,19 +114,31 @@ def prefix_sum(
     return out.drop("_bucket", "_next_lowest", *[f"_off_{c}" for c in sums])
 
 
-def dense_position(df: DataFrame, keys: list[str], order: str, out: str = "pos") -> DataFrame:
+def _plain_prefix_sum(df: DataFrame, keys: list[str], order: str, sums: list[str], descending: bool, with_next: bool) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    by = F.col(order).desc() if descending else F.col(order)
+    upto = w.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    new = {f"cum_{c}": F.sum(c).over(upto) for c in sums} | {f"tot_{c}": F.sum(c).over(w) for c in sums}
+    if with_next:
+        new[f"next_{order}"] = F.lead(order).over(w.orderBy(order))
+    return df.withColumns(new)
+
+
+def dense_position(df: DataFrame, keys: list[str], order: str, out: str = "pos", small: bool | None = None) -> DataFrame:
     """0-based row position per key in ``order`` (ties get consecutive positions), no global window.
 
     Returns one row per input row with columns keys, ``order`` and ``out``.
     """
     counts = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sum(counts, keys, order, ["n"])
+    ranked = prefix_sum(counts, keys, order, ["n"], small=small)
     return ranked.select(
         *keys, order, F.explode(F.sequence(F.col("cum_n") - F.col("n"), F.col("cum_n") - 1)).alias(out), F.col("tot_n").alias("n")
     )
 
 
-def ranked_quantiles(df: DataFrame, keys: list[str], spec: dict[str, dict[str, float]]) -> DataFrame:
+def ranked_quantiles(
+    df: DataFrame, keys: list[str], spec: dict[str, dict[str, float]], buckets: int | None = None
+) -> DataFrame:
     """Exact linear-interpolation quantiles by rank selection; no group is ever held in one task.
 
     ``spec`` maps value column -> {output name: probability}. NULLs are ignored.
@@ -130,7 +149,7 @@ def ranked_quantiles(df: DataFrame, keys: list[str], spec: dict[str, dict[str, f
         F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("_x"),
     ).select(*keys, F.col("_x._c").alias("_c"), F.col("_x._v").alias("_v"))
     counts = long.where(F.col("_v").isNotNull()).groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sum(counts, [*keys, "_c"], "_v", ["n"])
+    ranked = prefix_sum(counts, [*keys, "_c"], "_v", ["n"], buckets=buckets)
     picks = []
     for c, names in spec.items():
         for name, p in names.items():
@@ -171,6 +190,7 @@ def grouped_quantiles(
     spec: dict[str, dict[str, float]],
     extra: list[Column] | None = None,
     hot_rows: int = HOT_GROUP_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Exact quantiles per group plus plain aggregates ``extra``.
 
@@ -178,7 +198,7 @@ def grouped_quantiles(
     otherwise ranks are selected from distributed running counts. Both give the same numbers.
     """
     extra = extra or []
-    if largest_group(df, keys) <= hot_rows:
+    if small or (small is None and largest_group(df, keys) <= hot_rows):
         return pick_quantiles(df.groupBy(*keys).agg(*extra, *sorted_lists(spec)), spec)
     ranked = ranked_quantiles(df, keys, spec)
     if not extra:
