@@ -136,10 +136,15 @@ def dense_position(df: DataFrame, keys: list[str], order: str, out: str = "pos",
     )
 
 
+def _rank(n: str, p: float, midpoint: bool) -> str:
+    """0-based fractional rank: linear interpolation, or plotting positions (k - 0.5) / n."""
+    return f"greatest(0D, least({n} - 1, {n} * {p!r}D - 0.5D))" if midpoint else f"(({n} - 1) * {p!r}D)"
+
+
 def ranked_quantiles(
-    df: DataFrame, keys: list[str], spec: dict[str, dict[str, float]], buckets: int | None = None
+    df: DataFrame, keys: list[str], spec: dict[str, dict[str, float]], buckets: int | None = None, midpoint: bool = False
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles by rank selection; no group is ever held in one task.
+    """Exact interpolated quantiles by rank selection; no group is ever held in one task.
 
     ``spec`` maps value column -> {output name: probability}. NULLs are ignored.
     """
@@ -153,7 +158,7 @@ def ranked_quantiles(
     picks = []
     for c, names in spec.items():
         for name, p in names.items():
-            h = (F.col("tot_n") - 1) * F.lit(float(p))
+            h = F.expr(_rank("tot_n", float(p), midpoint))
             here = F.col("_c") == c
             for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
                 hit = here & (F.col("cum_n") > r) & (F.col("cum_n") - F.col("n") <= r)
@@ -172,13 +177,13 @@ def sorted_lists(spec: dict[str, dict[str, float]]) -> list[Column]:
     return [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_sorted_{c}") for c in spec]
 
 
-def pick_quantiles(df: DataFrame, spec: dict[str, dict[str, float]]) -> DataFrame:
-    """Replace the sorted arrays by linearly interpolated quantiles."""
+def pick_quantiles(df: DataFrame, spec: dict[str, dict[str, float]], midpoint: bool = False) -> DataFrame:
+    """Replace the sorted arrays by interpolated quantiles."""
     picked = {}
     for c, names in spec.items():
         a = f"`_sorted_{c}`"
         for name, p in names.items():
-            h = f"((size({a}) - 1) * {float(p)!r}D)"
+            h = _rank(f"size({a})", float(p), midpoint)
             lo, hi = f"get({a}, cast(floor({h}) as int))", f"get({a}, cast(ceil({h}) as int))"
             picked[name] = F.expr(f"{lo} + ({hi} - {lo}) * ({h} - floor({h}))")
     return df.withColumns(picked).drop(*[f"_sorted_{c}" for c in spec])
@@ -191,6 +196,7 @@ def grouped_quantiles(
     extra: list[Column] | None = None,
     hot_rows: int = HOT_GROUP_ROWS,
     small: bool | None = None,
+    midpoint: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group plus plain aggregates ``extra``.
 
@@ -199,8 +205,8 @@ def grouped_quantiles(
     """
     extra = extra or []
     if small or (small is None and largest_group(df, keys) <= hot_rows):
-        return pick_quantiles(df.groupBy(*keys).agg(*extra, *sorted_lists(spec)), spec)
-    ranked = ranked_quantiles(df, keys, spec)
+        return pick_quantiles(df.groupBy(*keys).agg(*extra, *sorted_lists(spec)), spec, midpoint)
+    ranked = ranked_quantiles(df, keys, spec, midpoint=midpoint)
     if not extra:
         base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
         return null_safe_join(base, ranked, keys, "left") if keys else ranked
