@@ -10,7 +10,7 @@ from .control import cell_transitions
 from .ranking import thresholds
 from .scorers import Model, moments
 
-DISCLAIMER = "synthetic"
+DISCLAIMER = "no ground-truth labels available"
 FLEET = ["rsrp_mean", "sinr_mean", "ho_rate", "n_cells"]
 
 

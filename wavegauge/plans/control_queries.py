@@ -32,14 +32,14 @@ def q_top2(spark, d):
     f"""WITH {A.SAMPLES_SQL}, x AS (SELECT ue_id, serving_cell_id AS cell, event_id, time_s, CASE WHEN k % 7 <> 0 OR k % 2 = 0 AND user_id % 3 > 0 THEN rsrp_serving_dbm END AS v FROM samples),
 n AS (SELECT *, count(v) OVER (PARTITION BY ue_id, cell ORDER BY time_s, event_id) AS c FROM x),
 g AS (SELECT ue_id, cell, v, c FROM n WHERE v IS NOT NULL),
-f AS (SELECT a.ue_id, a.cell, a.c, sum(CASE WHEN b.c = 1 THEN b.v * pow(0.5, a.c - 1) ELSE 0.5 * pow(0.5, a.c - b.c) * b.v END) AS f FROM g a JOIN g b ON a.ue_id = b.ue_id AND a.cell = b.cell AND b.c <= a.c GROUP BY 1, 2, 3)
+f AS (SELECT a.ue_id, a.cell, a.c, sum(CASE WHEN b.c = 1 THEN b.v * pow(0.65432109::DOUBLE, a.c - 1) ELSE 0.34567891::DOUBLE * pow(0.65432109::DOUBLE, a.c - b.c) * b.v END) AS f FROM g a JOIN g b ON a.ue_id = b.ue_id AND a.cell = b.cell AND b.c <= a.c GROUP BY 1, 2, 3)
 SELECT event_id, round(f.f, 6) AS smoothed FROM n LEFT JOIN f ON f.ue_id = n.ue_id AND f.cell = n.cell AND f.c = n.c""",
 )
 def q_smooth(spark, d):
     t = A.telemetry(spark, d)
     v = F.when((F.col("k") % 7 != 0) | ((F.col("k") % 2 == 0) & (F.col("user_id") % 3 > 0)), F.col("rsrp_serving_dbm"))
     x = t.select("ue_id", F.col("serving_cell_id").alias("cell"), "event_id", "time_s", v.alias("v"))
-    return tidy(C.smooth(x, ["ue_id", "cell"], "time_s", "v", 0.5, chunk=72.0, tie="event_id").select("event_id", "smoothed"))
+    return tidy(C.smooth(x, ["ue_id", "cell"], "time_s", "v", 0.34567891, chunk=72.0, tie="event_id").select("event_id", "smoothed"))
 
 
 @query(
