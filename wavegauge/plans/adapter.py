@@ -49,7 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event row with the measurement and configuration columns of a telemetry sample."""
-    e = table(spark, sf_dir, "events")
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(e: DataFrame) -> DataFrame:
+    """The same columns for any event table, batch or stream."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     k = F.get_json_object("props", "$.k").cast("int")
     d = e.select(
