@@ -190,6 +190,8 @@ def replay(
         m = scorer(columns, key).fit(pool)
         return m, time.process_time() - t0
 
+    windows = windows.select(*dict.fromkeys([*key, "phase_id", "t_mid_s", "t_end_s", "label_anomaly", *columns]))
+    post = windows.where(F.col("phase_id") > warmup_phase)
     model, cpu = fit(warm)
     models, times = [model], []
     log = [(name, float(head["t"]), "warmup", int(head["n"]), int(head["n"]), cpu)]

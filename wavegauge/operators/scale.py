@@ -179,14 +179,15 @@ def sorted_lists(spec: dict[str, dict[str, float]]) -> list[Column]:
 
 def pick_quantiles(df: DataFrame, spec: dict[str, dict[str, float]], midpoint: bool = False) -> DataFrame:
     """Replace the sorted arrays by interpolated quantiles."""
-    picked = {}
+    picked = []
     for c, names in spec.items():
         a = f"`_sorted_{c}`"
         for name, p in names.items():
             h = _rank(f"size({a})", float(p), midpoint)
             lo, hi = f"get({a}, cast(floor({h}) as int))", f"get({a}, cast(ceil({h}) as int))"
-            picked[name] = F.expr(f"{lo} + ({hi} - {lo}) * ({h} - floor({h}))")
-    return df.withColumns(picked).drop(*[f"_sorted_{c}" for c in spec])
+            picked.append(f"{lo} + ({hi} - {lo}) * ({h} - floor({h})) as `{name}`")
+    keep = [f"`{c}`" for c in df.columns if c not in {f"_sorted_{v}" for v in spec}]
+    return df.selectExpr(*keep, *picked)
 
 
 def grouped_quantiles(

@@ -37,6 +37,9 @@ def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFr
     return df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key).limit(n).drop("_h")
 
 
+# The JVM-side expressions below are SQL text: 34 columns cost one parse each instead of many calls.
+
+
 class Preprocessor:
     """Median imputation, then standardisation by the population deviation; fitted on train only.
 
@@ -46,24 +49,27 @@ class Preprocessor:
     def __init__(self, columns: list[str], scale: bool = True):
         self.columns, self.scale = columns, scale
 
-    def fit(self, train: DataFrame) -> "Preprocessor":
+    def fit(self, train: DataFrame, small: bool | None = None) -> "Preprocessor":
         cols = self.columns
-        num = train.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        med = grouped_quantiles(num, [], {c: {f"{c}__med": 0.5} for c in cols}).first()
+        num = train.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in cols])
+        med = grouped_quantiles(num, [], {c: {f"{c}__med": 0.5} for c in cols}, small=small).first()
         self.median = [med[f"{c}__med"] for c in cols]
         self.empty = [c for c, m in zip(cols, self.median) if m is None]
-        filled = [F.coalesce(F.col(c), F.lit(m if m is not None else 0.0)) for c, m in zip(cols, self.median)]
-        row = num.agg(*[F.avg(x).alias(f"m{k}") for k, x in enumerate(filled)], *[F.stddev_pop(x).alias(f"s{k}") for k, x in enumerate(filled)]).first()
-        self.mean = [row[f"m{k}"] if self.scale else 0.0 for k in range(len(cols))]
-        self.std = [(row[f"s{k}"] or 1.0) if self.scale else 1.0 for k in range(len(cols))]
+        self.mean, self.std = [0.0] * len(cols), [1.0] * len(cols)
+        if self.scale:
+            filled = [self._filled(k) for k in range(len(cols))]
+            row = num.selectExpr(*[f"avg({x}) as m{k}" for k, x in enumerate(filled)], *[f"stddev_pop({x}) as s{k}" for k, x in enumerate(filled)]).first()
+            self.mean = [row[f"m{k}"] or 0.0 for k in range(len(cols))]
+            self.std = [row[f"s{k}"] or 1.0 for k in range(len(cols))]
         return self
 
+    def _filled(self, k: int) -> str:
+        m = self.median[k]
+        return f"coalesce(cast(`{self.columns[k]}` as double), {float(m if m is not None else 0.0)!r}D)"
+
     def vector(self) -> Column:
-        parts = []
-        for c, md, m, s in zip(self.columns, self.median, self.mean, self.std):
-            x = F.coalesce(F.col(c).cast("double"), F.lit(float(md if md is not None else 0.0)))
-            parts.append((x - F.lit(float(m))) / F.lit(float(s)))
-        return F.array(*parts)
+        parts = [f"({self._filled(k)} - {float(m)!r}D) / {float(s)!r}D" for k, (m, s) in enumerate(zip(self.mean, self.std))]
+        return F.expr(f"array({', '.join(parts)})")
 
 
 def moments(vectors: DataFrame, d: int, col: str = "x") -> tuple[int, np.ndarray, np.ndarray]:
@@ -120,10 +126,17 @@ class PcaScorer(Scorer):
         super().__init__(columns, key)
         self.components, self.preprocess = components, preprocess
 
-    def fit(self, train: DataFrame) -> Model:
-        pre = Preprocessor(self.columns).fit(train)
+    def fit(self, train: DataFrame, small: bool | None = None) -> Model:
+        """Medians, then one pass for sums and products of the filled columns."""
+        pre = Preprocessor(self.columns, scale=False).fit(train, small)
         d = len(self.columns)
-        n, _, gram = moments(train.select(pre.vector().alias("x")), d)
+        n, s, g = moments(train.select(pre.vector().alias("x")), d)
+        mean = s / max(n, 1)
+        cov = g / max(n, 1) - np.outer(mean, mean)
+        var = np.diag(cov)
+        std = np.where(var > 1e-12 * np.maximum(1.0, mean**2), np.sqrt(np.maximum(var, 0.0)), 1.0)
+        pre.mean, pre.std = mean.tolist(), std.tolist()
+        gram = n * cov / np.outer(std, std)
         k = max(1, min(self.components, min(n, d) - 1))
         basis = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
         return Model(pre, lambda m: ((m - m @ basis @ basis.T) ** 2).mean(1))

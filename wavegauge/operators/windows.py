@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, require_columns
+from ..functions.columns import require_columns
 from .scale import HOT_GROUP_ROWS, largest_group, null_safe_join, pick_quantiles, ranked_quantiles, sorted_lists
 
 # Measured columns, window quantiles and counted event types.
@@ -75,28 +75,28 @@ def place_in_windows(rows: DataFrame, bounds: DataFrame, time: str, sizes: list[
     Windows start at t_min + k * slide of their own (ue, phase) and are half-open. The window index
     range is computed from the row time, widened by one and checked against the exact boundaries.
     """
-    spec = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(s)).alias("s")) for w, s in sizes])
-    d = null_safe_join(rows, bounds, ["ue_id", "phase_id"], "inner")
-    d = d.withColumn("_size", F.explode(spec)).withColumns({"window_s": F.col("_size.w"), "_slide": F.col("_size.s")})
-    rel = F.col(time) - F.col("_t_min")
-    k_hi = F.floor(rel / F.col("_slide")) + 1
-    k_lo = F.greatest(F.lit(0).cast("long"), F.floor((rel - F.col("window_s")) / F.col("_slide")))
-    d = d.where(k_hi >= 0).withColumn("window_id", F.explode(F.sequence(k_lo, F.greatest(k_lo, k_hi))))
-    d = d.withColumn("t_start_s", F.col("_t_min") + F.col("window_id") * F.col("_slide"))
-    d = d.withColumn("t_end_s", F.col("t_start_s") + F.col("window_s"))
-    inside = (F.col(time) >= F.col("t_start_s")) & (F.col(time) < F.col("t_end_s"))
-    started = F.col("t_start_s") < F.col("_t_max") - F.col("window_s") + EPS
-    return d.where(inside & started).drop("_size", "_slide", "_t_min", "_t_max")
-
-
-def event_rates(window: Column) -> list[Column]:
+    spec = ", ".join(f"struct({float(w)!r}D as w, {float(s)!r}D as s)" for w, s in sizes)
+    rel = f"({time} - _t_min)"
+    lo = f"greatest(0L, floor(({rel} - _size.w) / _size.s))"
+    keep = [c for c in [*rows.columns, *bounds.columns] if c not in ("_t_min", "_t_max")]
+    keep = ", ".join(dict.fromkeys(keep))
+    d = null_safe_join(rows, bounds, ["ue_id", "phase_id"], "inner").selectExpr("*", f"explode(array({spec})) as _size")
+    d = d.where(f"{rel} >= -_size.s").selectExpr(
+        "*", f"explode(sequence({lo}, greatest({lo}, floor({rel} / _size.s) + 1))) as window_id"
+    )
+    d = d.selectExpr("*", "_size.w as window_s", "_t_min + window_id * _size.s as t_start_s").selectExpr("*", "t_start_s + window_s as t_end_s")
+    d = d.where(f"{time} >= t_start_s AND {time} < t_end_s AND t_start_s < _t_max - window_s + {EPS!r}D")
+    return d.selectExpr(*keep.split(", "), "window_s", "window_id", "t_start_s", "t_end_s")
+
+
+def event_rates(window: str) -> list[str]:
     """Success ratio (NULL without outcomes) and per-time-unit rates from the window counts."""
-    s, f = F.col("n_ho_success"), F.col("n_ho_fail")
+    done = "n_ho_success + n_ho_fail"
     return [
-        ratio(s, s + f).alias("hosr"),
-        (f / window).alias("hofr_rate"),
-        (F.col("n_rlf") / window).alias("rlf_rate"),
-        (F.col("n_ping_pong") / window).alias("ping_pong_rate"),
+        f"CASE WHEN {done} > 0 THEN n_ho_success / ({done}) END as hosr",
+        f"n_ho_fail / {window} as hofr_rate",
+        f"n_rlf / {window} as rlf_rate",
+        f"n_ping_pong / {window} as ping_pong_rate",
     ]
 
 
@@ -145,10 +145,10 @@ def window_features(
         events.select("ue_id", "phase_id", "event_time_s", "event_type"), bounds.drop("scenario_name"), "event_time_s", sizes
     )
     counts = hits.groupBy(*WINDOW_KEYS).agg(
-        *[F.count(F.when(F.col("event_type") == e, 1)).alias(c) for e, c in zip(EVENT_TYPES, count_columns())]
+        *[F.expr(f"count(CASE WHEN event_type = '{e}' THEN 1 END) as {c}") for e, c in zip(EVENT_TYPES, count_columns())]
     )
     out = null_safe_join(feats, counts, WINDOW_KEYS, "left").fillna(0, count_columns())
-    return out.select(
+    return out.selectExpr(
         "ue_id",
         "phase_id",
         "scenario_name",
@@ -156,7 +156,7 @@ def window_features(
         "window_id",
         "t_start_s",
         "t_end_s",
-        (F.col("t_start_s") + F.col("window_s") / 2).alias("t_mid_s"),
+        "t_start_s + window_s / 2 as t_mid_s",
         *[c for c in feature_columns() if c not in DERIVED],
-        *event_rates(F.col("window_s")),
+        *event_rates("window_s"),
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Fixed values of the fixture: one day is a phase, one hour a time unit.
 SCENARIOS = {
@@ -54,52 +53,21 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry_of(e: DataFrame) -> DataFrame:
     """The same columns for any event table, batch or stream."""
-    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
-    k = F.get_json_object("props", "$.k").cast("int")
-    d = e.select(
-        F.col("event_id"),
-        F.col("ts"),
-        F.col("user_id"),
-        (F.col("user_id") % 10).alias("ue_id"),
-        (micros / F.lit(3.6e9)).alias("time_s"),
-        F.col("event_type").alias("_kind"),
-        F.col("value"),
-        k.alias("k"),
-    )
-    phase = (F.floor(F.col("time_s") / 24) + 1).cast("int")
-    scenario = F.lit("baseline")
-    for p, name in SCENARIOS.items():
-        scenario = F.when(F.col("phase_id") == p, name).otherwise(scenario)
-    kind = F.lit(None).cast("string")
-    for raw, name in EVENT_NAMES.items():
-        kind = F.when(F.col("_kind") == raw, name).otherwise(kind)
-    d = d.withColumn("phase_id", phase)
-    reconfig = F.col("phase_id").isin(11, 14)
-    rsrp = F.least(F.col("value"), F.lit(96.0)) - 140.0
-    rsrq = (F.col("k") % 34) * 0.5 - 19.5
-    return d.select(
-        "event_id",
-        "ts",
-        "user_id",
-        "ue_id",
-        "time_s",
-        F.col("time_s").alias("event_time_s"),
-        "phase_id",
-        scenario.alias("scenario_name"),
-        kind.alias("event_type"),
-        "k",
-        rsrp.alias("rsrp_serving_dbm"),
-        rsrq.alias("rsrq_serving_db"),
-        (F.col("k") * 0.25 - 5.0).alias("sinr_serving_db"),
-        (F.col("k") % 19).alias("serving_cell_id"),
-        ((F.col("k") + 7) % 19).alias("neighbor_cell_id"),
-        (rsrp - (F.col("k") % 7)).alias("rsrp_neighbor_dbm"),
-        (rsrq - 1.0).alias("rsrq_neighbor_db"),
-        (5.0 + (F.col("user_id") % 5) * 5.0).alias("ue_speed_mps"),
-        F.when(reconfig, 1024.0).otherwise(256.0).alias("cfg_ttt_ms"),
-        F.when(reconfig, 4.0).otherwise(2.0).alias("cfg_hyst_db"),
-        F.lit(0.0).alias("cfg_a3_off_db"),
-    )
+    scenario = " ".join(f"WHEN phase_id = {p} THEN '{n}'" for p, n in SCENARIOS.items())
+    kind = " ".join(f"WHEN '{raw}' THEN '{n}'" for raw, n in EVENT_NAMES.items())
+    d = e.selectExpr(
+        "event_id", "ts", "user_id", "user_id % 10 as ue_id", "event_type as _kind", "least(value, 96.0D) - 140.0D as rsrp_serving_dbm",
+        "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 3.6e9D as time_s", "cast(get_json_object(props, '$.k') as int) as k",
+    )
+    d = d.selectExpr("*", "cast(floor(time_s / 24) as int) + 1 as phase_id", "(k % 34) * 0.5D - 19.5D as rsrq_serving_db")
+    return d.selectExpr(
+        "event_id", "ts", "user_id", "ue_id", "time_s", "time_s as event_time_s", "phase_id",
+        f"CASE {scenario} ELSE 'baseline' END as scenario_name", f"CASE _kind {kind} END as event_type", "k",
+        "rsrp_serving_dbm", "rsrq_serving_db", "k * 0.25D - 5.0D as sinr_serving_db", "k % 19 as serving_cell_id", "(k + 7) % 19 as neighbor_cell_id",
+        "rsrp_serving_dbm - (k % 7) as rsrp_neighbor_dbm", "rsrq_serving_db - 1.0D as rsrq_neighbor_db", "5.0D + (user_id % 5) * 5.0D as ue_speed_mps",
+        "CASE WHEN phase_id IN (11, 14) THEN 1024.0D ELSE 256.0D END as cfg_ttt_ms", "CASE WHEN phase_id IN (11, 14) THEN 4.0D ELSE 2.0D END as cfg_hyst_db",
+        "0.0D as cfg_a3_off_db",
+    )
 
 
 samples = telemetry

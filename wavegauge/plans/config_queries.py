@@ -381,7 +381,7 @@ def replay_all(spark, d):
     w = materialise(labelled(spark, d), "windows")
     fired = materialise(run_sequential(streams(spark, d), {"ADWIN": lambda: Adwin(0.5, clock=8), "PH": lambda: PageHinkley(threshold=30.0)}), "firings")
     parts, logs = [], []
-    for name, strategy, q in AD.default_runs(period=120.0, cooldown=48.0):
+    for name, strategy, q in AD.default_runs(period=240.0, cooldown=168.0):
         s, g = AD.replay(w, fired, strategy, PcaScorer, FEATS, KEY, pool_window=72.0, filter_quantile=q, chunk=24.0, name=name)
         parts.append(s.select("strategy", *KEY, "t_mid_s", "label_anomaly", "score"))
         logs.append(g)

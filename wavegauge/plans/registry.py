@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,13 +27,13 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round floating columns and widen integers so that results compare across engines."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = f"round(cast({c} as double), {digits}) + 0.0D as {c}"
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("long")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            c = f"cast({c} as long) as {c}"
+        out.append(c)
+    return df.selectExpr(*out)
 
 
 def r(*cols: str, digits: int = 6) -> str:
