@@ -82,28 +82,30 @@ def pareto_front(df: DataFrame, objectives: list[tuple[str, str]], cap: int = BR
         return df
     cols = [c for c, _ in objectives]
     sign = np.array([1.0 if d == "max" else -1.0 for _, d in objectives])
-    points = df.select(*cols).distinct()
+    points = df.select(*cols)
 
     def local(batches):
         for pdf in batches:
             m = pdf[cols].to_numpy(float) * sign
+            alive = np.argsort(-m.sum(1), kind="stable")  # a dominating row has a larger sum
             keep: list[int] = []
-            front = np.empty((0, len(cols)))
-            for i in np.argsort(-m.sum(1), kind="stable"):  # a dominating row has a larger sum
-                if not len(front) or not np.any((front >= m[i]).all(1) & (front > m[i]).any(1)):
-                    front = np.vstack([front, m[i]])
-                    keep.append(i)
+            while len(alive):
+                p, rest = m[alive[0]], alive[1:]
+                keep.append(alive[0])
+                worse = (p >= m[rest]).all(1) & (p > m[rest]).any(1)
+                same = (p == m[rest]).all(1)
+                alive = rest[~(worse | same)]
             yield pdf.iloc[sorted(keep)]
 
     schema = points.schema
-    survivors = points.mapInPandas(local, schema)
+    survivors = points.mapInPandas(local, schema).distinct()
     last = None
     while not fits(survivors, cap):
         n = survivors.count()
         if last is not None and n >= last:
             break
         last = n
-        survivors = survivors.repartition(max(1, n // cap)).mapInPandas(local, schema)
+        survivors = survivors.repartition(max(1, n // cap)).mapInPandas(local, schema).distinct()
     better = survivors.withColumnsRenamed({c: f"_b_{c}" for c in cols})
     ge, gt = F.lit(True), F.lit(False)
     for c, d in objectives:
