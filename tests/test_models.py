@@ -166,3 +166,11 @@ def test_filtered_pool_and_empty_pool(spark):
 
     scored, log = A.replay(w, f, Early(), S.PcaScorer, COLS, ["id"], pool_window=10.0)
     assert log.where("reason = 'drift:s_skip_empty'").count() == 1 and scored.where("score IS NULL").count() == 0
+
+
+def test_hash_sample_is_exact_and_stable(spark):
+    d = spark.range(5000).withColumnRenamed("id", "k")
+    h = d.withColumn("h", F.xxhash64(F.lit(42), "k")).orderBy("h", "k").limit(100)
+    a = {r["k"] for r in S.hash_sample(d.repartition(13), ["k"], 100).collect()}
+    assert a == {r["k"] for r in h.collect()} and len(a) == 100
+    assert S.hash_sample(d, ["k"], 6000).count() == 5000

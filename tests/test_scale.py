@@ -78,21 +78,22 @@ def test_overlap_join_paths(spark, cap):
 
 
 @pytest.mark.parametrize("forward", [False, True])
-@pytest.mark.parametrize("chunk", [3.0, 1e6])
-def test_asof_join_matches_pandas(spark, forward, chunk):
+@pytest.mark.parametrize("chunk, few", [(3.0, 0), (1e6, 0), (1e6, 4095)])
+def test_asof_join_matches_pandas(spark, forward, chunk, few):
     rng = np.random.default_rng(5)
     l = pd.DataFrame({"k": rng.integers(0, 3, 200), "t": np.round(rng.uniform(0, 100, 200), 2)})
     r = pd.DataFrame({"k": rng.integers(0, 3, 60), "u": np.round(rng.uniform(0, 100, 60), 2), "id": np.arange(60)})
-    got = J.asof_join(spark.createDataFrame(l), spark.createDataFrame(r), "t", "u", ["id", "u"], by=["k"], chunk=chunk, forward=forward).toPandas()
+    got = J.asof_join(spark.createDataFrame(l), spark.createDataFrame(r), "t", "u", ["id", "u"], by=["k"], chunk=chunk, forward=forward, few=few).toPandas()
     want = pd.merge_asof(l.sort_values("t"), r.sort_values("u"), left_on="t", right_on="u", by="k", direction="forward" if forward else "backward")
     a, b = (x.sort_values(["k", "t"]).reset_index(drop=True) for x in (got, want))
     assert len(a) == len(b) and np.allclose(a["id"].astype(float), b["id"], equal_nan=True)
 
 
-def test_asof_tie_takes_smallest(spark):
+@pytest.mark.parametrize("few", [0, 10])
+def test_asof_tie_takes_smallest(spark, few):
     l = spark.createDataFrame([(5.0,)], "t double")
     r = spark.createDataFrame([(5.0, 2, "b"), (5.0, 1, "a"), (4.0, 0, "z")], "u double, id long, v string")
-    assert J.asof_join(l, r, "t", "u", ["v"], tie="id").first()["v"] == "a"
+    assert J.asof_join(l, r, "t", "u", ["v"], tie="id", few=few).first()["v"] == "a"
 
 
 def test_neighbour_row_across_chunks(spark):
@@ -104,3 +105,11 @@ def test_neighbour_row_across_chunks(spark):
     for k in range(2):
         assert [lag[k, v] for v in order] == [None, *order[:-1]]
         assert [lead[k, v] for v in order] == [*order[1:], None]
+
+
+def test_chunks_shrink_for_full_keys(spark):
+    d = spark.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") / 10).alias("t"))
+    c = S.fitting_chunk(d, ["k"], "t", 1000.0, hot_rows=20)
+    assert S.largest_group(d.select("k", F.floor(F.col("t") / c).alias("c")), ["k", "c"]) <= 20
+    same = d.withColumn("t", F.lit(1.0))
+    assert S.fitting_chunk(same, ["k"], "t", 10.0, hot_rows=20) > 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from .joins import asof_join, neighbour_row
-from .scale import grouped_quantiles, null_safe_join
+from .scale import fitting_chunk, grouped_quantiles, null_safe_join
 
 DAY = 86_400.0
 
@@ -42,6 +42,7 @@ def smooth(df: DataFrame, keys: list[str], time: str, value: str, alpha: float =
     chunk is then smoothed independently from its own starting value. Adds ``smoothed``.
     """
     order = [time] + ([tie] if tie else [])
+    chunk = fitting_chunk(df, keys, time, chunk)
     d = df.withColumn("_chunk", F.floor(F.col(time) / chunk))
     ck = [*keys, "_chunk"]
     good = d.where(F.col(value).isNotNull())
@@ -54,24 +55,25 @@ def smooth(df: DataFrame, keys: list[str], time: str, value: str, alpha: float =
         F.sum(decay * alpha * F.col(value)).alias("_b"),
         F.min_by(value, F.struct(*order)).alias("_head"),
     )
-    # Chain the chunk maps: a key has one entry per chunk, not per row.
-    seq = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_a", "_b", "_head"))).alias("_s"))
-    start = F.element_at("_s", 1)["_head"]
-    chained = F.aggregate(
-        "_s",
-        F.struct(start.alias("f"), F.array().cast("array<struct<_chunk:bigint,_in:double>>").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["f"] * s["_a"] + s["_b"]).alias("f"),
-            F.concat(acc["out"], F.array(F.struct(s["_chunk"].alias("_chunk"), F.when(F.size(acc["out"]) > 0, acc["f"]).alias("_in")))).alias("out"),
-        ),
-    )
-    carry = seq.select(*keys, F.explode(chained["out"]).alias("_o")).select(*keys, F.col("_o._chunk").alias("_chunk"), F.col("_o._in").alias("_in"))
+    # Chain the chunk maps in order: one short row per chunk, streamed through a task per key.
+    chain_schema = parts.select(*ck).schema.add("_in", "double").add("_out", "double")
+
+    def chain(batches):
+        current, f = None, None
+        for pdf in batches:
+            ins, outs = [], []
+            for g, a, b, head in zip(zip(*[pdf[k] for k in keys]), pdf["_a"], pdf["_b"], pdf["_head"]):
+                if g != current:
+                    current, f = g, None
+                ins.append(f)
+                f = (head if f is None else f) * a + b
+                outs.append(f)
+            yield pdf[ck].assign(_in=pd.Series(ins, dtype="float64", index=pdf.index), _out=pd.Series(outs, dtype="float64", index=pdf.index))
+
+    carry = parts.repartition(*keys).sortWithinPartitions(*ck).mapInPandas(chain, chain_schema)
+    carry = carry.withColumn("_in", F.when(~F.isnan("_in"), F.col("_in")))
     # Chunks with NULLs only inherit the smoothed value of the chunk before them.
-    after = null_safe_join(parts, carry, ck, "inner").select(
-        *ck, (F.coalesce("_in", "_head") * F.col("_a") + F.col("_b")).alias("_out")
-    )
     every = null_safe_join(d.select(*ck).distinct(), carry, ck)
-    every = null_safe_join(every, after, ck)
     prev = F.last("_out", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     every = every.select(*ck, F.coalesce("_in", prev).alias("_in"))
     ready = null_safe_join(d, every, ck).repartition(*ck).sortWithinPartitions(*ck, *order)

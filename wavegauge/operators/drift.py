@@ -28,7 +28,9 @@ def run_sequential(streams: DataFrame, registry: dict[str, Callable] | None = No
     names = F.explode(F.array(*[F.lit(n) for n in registry])).alias("detector")
     # Aggregated grid rows, not raw samples: one row per grid step and stream.
     rows = streams.where(F.col("value").isNotNull()).select("stream_name", "time_s", "value", names)
-    rows = rows.repartition("stream_name", "detector").sortWithinPartitions("stream_name", "detector", "time_s")
+    # A fixed width: the rows are few but slow to process, so they must not be coalesced.
+    width = max(8, int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = rows.repartition(width, "stream_name", "detector").sortWithinPartitions("stream_name", "detector", "time_s")
 
     def detect(batches):
         pair, det = None, None

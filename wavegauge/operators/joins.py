@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import BROADCAST_ROWS, fits, null_safe_join
+from .scale import BROADCAST_ROWS, fits, fitting_chunk, null_safe_join, place_among
+
+# Up to this many distinct probe times, an as-of join needs no ordering of the looked-up table.
+FEW_PROBES = 4095
 
 
 def _typical_width(df: DataFrame, start: str, end: str) -> float:
@@ -80,12 +83,15 @@ def asof_join(
     chunk: float = 86_400.0,
     forward: bool = False,
     tie: str | None = None,
+    few: int = FEW_PROBES,
 ) -> DataFrame:
     """For each left row, ``columns`` of the last right row with time <= the left time.
 
     ``forward`` takes the first right row with time >= the left time. On equal right times the
-    smallest ``tie`` value wins. Time is cut into chunks of length ``chunk``: a chunk is ordered
-    on its own and receives the nearest row of the chunks before it, so no key is held in one task.
+    smallest ``tie`` value wins. With few probe times (checked) every right row is reduced to the
+    probe it can serve before anything is shuffled. Otherwise time is cut into chunks of at most
+    ``chunk``, shortened until no (key, chunk) is too full: a chunk is ordered on its own and receives
+    the nearest row of the chunks before it, so no key is held in one task.
     """
     by = by or []
     sign = -1 if forward else 1
@@ -98,6 +104,11 @@ def asof_join(
         F.struct(*[F.col(c) for c in columns]).alias("_payload"),
     ).where(F.col("_t").isNotNull())
     l = left.withColumn("_t", (F.col(left_time) * sign).cast("double"))
+    probes = l.where(F.col("_t").isNotNull()).select("_t").distinct()
+    if fits(probes, few):
+        out = _asof_few(l, r, sorted(x[0] for x in probes.collect()), by)
+        return out.select(*[F.col(c) for c in left.columns], *[F.col("_hit")[c].alias(c) for c in columns])
+    chunk = fitting_chunk(l.select(*by, "_t").unionByName(r.select(*by, "_t")), by, "_t", chunk)
     r = r.withColumn("_chunk", F.floor(F.col("_t") / chunk))
     l = l.withColumn("_chunk", F.floor(F.col("_t") / chunk))
     tails = r.groupBy(*by, "_chunk").agg(F.max_by("_payload", F.struct("_t", "_tie")).alias("_tail"))
@@ -121,6 +132,26 @@ def asof_join(
     return out.select(*[F.col(c) for c in left.columns], *[pick[c].alias(c) for c in columns])
 
 
+def _asof_few(left: DataFrame, right: DataFrame, times: list[float], by: list[str]) -> DataFrame:
+    """As-of lookup for a short list of probe times: one map-side combined aggregate over ``right``."""
+    n = 2
+    while n - 1 < len(times):
+        n *= 2
+    cuts = F.array(*[F.lit(float(x)) for x in times + [float("inf")] * (n - 1 - len(times))])
+    slot = place_among("_t", cuts, n)  # the first probe at or after the row
+    best = (
+        right.withColumn("_slot", slot)
+        .where(F.col("_slot") < len(times))
+        .groupBy(*by, "_slot")
+        .agg(F.max_by("_payload", F.struct("_t", "_tie")).alias("_best"))
+    )
+    probe = left.withColumn("_slot", place_among("_t", cuts, n))
+    slots = probe.select(*by, "_slot").unionByName(best.select(*by, "_slot")).distinct()
+    w = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)  # at most one row per probe time
+    known = null_safe_join(slots, best, [*by, "_slot"]).select(*by, "_slot", F.last("_best", ignorenulls=True).over(w).alias("_hit"))
+    return null_safe_join(probe, known, [*by, "_slot"])
+
+
 def neighbour_row(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], time: str, chunk: float, forward: bool = False
 ) -> DataFrame:
@@ -129,6 +160,7 @@ def neighbour_row(
     Like ``asof_join`` it orders one time chunk at a time and passes the border row between
     neighbouring chunks, so a key with very many rows is still split. ``time`` leads ``order``.
     """
+    chunk = fitting_chunk(df, keys, time, chunk)
     d = df.withColumn("_chunk", F.floor(F.col(time) / chunk))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     step = F.lead if forward else F.lag

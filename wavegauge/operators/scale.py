@@ -39,6 +39,20 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return int(row["n"] or 0)
 
 
+def fitting_chunk(df: DataFrame, keys: list[str], time: str, chunk: float, hot_rows: int = HOT_GROUP_ROWS) -> float:
+    """A time chunk small enough that no (key, chunk) holds more than ``hot_rows`` rows.
+
+    The fullest chunk is measured and the length cut in proportion, until it fits or the rows share
+    so few timestamps that shorter chunks no longer help.
+    """
+    last = None
+    while True:
+        n = largest_group(df.select(*keys, F.floor(F.col(time) / chunk).alias("_c")), [*keys, "_c"])
+        if n <= hot_rows or (last is not None and n > 0.9 * last):
+            return chunk
+        last, chunk = n, chunk / (2 * -(-n // hot_rows))
+
+
 def bucket_count(spark: SparkSession) -> int:
     """Number of value buckets: the next power of two above the shuffle parallelism."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -48,8 +62,8 @@ def bucket_count(spark: SparkSession) -> int:
     return n
 
 
-def _bucket(value: str, n: int) -> Column:
-    # Binary search in the sorted cut points: how many lie strictly below the value.
+def place_among(value: str, cuts: Column, n: int) -> Column:
+    """How many of the n - 1 sorted cut points (n a power of two) lie strictly below the value."""
     steps = []
     s = n // 2
     while s:
@@ -58,7 +72,7 @@ def _bucket(value: str, n: int) -> Column:
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda acc, s: acc + F.when(F.col(value) > F.element_at(F.col("_cuts"), acc + s), s).otherwise(F.lit(0)),
+        lambda acc, s: acc + F.when(F.col(value) > F.element_at(cuts, acc + s), s).otherwise(F.lit(0)),
     )
 
 
@@ -87,7 +101,7 @@ def prefix_sum(
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(order, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("_cuts")
     )
-    placed = null_safe_join(df, cuts, keys, "inner").withColumn("_bucket", _bucket(order, n)).drop("_cuts")
+    placed = null_safe_join(df, cuts, keys, "inner").withColumn("_bucket", place_among(order, F.col("_cuts"), n)).drop("_cuts")
     totals = placed.groupBy(*keys, "_bucket").agg(
         *[F.sum(c).alias(f"_s_{c}") for c in sums], F.min(order).alias("_lowest")
     )

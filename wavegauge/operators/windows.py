@@ -80,7 +80,7 @@ def place_in_windows(rows: DataFrame, bounds: DataFrame, time: str, sizes: list[
     lo = f"greatest(0L, floor(({rel} - _size.w) / _size.s))"
     keep = [c for c in [*rows.columns, *bounds.columns] if c not in ("_t_min", "_t_max")]
     keep = ", ".join(dict.fromkeys(keep))
-    d = null_safe_join(rows, bounds, ["ue_id", "phase_id"], "inner").selectExpr("*", f"explode(array({spec})) as _size")
+    d = rows.join(bounds, ["ue_id", "phase_id"]).selectExpr("*", f"explode(array({spec})) as _size")
     d = d.where(f"{rel} >= -_size.s").selectExpr(
         "*", f"explode(sequence({lo}, greatest({lo}, floor({rel} / _size.s) + 1))) as window_id"
     )
@@ -123,8 +123,9 @@ def window_features(
     bounds = phase_bounds(samples)
     placed = place_in_windows(lean, bounds, "time_s", sizes)
     spec = {c: {f"{c}__{s}": p for s, p in QUANTILES.items()} for c in SAMPLE_COLUMNS}
-    keys = [*WINDOW_KEYS, "t_start_s", "t_end_s"]
     plain = [
+        F.first("t_start_s").alias("t_start_s"),
+        F.first("t_end_s").alias("t_end_s"),
         F.first("scenario_name").alias("scenario_name"),
         *[F.stddev_pop(c).alias(f"{c}__std") for c in SAMPLE_COLUMNS],
     ]
@@ -132,9 +133,9 @@ def window_features(
     bins = samples.select("ue_id", "phase_id", F.floor(F.col("time_s") / widest).alias("_bin"))
     if 2 * largest_group(bins, ["ue_id", "phase_id", "_bin"]) <= hot_rows:
         mode = F.mode("serving_cell_id", True).cast("int").alias("serving_cell_mode")
-        feats = pick_quantiles(placed.groupBy(*keys).agg(*plain, mode, *sorted_lists(spec)), spec)
+        feats = pick_quantiles(placed.groupBy(*WINDOW_KEYS).agg(*plain, mode, *sorted_lists(spec)), spec)
     else:
-        feats = placed.groupBy(*keys).agg(*plain)
+        feats = placed.groupBy(*WINDOW_KEYS).agg(*plain)
         feats = null_safe_join(feats, ranked_quantiles(placed, WINDOW_KEYS, spec), WINDOW_KEYS)
         cells = placed.groupBy(*WINDOW_KEYS, "serving_cell_id").agg(F.count(F.lit(1)).alias("_n"))
         top = cells.groupBy(*WINDOW_KEYS).agg(
@@ -147,7 +148,8 @@ def window_features(
     counts = hits.groupBy(*WINDOW_KEYS).agg(
         *[F.expr(f"count(CASE WHEN event_type = '{e}' THEN 1 END) as {c}") for e, c in zip(EVENT_TYPES, count_columns())]
     )
-    out = null_safe_join(feats, counts, WINDOW_KEYS, "left").fillna(0, count_columns())
+    # Both sides are already partitioned by the window key, so this join moves nothing.
+    out = feats.join(counts, WINDOW_KEYS, "left").fillna(0, count_columns())
     return out.selectExpr(
         "ue_id",
         "phase_id",
