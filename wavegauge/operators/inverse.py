@@ -140,10 +140,13 @@ def config_in_force(triggers: DataFrame, events: DataFrame, chunk: float = 86_40
 
 def phase_configs(events: DataFrame) -> DataFrame:
     """Event count, time range and first configuration per phase."""
-    first = F.min_by(F.struct(*[F.col(f"cfg_{c}").cast("double").alias(c) for c in CONTROLLED]), F.struct("event_time_s", "event_id"))
-    g = events.groupBy("phase_id").agg(
-        F.count(F.lit(1)).alias("n_events"), F.min("event_time_s").alias("t_min_s"), F.max("event_time_s").alias("t_max_s"), first.alias("_c")
+    per = events.groupBy("phase_id", *[F.col(f"cfg_{c}").cast("double").alias(c) for c in CONTROLLED]).agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_time_s").alias("a"), F.max("event_time_s").alias("b"), F.min("event_id").alias("e")
     )
+    g = per.groupBy("phase_id").agg(
+        F.sum("n").alias("n_events"), F.min("a").alias("t_min_s"), F.max("b").alias("t_max_s"),
+        F.min_by(F.struct(*CONTROLLED), F.struct("a", "e")).alias("_c"),
+    )
     return g.select("phase_id", "n_events", "t_min_s", "t_max_s", *[F.col(f"_c.{c}").alias(c) for c in CONTROLLED])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scale import BROADCAST_ROWS, fits, fitting_chunk, null_safe_join, place_among
 
 # Up to this many distinct probe times, an as-of join needs no ordering of the looked-up table.
-FEW_PROBES = 4095
+FEW_PROBES = 1023
 
 
 def _typical_width(df: DataFrame, start: str, end: str) -> float:
@@ -137,14 +137,14 @@ def _asof_few(left: DataFrame, right: DataFrame, times: list[float], by: list[st
     n = 2
     while n - 1 < len(times):
         n *= 2
-    cuts = F.array(*[F.lit(float(x)) for x in times + [float("inf")] * (n - 1 - len(times))])
+    top = 1.7976931348623157e308
+    cuts = F.expr(f"array({', '.join(f'{float(x)!r}D' for x in times + [top] * (n - 1 - len(times)))})")
     slot = place_among("_t", cuts, n)  # the first probe at or after the row
-    best = (
-        right.withColumn("_slot", slot)
-        .where(F.col("_slot") < len(times))
-        .groupBy(*by, "_slot")
-        .agg(F.max_by("_payload", F.struct("_t", "_tie")).alias("_best"))
-    )
+    placed = right.withColumn("_slot", slot).where(F.col("_slot") < len(times))
+    # The latest time per probe by hash aggregation, then the payload of just those rows.
+    latest = placed.groupBy(*by, "_slot").agg(F.max("_t").alias("_t"))
+    winners = null_safe_join(placed, latest, [*by, "_slot", "_t"], "left_semi")
+    best = winners.groupBy(*by, "_slot").agg(F.max_by("_payload", "_tie").alias("_best"))
     probe = left.withColumn("_slot", place_among("_t", cuts, n))
     slots = probe.select(*by, "_slot").unionByName(best.select(*by, "_slot")).distinct()
     w = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)  # at most one row per probe time

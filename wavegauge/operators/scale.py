@@ -25,7 +25,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
         return left.crossJoin(F.broadcast(right))
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+    out = left.join(renamed, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
 def fits(df: DataFrame, cap: int) -> bool:

@@ -28,9 +28,8 @@ def grid(spark, lo: float, n: int, cadence: float) -> DataFrame:
 
 def phase_at(samples: DataFrame, points: DataFrame, cadence: float) -> DataFrame:
     """Phase and scenario of the first sample in each bucket; gaps take the previous, then the next bucket."""
-    first = samples.groupBy(F.floor(F.col("time_s") / cadence).alias("_bin")).agg(
-        F.min_by(F.struct("phase_id", "scenario_name"), "time_s").alias("_p")
-    )
+    named = samples.groupBy(F.floor(F.col("time_s") / cadence).alias("_bin"), "phase_id", "scenario_name").agg(F.min("time_s").alias("_t"))
+    first = named.groupBy("_bin").agg(F.min_by(F.struct("phase_id", "scenario_name"), "_t").alias("_p"))
     first = first.select("_bin", F.col("_p.phase_id").alias("phase_id"), F.col("_p.scenario_name").alias("scenario_name"))
     pts = points.withColumn("_at", F.floor(F.col("time_s") / cadence))
     cols = ["phase_id", "scenario_name"]

@@ -61,11 +61,15 @@ def check_windows(window_s: float, slide_s: float) -> None:
 
 
 def phase_bounds(samples: DataFrame) -> DataFrame:
-    """First and last sample time and the first scenario name per (ue, phase)."""
-    return samples.groupBy("ue_id", "phase_id").agg(
-        F.min("time_s").alias("_t_min"),
-        F.max("time_s").alias("_t_max"),
-        F.min_by("scenario_name", "time_s").alias("scenario_name"),
+    """First and last sample time and the first scenario name per (ue, phase).
+
+    The name is a grouping key first: text in an aggregate buffer would force a sort of all samples.
+    """
+    named = samples.groupBy("ue_id", "phase_id", "scenario_name").agg(F.min("time_s").alias("_t_min"), F.max("time_s").alias("_t_max"))
+    return named.groupBy("ue_id", "phase_id").agg(
+        F.min("_t_min").alias("_t_min"),
+        F.max("_t_max").alias("_t_max"),
+        F.min_by("scenario_name", "_t_min").alias("scenario_name"),
     )
 
 
