@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scale import BROADCAST_ROWS, fits, fitting_chunk, null_safe_join, place_among
 
 # Up to this many distinct probe times, an as-of join needs no ordering of the looked-up table.
-FEW_PROBES = 1023
+FEW_PROBES = 127
 
 
 def _typical_width(df: DataFrame, start: str, end: str) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, require_columns
+from ..session import materialise
 from .joins import asof_join
 from .labels import STREAM_TAGS
 from .windows import EVENT_TYPES
@@ -31,6 +32,7 @@ def phase_at(samples: DataFrame, points: DataFrame, cadence: float) -> DataFrame
     named = samples.groupBy(F.floor(F.col("time_s") / cadence).alias("_bin"), "phase_id", "scenario_name").agg(F.min("time_s").alias("_t"))
     first = named.groupBy("_bin").agg(F.min_by(F.struct("phase_id", "scenario_name"), "_t").alias("_p"))
     first = first.select("_bin", F.col("_p.phase_id").alias("phase_id"), F.col("_p.scenario_name").alias("scenario_name"))
+    first = materialise(first, "phases")  # one row per bucket, read by both lookups
     pts = points.withColumn("_at", F.floor(F.col("time_s") / cadence))
     cols = ["phase_id", "scenario_name"]
     back = asof_join(pts, first, "_at", "_bin", cols, chunk=4096.0)

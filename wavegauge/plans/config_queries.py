@@ -337,7 +337,7 @@ sig AS (SELECT p.t_end_s AS t_s, list_aggregate(list_sort(list(DISTINCT f.stream
 def signals(spark, d):
     from ..operators.drift import binarise
 
-    w = labelled(spark, d).where("phase_id > 3")
+    w = materialise(labelled(spark, d).where("phase_id > 3").select("t_end_s"), "ends")
     f = binarise(streams(spark, d), z=2.5).where("error = 1 AND time_s > 72.0")
     return w, materialise(AD.decision_signals(w, f, chunk=24.0), "signals")
 
