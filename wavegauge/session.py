@@ -37,9 +37,13 @@ def _local_fallback() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a scratch folder only where none is set."""
+    """The shared folder named by the session; a scratch folder only on a single machine."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
-    return folder or _local_fallback()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+    return _local_fallback()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
