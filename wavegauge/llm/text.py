@@ -117,3 +117,79 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
         here = at + j < end
         out[here] = mix64(out[here] * _M3 + hashes[at[here] + j])
     return out, offsets
+
+
+class IdPool:
+    """Id lists by the 64-bit hash of a byte string, looked up for whole arrays of hashes at once.
+
+    A worker's cache: ``clear`` when ``full``; what it holds never changes a result.
+    """
+
+    def __init__(self, entries: int = 1 << 20, ids: int = 1 << 23):
+        self.entries, self.most_ids = entries, ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.mask = (1 << 12) - 1
+        self.slot = np.full(self.mask + 1, -1, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.begin = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    @property
+    def full(self) -> bool:
+        return len(self.keys) > self.entries or len(self.ids) > self.most_ids
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.keys):
+            return out
+        live = np.arange(len(h))
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        while live.size:
+            entry = self.slot[at]
+            held = entry >= 0
+            live, at, entry = live[held], at[held], entry[held]
+            same = self.keys[entry] == h[live]
+            out[live[same]] = entry[same]
+            live, at = live[~same], (at[~same] + 1) & self.mask
+        return out
+
+    def _settle(self, entries: np.ndarray) -> None:
+        at = (self.keys[entries] & np.uint64(self.mask)).astype(np.int64)
+        while entries.size:
+            free = self.slot[at] < 0
+            self.slot[at[free]] = entries[free]  # of several, the last one wins
+            placed = self.slot[at] == entries
+            entries, at = entries[~placed], (at[~placed] + 1) & self.mask
+
+    def add(self, h: np.ndarray, lists: list[np.ndarray]) -> None:
+        """New, different hashes and the ids of each."""
+        old = len(self.keys)
+        self.keys = np.concatenate((self.keys, h))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum([len(x) for x in lists])))
+        self.ids = np.concatenate((self.ids, *lists)) if lists else self.ids
+        if 3 * len(self.keys) > self.mask:
+            while 3 * len(self.keys) > self.mask:
+                self.mask = 2 * self.mask + 1
+            self.slot = np.full(self.mask + 1, -1, np.int64)
+            old = 0
+        self._settle(np.arange(old, len(self.keys)))
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the entries one after another, and how many each entry has."""
+        begin = self.begin[entries]
+        size = self.begin[entries + 1] - begin
+        total = np.cumsum(size)
+        return self.ids[np.repeat(begin - total + size, size) + np.arange(total[-1] if len(total) else 0)], size
+
+    def entries_of(self, h: np.ndarray, make) -> np.ndarray:
+        """Entries of the hashes; ``make(positions)`` gives the id lists of those not yet held."""
+        out = self.find(h)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new, first = np.unique(h[missing], return_index=True)
+            self.add(new, make(missing[first]))
+            out[missing] = self.find(h[missing])
+        return out
