@@ -86,22 +86,20 @@ def byte_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
     return out
 
 
+def runs(t: Texts, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the maximal runs of bytes with ``member[byte]``, within each text."""
+    body = member[t.data[:-8]]
+    edge = np.zeros(len(body) + 1, bool)
+    edge[t.start] = True
+    start = np.flatnonzero(body & (~np.concatenate(([False], body[:-1])) | edge[:-1])) if len(body) else np.zeros(0, np.int64)
+    end = np.flatnonzero(body & (~np.concatenate((body[1:], [False])) | edge[1:])) + 1 if len(body) else start
+    return start, end - start
+
+
 def words(t: Texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+``: (lower-cased bytes, start, length, first word of each text + end)."""
-    data = LOWER[t.data] if lower else t.data
-    body = ~SPACE[t.data[:-8]]
-    size = len(body)
-    edge = np.zeros(size + 1, bool)
-    edge[t.start] = True
-    before = np.empty(size, bool)
-    before[:1] = False
-    before[1:] = body[:-1]
-    start = np.flatnonzero(body & (~before | edge[:-1]))
-    after = np.empty(size, bool)
-    after[-1:] = False
-    after[:-1] = body[1:]
-    end = np.flatnonzero(body & (~after | edge[1:])) + 1
-    return data, start, end - start, np.searchsorted(start, t.start)
+    start, length = runs(t, ~SPACE)
+    return LOWER[t.data] if lower else t.data, start, length, np.searchsorted(start, t.start)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
