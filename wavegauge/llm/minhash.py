@@ -156,10 +156,10 @@ def _near_in_bucket(least: int):
                 sets = Union(int(label.max()) + 1)
                 mine, own = label[a : a + n], sig[a : a + n]
                 for i in range(1, n):
-                    roots = np.array([sets.root(x) for x in mine[:i]]) if i < 64 else None
                     other = np.flatnonzero((own[:i] == own[i]).sum(1) >= least)
-                    for j in other:
-                        if (roots is None or roots[j] != sets.root(mine[i])) and sets.join(mine[i], mine[j]):
+                    near, at = np.unique(mine[other], return_index=True)
+                    for x, j in zip(near.tolist(), other[at].tolist()):
+                        if sets.join(int(mine[i]), x):
                             out_a.append(rep[[a + i]])
                             out_b.append(rep[[a + j]])
             if out_a:
