@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise  # noqa: F401
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read by Spark's own reader."""
@@ -20,11 +20,43 @@ def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def text_of(column: str = "text") -> Column:
-    """The text, NULL read as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def fresh(name: str) -> str:
-    """A column name that clashes with none."""
-    return f"_{name}_{uuid.uuid4().hex[:8]}"
+def group_tables(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Whole groups of a partition sorted by ``by``, several at once, numbered in column ``group``."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def numbered(t: pa.Table) -> pa.Table:
+        keys = [np.asarray(t[c]) for c in by]
+        new = np.zeros(len(t), bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        return t.append_column("group", pa.array(np.cumsum(new)))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        count += b.num_rows
+        if count >= rows:
+            t = numbered(pa.Table.from_batches(held))
+            group = np.asarray(t["group"])
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            rest = t.slice(cut).drop_columns(["group"]).combine_chunks()
+            held = rest.to_batches()
+            count = 0
+    if held:
+        yield numbered(pa.Table.from_batches(held))
+
+
+def block_pairs(df: DataFrame, row: str, blocks: str) -> DataFrame:
+    """Rows once for each pair of blocks in which they meet rows of their group.
+
+    ``blocks`` is the size of the row's group in blocks. Groups of one block stay whole (pair 0);
+    otherwise a row falls into a block by its id (column ``blk``) and column ``pair`` numbers the pairs.
+    """
+    n = F.greatest(F.ceil(F.col(blocks)), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64(row), n).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda o: (F.least(o, mine) * n + F.greatest(o, mine)).cast("int"))
+    return df.withColumn("blk", mine).withColumn("pair", F.explode(pairs))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import connected_components
+from .frames import block_pairs, group_tables, parallelism
 from .text import Texts, byte_hashes, mix64, shingles, slices, words
 
 # A pair at Jaccard 0.8 shares none of the bands with a chance of (1 - 0.8^5)^36 = 6e-7.
@@ -139,7 +140,7 @@ def _near_in_bucket(least: int):
     """Edges that connect different labels of a bucket by signature, enough to span what hangs together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["key", "pair"]):
+        for table in group_tables(batches, ["key", "pair"]):
             rep, label = np.asarray(table["rep"]), np.unique(np.asarray(table["label"]), return_inverse=True)[1]
             sig = _sigs(table["sig"].combine_chunks())
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(np.asarray(table["group"]))) + 1, [len(rep)]))
@@ -168,36 +169,6 @@ def _near_in_bucket(least: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Whole groups of a partition sorted by ``by``, several at once, numbered in column ``group``."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-
-    def numbered(t: pa.Table) -> pa.Table:
-        keys = [np.asarray(t[c]) for c in by]
-        new = np.zeros(len(t), bool)
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        return t.append_column("group", pa.array(np.cumsum(new)))
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        count += b.num_rows
-        if count >= rows:
-            t = numbered(pa.Table.from_batches(held))
-            group = np.asarray(t["group"])
-            cut = int(np.searchsorted(group, group[-1]))
-            if cut:
-                yield t.slice(0, cut)
-            rest = t.slice(cut).drop_columns(["group"]).combine_chunks()
-            held = rest.to_batches()
-            count = 0
-    if held:
-        yield numbered(pa.Table.from_batches(held))
-
-
 def exact_links(sets: list[np.ndarray], sig: np.ndarray, percent: int, least: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Confirmed links that span the components of the sets, tried from the likeliest down."""
     n = len(sets)
@@ -222,7 +193,7 @@ def exact_links(sets: list[np.ndarray], sig: np.ndarray, percent: int, least: in
 
 def _confirm(k: int, percent: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["grp", "pair"], 2000):
+        for table in group_tables(batches, ["grp", "pair"], 2000):
             group = np.asarray(table["group"])
             texts = table["text"].combine_chunks()
             sets = [s for t in slices(texts) for s in text_sets(t, k)]
@@ -237,19 +208,6 @@ def _confirm(k: int, percent: int, least: int):
     return run
 
 
-def _block_pairs(df: DataFrame, by: str, count: str, block: str) -> DataFrame:
-    """Rows of ``df`` once for each pair of blocks they meet in; groups of one block stay whole.
-
-    ``count`` is the size of the row's group in units of ``block``; column ``pair`` numbers the pairs.
-    """
-    blocks = F.ceil(F.col(count) / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    pairs = F.when(blocks <= 1, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: (F.least(o, mine) * blocks + F.greatest(o, mine)).cast("int"))
-    )
-    return df.withColumn("pair", F.explode(pairs))
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents whose word k-shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -281,9 +239,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     labelled = crowded.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     apart = labelled.join(mixed, "key", "left_semi").join(sigs, "rep")
-    pairs = _block_pairs(apart, "key", "size", BUCKET_BLOCK).select("key", "pair", "rep", "label", "sig")
-    parts = pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = pairs.repartition(int(parts), "key", "pair").sortWithinPartitions("key", "pair", "rep")
+    pairs = block_pairs(apart.withColumn("blocks", F.col("size") / F.lit(BUCKET_BLOCK)), "rep", "blocks").select("key", "pair", "rep", "label", "sig")
+    parts = parallelism(docs)
+    dealt = pairs.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "rep")
     more = dealt.mapInArrow(_near_in_bucket(least), "a long, b long")
     groups = materialise(connected_components(stars.unionAll(more)), "groups")
     # Confirm within groups, on texts.
@@ -291,8 +249,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     texts = texts.groupBy("doc_id", "version").agg(F.first("text").alias("text"), F.first("sig").alias("sig"), F.first("component").alias("grp"))
     texts = materialise(texts.withColumnRenamed("doc_id", "rep"), "texts")
     sizes = texts.groupBy("grp").agg(F.greatest(F.count("*") / F.lit(GROUP_BLOCK), F.sum(F.octet_length("text")) / F.lit(GROUP_BYTES)).alias("blocks"))
-    sized = _block_pairs(texts.join(sizes, "grp"), "grp", "blocks", 1).select("grp", "pair", "rep", "text", "sig")
-    dealt = sized.repartition(int(parts), "grp", "pair").sortWithinPartitions("grp", "pair", "rep")
+    sized = block_pairs(texts.join(sizes, "grp"), "rep", "blocks").select("grp", "pair", "rep", "text", "sig")
+    dealt = sized.repartition(parts, "grp", "pair").sortWithinPartitions("grp", "pair", "rep")
     links = dealt.mapInArrow(_confirm(k, percent, least), "a long, b long")
     repeated = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id").join(members, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = connected_components(links.unionAll(repeated)).withColumnRenamed("node", "rep").withColumnRenamed("component", "found")

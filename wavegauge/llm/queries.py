@@ -136,3 +136,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+@query(
+    "op3_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    walk AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT w.node, l.b FROM walk w JOIN l ON l.a = w.reached),
+    c AS (SELECT node, min(reached) AS component_id FROM walk GROUP BY node),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+    SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+    FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
