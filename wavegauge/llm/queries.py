@@ -156,3 +156,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivots import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import cross_entropy_difference
+
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import decode_pieces, encode_pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode_pieces(table(spark, sf_dir, "documents"), path)
+    digest = F.crc32(F.array_join("ids", ",").cast("binary"))
+    kept = encoded.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_crc32"), "ids")
+    out = decode_pieces(kept, path)
+    return out.select("doc_id", "n_ids", "ids_crc32", (F.col("decoded") == F.col("text")).alias("round_trip"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
