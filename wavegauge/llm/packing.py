@@ -31,6 +31,8 @@ MAX_LENGTH = 2048
 SLICES = 256
 # Patterns of one, two and three lengths that are fitted, and steps of the fit.
 MAX_PATTERNS = 400_000
+# A pattern leaves at most this part of a sequence free.
+WASTE = 64
 FIT_STEPS = 150
 
 
@@ -153,7 +155,7 @@ def patterns(lengths: np.ndarray, size: int, most: int = MAX_PATTERNS) -> np.nda
     n = len(lengths)
     tail = lambda width: [np.flatnonzero(lengths >= size - width)]
     out = np.zeros((0, 3), np.int64)
-    for gap in (0, 1, 3, 7, 15, 31, 63):
+    for gap in (g for g in (0, 1, 3, 7, 15, 31) if g <= size // WASTE):
         rows = [np.stack([i, np.full_like(i, -1), np.full_like(i, -1)], 1) for i in tail(gap)]
         first = np.arange(n)
         for third in [-1, *range(n)]:
@@ -198,7 +200,16 @@ def fit_repeats(use: np.ndarray, counts: np.ndarray, steps: int = FIT_STEPS) ->
 
 
 def plan(histogram: dict[int, int], size: int = MAX_LENGTH) -> np.ndarray:
-    """Runs (length, first rank, first sequence, pieces, offset) that place every piece of the histogram."""
+    """Runs (length, first rank, first sequence, pieces, offset) that place every piece of the histogram.
+
+    Where patterns do not pay, as with few or very short pieces, all pieces are packed best fit.
+    """
+    fitted, plain = _plan(histogram, size, True), _plan(histogram, size, False)
+    last = lambda runs: int((runs[:, 2] + runs[:, 3]).max(initial=0))
+    return fitted if last(fitted) <= last(plain) else plain
+
+
+def _plan(histogram: dict[int, int], size: int, fit: bool) -> np.ndarray:
     left = {int(k): int(v) for k, v in histogram.items() if v}
     rank = dict.fromkeys(left, 0)
     runs: list[tuple[int, int, int, int, int]] = []
@@ -221,7 +232,7 @@ def plan(histogram: dict[int, int], size: int = MAX_LENGTH) -> np.ndarray:
         put(size, 0, left[size], 0)
         sequences += rank[size]
     lengths = np.array(sorted(k for k, v in left.items() if v), np.int64)
-    if len(lengths):
+    if len(lengths) and fit:
         use = patterns(lengths, size)
         if len(use):
             repeats = np.floor(fit_repeats(use, np.array([left[int(x)] for x in lengths], float)) + 1e-9).astype(np.int64)

@@ -181,7 +181,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     lists = F.broadcast(described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg((F.count("*") / F.lit(BLOCK)).alias("blocks")))  # a row for each pivot
     dealt = block_pairs(posted.join(lists, "pivot"), "rep", "blocks").select("pivot", "pair", "blk", "rep", "weight", "pivots", "unit")
     dealt = dealt.repartition(parallelism(vectors), "pivot", "pair").sortWithinPartitions("pivot", "pair", "rep")
-    found = materialise(dealt.mapInArrow(_search(width, least, shared), "a long, b long, n long"), "links")
+    found = materialise(dealt.mapInArrow(_search(width, least, min(shared, len(reference))), "a long, b long, n long"), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     joined = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     # Keys that repeat with other vectors are one node, named by any of their classes.
