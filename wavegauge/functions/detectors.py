@@ -132,34 +132,31 @@ class PageHinkley:
         return False
 
 
-class Binariser:
-    """Turn a level into an error bit: above, below, or far from the first ``warmup`` values."""
-
-    def __init__(self, direction: str = "absdev_zscore", threshold: float = 0.0, z: float = 2.0, warmup: int = 30):
-        if direction not in ("high", "low", "absdev_zscore"):
-            raise ValueError(f"unknown direction {direction!r}")
-        self.direction, self.threshold, self.z, self.warmup = direction, threshold, z, warmup
-        self.head: list[float] = []
-
-    def bit(self, x: float) -> int | None:
-        if self.direction == "high":
-            return int(x >= self.threshold)
-        if self.direction == "low":
-            return int(x <= self.threshold)
-        if len(self.head) < self.warmup:
-            self.head.append(x)
+class Reference:
+    """Mean and spread of the first values of a stream; later values count as errors when far from them."""
+
+    def __init__(self, size: int, z: float):
+        self.size, self.z = size, z
+        self.n, self.mean, self.squares = 0, 0.0, 0.0
+
+    def error(self, x: float) -> bool | None:
+        """None while the reference is still being gathered."""
+        if self.n < self.size:
+            self.n += 1
+            step = x - self.mean
+            self.mean += step / self.n
+            self.squares += step * (x - self.mean)
             return None
-        m = sum(self.head) / self.warmup
-        sd = math.sqrt(sum((v - m) ** 2 for v in self.head) / self.warmup) or 1.0
-        return int(abs(x - m) / sd >= self.z)
+        spread = math.sqrt(self.squares / self.n)
+        return abs(x - self.mean) >= self.z * (spread if spread > 0 else 1.0)
 
 
 class Ddm:
     """Error rate plus its deviation against the best point seen so far."""
 
-    def __init__(self, warning: float = 2.0, drift: float = 2.5, min_instances: int = 30, **binarise):
+    def __init__(self, warning: float = 2.0, drift: float = 2.5, min_instances: int = 30, z: float = 2.0, warmup: int = 30):
         self.warning, self.drift, self.min_instances = warning, drift, min_instances
-        self.binariser = Binariser(**binarise)
+        self.reference = Reference(warmup, z)
         self._reset()
 
     def _reset(self) -> None:
@@ -167,7 +164,7 @@ class Ddm:
         self.best_p = self.best_s = self.best = math.inf
 
     def update(self, x: float) -> bool:
-        b = self.binariser.bit(x)
+        b = self.reference.error(x)
         if b is None:
             return False
         self.n += 1
@@ -186,9 +183,9 @@ class Ddm:
 class Eddm:
     """Distance between errors against its largest value so far."""
 
-    def __init__(self, warning: float = 0.95, drift: float = 0.9, min_errors: int = 30, **binarise):
+    def __init__(self, warning: float = 0.95, drift: float = 0.9, min_errors: int = 30, z: float = 2.0, warmup: int = 30):
         self.warning, self.drift, self.min_errors = warning, drift, min_errors
-        self.binariser = Binariser(**binarise)
+        self.reference = Reference(warmup, z)
         self._reset()
 
     def _reset(self) -> None:
@@ -196,7 +193,7 @@ class Eddm:
         self.mean, self.m2, self.best = 0.0, 0.0, 0.0
 
     def update(self, x: float) -> bool:
-        b = self.binariser.bit(x)
+        b = self.reference.error(x)
         if b is None:
             return False
         self.n += 1
@@ -238,10 +235,11 @@ SEQUENTIAL = {"ADWIN": Adwin, "KSWIN": Kswin, "PageHinkley": PageHinkley, "DDM":
 
 
 def rbf_gamma(ref: np.ndarray) -> float:
-    """1 / median positive squared distance of the reference (1 when all values are equal)."""
-    d2 = (ref[:, None] - ref[None, :]) ** 2
-    pos = d2[d2 > 0]
-    return 1.0 / max(float(np.median(pos)) if pos.size else 1.0, 1e-9)
+    """Kernel width by the median rule: one over the median squared distance of the different pairs of the reference."""
+    i, j = np.triu_indices(len(ref), 1)
+    apart = np.square(ref[i] - ref[j])
+    apart = apart[apart > 0]
+    return float(1 / np.median(apart)) if len(apart) else 1.0
 
 
 def mmd2(ref: np.ndarray, act: np.ndarray, gamma: float, labels: np.ndarray | None = None) -> np.ndarray:

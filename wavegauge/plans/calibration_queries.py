@@ -182,9 +182,8 @@ def q_times(spark, d):
 )
 def q_decode(spark, d):
     o = A.table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("code"))
-    enc = R.detect_encoding(o, "code")
-    g = o.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    return tidy(g.withColumns({"rsrp": R.decode_rsrp("code"), "rsrq": R.decode_rsrq("code"), "encoding": F.lit(enc)}))
+    g = o.groupBy("code").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(o.agg(R.value_notation("code").alias("encoding"))))
+    return tidy(g.withColumns({"rsrp": R.decode_rsrp("code"), "rsrq": R.decode_rsrq("code")}))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, require_columns
-from ..functions.radio import decode_rsrp, decode_rsrq, detect_encoding, parse_channel, parse_time
+from ..functions.radio import decode_rsrp, decode_rsrq, parse_channel, parse_time, value_notation
 
 # Fixed header names of the sample files, with accepted spellings.
 SAMPLE_HEADERS = {
@@ -88,7 +88,7 @@ def read_sample_files(spark: SparkSession, paths: list[str], decode: bool = True
         out = out.where(F.col("rsrp_neighbor_raw").isNotNull())
     if not decode:
         return out
-    coded = detect_encoding(out, "rsrp_serving_raw")
+    coded = out.agg(value_notation("rsrp_serving_raw").alias("n")).first()["n"]
     if coded == "unknown":
         return out
     rsrp, rsrq = (decode_rsrp, decode_rsrq) if coded == "coded" else (F.col, F.col)
