@@ -77,6 +77,28 @@ def test_overlap_join_paths(spark, cap):
     assert got == sorted((*x, *y) for x in l for y in r if x[0] < y[1] and y[0] < x[1])
 
 
+def test_interval_joins_are_equi_joins(spark):
+    p, i = spark.createDataFrame([(1.0,), (50.0,), (None,)], "t double"), spark.createDataFrame([(0.0, 2.0), (40.0, float("inf")), (9.0, 3.0), (None, 1.0)], "a double, b double")
+    w = p.select("t", (p.t + 1).alias("u"))
+    for cap in (0, 100):
+        for df in (J.interval_join(p, i, "t", "a", "b", cap=cap), J.interval_join(p, i, "t", "a", "b", how="left_semi", cap=cap), J.overlap_join(w, i, "t", "u", "a", "b", cap=cap)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+            assert sorted(r["t"] for r in df.collect()) == [1.0, 50.0]
+        assert J.interval_join(p, i, "t", "a", "b", how="left", cap=cap).count() == 3
+        assert J.interval_join(p, i.limit(0), "t", "a", "b", cap=cap).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10])
+@pytest.mark.parametrize("base", [0.0, 1704067200.0])
+def test_strict_asof_leaves_out_equal_times(spark, few, base):
+    l = spark.createDataFrame([(base + 5.0,), (base + 1.0,), (base + 9.0,)], "t double")
+    r = spark.createDataFrame([(base + 4.0, 1), (base + 5.0, 2), (base + 6.0, 3), (base + 1.0, 0)], "u double, v long")
+    for forward, want in ((False, {5.0: 1, 1.0: None, 9.0: 3}), (True, {5.0: 3, 1.0: 1, 9.0: None})):
+        got = J.asof_join(l, r, "t", "u", ["v"], forward=forward, few=few, strict=True).collect()
+        assert {x["t"] - base: x["v"] for x in got} == want
+
+
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("chunk, few", [(3.0, 0), (1e6, 0), (1e6, 4095)])
 def test_asof_join_matches_pandas(spark, forward, chunk, few):

@@ -84,3 +84,16 @@ def test_live_state_spans_batches(spark, sf, tmp_path):
     live = U.run_available(U.live_detectors(s, ["ADWIN", "PageHinkley"])).count()
     names = {n: D.D.SEQUENTIAL[n] for n in ("ADWIN", "PageHinkley")}
     assert live == D.run_sequential(t, names).count()
+
+
+def test_update_mode_keeps_the_latest_row_of_every_batch(spark, tmp_path):
+    for i, rows in enumerate(([(1, 1.0), (2, 1.0)], [(1, 2.0)], [(3, 5.0), (1, 1.0)])):
+        spark.createDataFrame(rows, "k long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
+    stream = U.file_stream(spark, str(tmp_path / "in/*"), "k long, v double", files_per_batch=1).groupBy("k").agg(F.sum("v").alias("s"))
+    got = U.run_available(stream, "update", keys=["k"]).collect()
+    assert sorted((r["k"], r["s"]) for r in got) == [(1, 4.0), (2, 1.0), (3, 5.0)]
+    with pytest.raises(ValueError):
+        U.run_available(stream, "update")
+    (tmp_path / "none").mkdir()
+    empty = U.file_stream(spark, str(tmp_path / "none"), "k long, v double").groupBy("k").agg(F.sum("v").alias("s"))
+    assert U.run_available(empty, "complete").count() == 0

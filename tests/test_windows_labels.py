@@ -80,7 +80,7 @@ WSCHEMA = "ue_id long, phase_id int, t_start_s double, t_end_s double, window_id
 TSCHEMA = "anomaly_id string, anomaly_type string, phase_id int, t_start_s double, t_end_s double, affected_ue_ids string, affected_cell_ids string"
 
 
-@pytest.mark.parametrize("inline", [512, 0])
+@pytest.mark.parametrize("others", [0, 513])
 @pytest.mark.parametrize(
     "truth, expected",
     [
@@ -91,10 +91,27 @@ TSCHEMA = "anomaly_id string, anomaly_type string, phase_id int, t_start_s doubl
         (("A", "x", 1, 20.0, 30.0, None, None), set()),
     ],
 )
-def test_label_rules(spark, monkeypatch, inline, truth, expected):
-    monkeypatch.setattr(L, "INLINE_TRUTH_ROWS", inline)
-    got = L.label_windows(spark.createDataFrame(WIN, WSCHEMA), spark.createDataFrame([truth], TSCHEMA)).where("label_anomaly = 1").collect()
-    assert {(r["ue_id"], r["t_start_s"]) for r in got} == expected
+def test_label_rules(spark, others, truth, expected):
+    rows = [truth] + [(f"Z{i}", "x", 1, 1e4 + i, 1e4 + i + 3, "all", "all") for i in range(others)]
+    for columns in (WSCHEMA.split(", "), [c for c in WSCHEMA.split(", ") if not c.startswith("window_id")]):
+        windows = spark.createDataFrame(WIN, WSCHEMA).select(*[c.split()[0] for c in columns])
+        got = L.label_windows(windows, spark.createDataFrame(rows, TSCHEMA)).where("label_anomaly = 1").collect()
+        assert sorted((r["ue_id"], r["t_start_s"]) for r in got) == sorted(expected)
+
+
+def test_labels_without_truth_and_with_open_ends(spark):
+    w = spark.createDataFrame([*WIN, (9, 1, None, None, 0, 1)], WSCHEMA)
+    assert L.label_windows(w, spark.createDataFrame([], TSCHEMA)).where("label_anomaly = 0").count() == len(WIN) + 1
+    t = spark.createDataFrame([("A", "x", 1, 10.0, float("inf"), "all", "all"), ("B", "x", 1, float("-inf"), 1.0, "1", "all"), ("C", "x", 1, 9.0, 2.0, "all", "all")], TSCHEMA)
+    got = L.label_windows(w, t).where("label_anomaly = 1").collect()
+    assert sorted((r["ue_id"], r["t_start_s"]) for r in got) == sorted([(1, 0.0)] + [(u, x) for u in (1, 2, 3) for x in (10.0, 15.0)])
+
+
+def test_long_rows_are_refused_on_demand(spark):
+    w, t = spark.createDataFrame(WIN, WSCHEMA), spark.createDataFrame([("A", "x", 1, 5.0, 6.0, "all", "all")], TSCHEMA)
+    assert L.label_windows(w, t, longest_s=5.0).where("label_anomaly = 1").count() == 3
+    with pytest.raises(Exception, match="longer than"):
+        L.label_windows(w, t, longest_s=4.0).collect()
 
 
 def test_two_faults_join_ids(spark):

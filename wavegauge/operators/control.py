@@ -340,10 +340,8 @@ def enrich_events(events: DataFrame, samples: DataFrame, columns: list[str], chu
     The sample before has a time < the event, the sample after a time > the event.
     """
     s = samples.select("ue_id", F.col("time_s").alias("_st"), *columns)
-    eps = 1e-9
     out = events
     for prefix, fwd in (("pre_", False), ("post_", True)):
         named = s.withColumnsRenamed({c: f"{prefix}{c}" for c in columns})
-        probe = out.withColumn("_probe", F.col("event_time_s") + (eps if fwd else -eps))
-        out = asof_join(probe, named, "_probe", "_st", [f"{prefix}{c}" for c in columns], by=["ue_id"], chunk=chunk, forward=fwd).drop("_probe")
+        out = asof_join(out, named, "event_time_s", "_st", [f"{prefix}{c}" for c in columns], by=["ue_id"], chunk=chunk, forward=fwd, strict=True)
     return out

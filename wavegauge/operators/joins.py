@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scale import BROADCAST_ROWS, fits, fitting_chunk, null_safe_join, place_among
@@ -11,9 +11,36 @@ from .scale import BROADCAST_ROWS, fits, fitting_chunk, null_safe_join, place_am
 FEW_PROBES = 127
 
 
-def _typical_width(df: DataFrame, start: str, end: str) -> float:
-    row = df.agg(F.avg(F.col(end) - F.col(start)).alias("w")).first()
-    return float(row["w"] or 0.0) or 1.0
+class Bins:
+    """Time bins for a table of intervals: as wide as its intervals on average.
+
+    The table then covers at most three bins per interval (in total), so its size after binning is
+    known from its row count. Ends beyond the finite range of the table fall into its outer bins.
+    """
+
+    def __init__(self, intervals: DataFrame, start: str, end: str, width: float | None = None):
+        inf = float("inf")
+        a, b = F.col(start).cast("double"), F.col(end).cast("double")
+        finite = lambda c: F.when((F.abs(c) < inf) & ~F.isnan(c), c)
+        row = intervals.agg(
+            F.count(F.lit(1)).alias("n"), F.avg(finite(b - a)).alias("w"), F.min(finite(F.least(a, b))).alias("lo"), F.max(finite(F.greatest(a, b))).alias("hi")
+        ).first()
+        self.rows = row["n"]
+        self.width = width or (row["w"] if row["w"] and row["w"] > 0 else 1.0)
+        self.lo, self.hi = float(row["lo"] or 0.0), float(row["hi"] or 0.0)
+
+    def of(self, time: str | Column) -> Column:
+        """Bin of a time; NULL stays NULL."""
+        t = F.col(time).cast("double") if isinstance(time, str) else time
+        return F.floor(F.when(t < self.lo, self.lo).when(t > self.hi, self.hi).otherwise(t) / self.width)
+
+    def spread(self, df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+        """Rows once for each bin they cover; rows that end before they start cover none."""
+        return df.where(F.col(start) <= F.col(end)).withColumn(name, F.explode(F.sequence(self.of(start), self.of(end))))
+
+    def side(self, binned: DataFrame, cap: int) -> DataFrame:
+        """Broadcast the binned table if its rows were counted to be few."""
+        return F.broadcast(binned) if self.rows <= cap else binned
 
 
 def interval_join(
@@ -30,22 +57,18 @@ def interval_join(
 ) -> DataFrame:
     """Match points with the intervals that contain them: [start, end), or [start, end] if closed.
 
-    Few intervals (checked) are broadcast. Otherwise both sides meet on a time bin, so the work is
-    an ordinary shuffled equi join that adaptive execution may split. Column names must not clash
-    except for ``on``. ``how`` is inner, left_semi or left.
+    Points and intervals meet on a time bin, so the join is a hash or sort-merge equi join at every
+    size; up to ``cap`` intervals (counted) are broadcast by bin. Column names must not clash except
+    for ``on``. ``how`` is inner, left_semi or left.
     """
     on = on or []
     iv = intervals.withColumnsRenamed({k: f"_iv_{k}" for k in on})
     cond = (F.col(t) >= F.col(start)) & ((F.col(t) <= F.col(end)) if closed else (F.col(t) < F.col(end)))
     for k in on:
         cond = cond & (F.col(k) == F.col(f"_iv_{k}"))
-    if fits(intervals, cap):
-        return points.join(F.broadcast(iv), cond, how).drop(*[f"_iv_{k}" for k in on])
-    width = bin_width or _typical_width(intervals, start, end)
-    binned = iv.withColumn(
-        "_ib", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
-    )
-    pts = points.withColumn("_pb", F.floor(F.col(t) / width))
+    bins = Bins(intervals, start, end, bin_width)
+    binned = bins.side(bins.spread(iv, start, end, "_ib"), cap)
+    pts = points.withColumn("_pb", bins.of(t))
     return pts.join(binned, (F.col("_pb") == F.col("_ib")) & cond, how).drop("_pb", "_ib", *[f"_iv_{k}" for k in on])
 
 
@@ -61,15 +84,10 @@ def overlap_join(
 ) -> DataFrame:
     """Inner join of half-open intervals that overlap. Every pair appears once."""
     cond = (F.col(l_start) < F.col(r_end)) & (F.col(r_start) < F.col(l_end))
-    if fits(right, cap):
-        return left.join(F.broadcast(right), cond)
-    width = bin_width or _typical_width(right, r_start, r_end)
-
-    def bins(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-        return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
-
-    first_common = F.greatest(F.floor(F.col(l_start) / width), F.floor(F.col(r_start) / width))
-    joined = bins(left, l_start, l_end, "_lb").join(bins(right, r_start, r_end, "_rb"), (F.col("_lb") == F.col("_rb")) & cond)
+    bins = Bins(right, r_start, r_end, bin_width)
+    first_common = F.greatest(bins.of(l_start), bins.of(r_start))
+    binned = bins.side(bins.spread(right, r_start, r_end, "_rb"), cap)
+    joined = bins.spread(left, l_start, l_end, "_lb").join(binned, (F.col("_lb") == F.col("_rb")) & cond)
     return joined.where(F.col("_lb") == first_common).drop("_lb", "_rb")
 
 
@@ -84,10 +102,12 @@ def asof_join(
     forward: bool = False,
     tie: str | None = None,
     few: int = FEW_PROBES,
+    strict: bool = False,
 ) -> DataFrame:
     """For each left row, ``columns`` of the last right row with time <= the left time.
 
-    ``forward`` takes the first right row with time >= the left time. On equal right times the
+    ``forward`` takes the first right row with time >= the left time. ``strict`` leaves out right rows
+    at the left time itself. On equal right times the
     smallest ``tie`` value wins. With few probe times (checked) every right row is reduced to the
     probe it can serve before anything is shuffled. Otherwise time is cut into chunks of at most
     ``chunk``, shortened until no (key, chunk) is too full: a chunk is ordered on its own and receives
@@ -106,7 +126,7 @@ def asof_join(
     l = left.withColumn("_t", (F.col(left_time) * sign).cast("double"))
     probes = l.where(F.col("_t").isNotNull()).select("_t").distinct()
     if fits(probes, few):
-        out = _asof_few(l, r, sorted(x[0] for x in probes.collect()), by)
+        out = _asof_few(l, r, sorted(x[0] for x in probes.collect()), by, strict)
         return out.select(*[F.col(c) for c in left.columns], *[F.col("_hit")[c].alias(c) for c in columns])
     chunk = fitting_chunk(l.select(*by, "_t").unionByName(r.select(*by, "_t")), by, "_t", chunk)
     r = r.withColumn("_chunk", F.floor(F.col("_t") / chunk))
@@ -117,29 +137,30 @@ def asof_join(
     carry = null_safe_join(chunks, tails, [*by, "_chunk"], "left").select(
         *by, "_chunk", F.last("_tail", ignorenulls=True).over(over).alias("_carry")
     )
-    # Right rows sort before left rows of the same time, and later ties before earlier ones lose.
-    both = l.withColumn("_side", F.lit(1)).withColumn("_tie", F.lit(0.0)).unionByName(
-        r.withColumn("_side", F.lit(0)), allowMissingColumns=True
+    # Right rows sort before left rows of the same time (after them if strict), and later ties before earlier ones lose.
+    mine, theirs = (0, 1) if strict else (1, 0)
+    both = l.withColumn("_side", F.lit(mine)).withColumn("_tie", F.lit(0.0)).unionByName(
+        r.withColumn("_side", F.lit(theirs)), allowMissingColumns=True
     )
     w = (
         Window.partitionBy(*by, "_chunk")
         .orderBy("_t", "_side", "_tie")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    local = both.withColumn("_hit", F.last("_payload", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+    local = both.withColumn("_hit", F.last("_payload", ignorenulls=True).over(w)).where(F.col("_side") == mine)
     out = null_safe_join(local, carry, [*by, "_chunk"], "left")
     pick = F.coalesce(F.col("_hit"), F.col("_carry"))
     return out.select(*[F.col(c) for c in left.columns], *[pick[c].alias(c) for c in columns])
 
 
-def _asof_few(left: DataFrame, right: DataFrame, times: list[float], by: list[str]) -> DataFrame:
+def _asof_few(left: DataFrame, right: DataFrame, times: list[float], by: list[str], strict: bool = False) -> DataFrame:
     """As-of lookup for a short list of probe times: one map-side combined aggregate over ``right``."""
     n = 2
     while n - 1 < len(times):
         n *= 2
     top = 1.7976931348623157e308
     cuts = F.expr(f"array({', '.join(f'{float(x)!r}D' for x in times + [top] * (n - 1 - len(times)))})")
-    slot = place_among("_t", cuts, n)  # the first probe at or after the row
+    slot = place_among("_t", cuts, n, at_or_below=strict)  # the first probe at or after the row, strictly after if strict
     placed = right.withColumn("_slot", slot).where(F.col("_slot") < len(times))
     # The latest time per probe by hash aggregation, then the payload of just those rows.
     latest = placed.groupBy(*by, "_slot").agg(F.max("_t").alias("_t"))

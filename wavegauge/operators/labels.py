@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import id_list, tag_list
-from .joins import interval_join, overlap_join
-from .scale import fits, null_safe_join
-
-# Up to this many truth rows ride along as one array and need no join per window.
-INLINE_TRUTH_ROWS = 512
+from .joins import Bins, interval_join
 
 # KPI tags that each stream answers to.
 STREAM_TAGS = {
@@ -40,34 +36,46 @@ def _in_scope(scope: Column, value: Column) -> Column:
     return scope.isNull() | F.coalesce(F.array_contains(scope, value), F.lit(False))
 
 
-def label_windows(windows: DataFrame, truth: DataFrame) -> DataFrame:
+def _by_bin(truth: DataFrame, start: str, end: str, bins: Bins, reach: int = 0) -> DataFrame:
+    """Truth rows gathered by time bin (``_bin``, ``_truth``), also for the ``reach`` bins before each."""
+    first, last = bins.of(start) - reach, bins.of(end)
+    spread = truth.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(first, last)))
+    return spread.groupBy("_bin").agg(F.collect_list(F.struct(*truth.columns)).alias("_truth"))
+
+
+def label_windows(windows: DataFrame, truth: DataFrame, longest_s: float | None = None) -> DataFrame:
     """Add ``active_ids`` (sorted array), ``active_anomaly_id`` (text) and ``label_anomaly`` (0/1).
 
     A window is positive when a truth interval overlaps it and both its entity and its modal cell
     are in scope. A window table without a modal cell matches only unrestricted cell scopes,
     because its cell is taken as -1.
+
+    Every row is labelled on its own, by one lookup of the time bin in which it starts: bins are as
+    long as the longest window, so a bin and the next hold all that may overlap. On a stream the
+    longest window cannot be measured and is given as ``longest_s``; longer rows raise an error.
     """
     w = windows if "serving_cell_mode" in windows.columns else windows.withColumn("serving_cell_mode", F.lit(-1))
     t = parse_truth(truth)
     ue, cell = F.col("ue_id").cast("int"), F.col("serving_cell_mode").cast("int")
-    if fits(t, INLINE_TRUTH_ROWS):
-        packed = t.agg(F.collect_list(F.struct(*t.columns)).alias("_truth"))
-        hit = F.filter(
-            "_truth",
-            lambda a: (F.col("t_start_s") < a["a_end"])
-            & (a["a_start"] < F.col("t_end_s"))
-            & _in_scope(a["a_ues"], ue)
-            & _in_scope(a["a_cells"], cell),
-        )
-        out = w.crossJoin(F.broadcast(packed)).withColumn(
-            "active_ids", F.array_sort(F.array_distinct(F.transform(hit, lambda a: a["anomaly_id"])))
-        ).drop("_truth")
+    length = F.col("t_end_s") - F.col("t_start_s")
+    if longest_s is None:
+        if windows.isStreaming:
+            raise ValueError("give longest_s for a stream")
+        longest_s = w.agg(F.max(length)).first()[0] or 1.0
     else:
-        keys = [k for k in ("ue_id", "phase_id", "window_s", "window_id") if k in w.columns]
-        hits = overlap_join(w, t, "t_start_s", "t_end_s", "a_start", "a_end")
-        hits = hits.where(_in_scope(F.col("a_ues"), ue) & _in_scope(F.col("a_cells"), cell))
-        ids = hits.groupBy(*keys).agg(F.array_sort(F.collect_set("anomaly_id")).alias("active_ids"))
-        out = null_safe_join(w, ids, keys).withColumn("active_ids", F.coalesce("active_ids", F.array().cast("array<string>")))
+        w = w.where(F.when(length > longest_s, F.raise_error(F.lit(f"a window is longer than {longest_s} s")).cast("boolean")).otherwise(F.lit(True)))
+    typical = Bins(t, "a_start", "a_end")
+    bins = Bins(t, "a_start", "a_end", max(float(longest_s), typical.width))
+    hit = F.filter(
+        "_truth",
+        lambda a: (F.col("t_start_s") < a["a_end"])
+        & (a["a_start"] < F.col("t_end_s"))
+        & _in_scope(a["a_ues"], ue)
+        & _in_scope(a["a_cells"], cell),
+    )
+    ids = F.array_sort(F.array_distinct(F.transform(hit, lambda a: a["anomaly_id"])))
+    out = w.withColumn("_bin", bins.of("t_start_s")).join(_by_bin(t, "a_start", "a_end", bins, 1), "_bin", "left")
+    out = out.withColumn("active_ids", F.coalesce(ids, F.array().cast("array<string>"))).drop("_bin", "_truth")
     return out.withColumns(
         {
             "active_anomaly_id": F.array_join("active_ids", ","),
@@ -113,25 +121,14 @@ def label_streams(streams: DataFrame, drift: DataFrame) -> DataFrame:
         tag_list("affected_kpis").alias("d_tags"),
     )
     own = F.coalesce(F.element_at(tags, F.col("stream_name")), F.array().cast("array<string>"))
-    if fits(d, INLINE_TRUTH_ROWS):
-        packed = d.agg(F.collect_list(F.struct(*d.columns)).alias("_d"))
-        hit = F.filter(
-            "_d",
-            lambda a: (F.col("time_s") >= a["d_start"])
-            & (F.col("time_s") < a["d_end"])
-            & F.arrays_overlap(a["d_tags"], F.col("_own")),
-        )
-        out = streams.crossJoin(F.broadcast(packed)).withColumn("_own", own).withColumn(
-            "_ids", F.array_sort(F.array_distinct(F.transform(hit, lambda a: a["drift_id"])))
-        ).drop("_d", "_own")
-    else:
-        hits = interval_join(streams.withColumn("_own", own), d, "time_s", "d_start", "d_end")
-        ids = hits.where(F.arrays_overlap("d_tags", "_own")).groupBy("stream_name", "time_s").agg(
-            F.array_sort(F.collect_set("drift_id")).alias("_ids")
-        )
-        out = null_safe_join(streams, ids, ["stream_name", "time_s"]).withColumn(
-            "_ids", F.coalesce("_ids", F.array().cast("array<string>"))
-        )
+    bins = Bins(d, "d_start", "d_end")
+    hit = F.filter(
+        "_truth",
+        lambda a: (F.col("time_s") >= a["d_start"]) & (F.col("time_s") < a["d_end"]) & F.arrays_overlap(a["d_tags"], F.col("_own")),
+    )
+    out = streams.withColumns({"_own": own, "_bin": bins.of("time_s")}).join(_by_bin(d, "d_start", "d_end", bins), "_bin", "left")
+    ids = F.array_sort(F.array_distinct(F.transform(hit, lambda a: a["drift_id"])))
+    out = out.withColumn("_ids", F.coalesce(ids, F.array().cast("array<string>"))).drop("_truth", "_own", "_bin")
     return out.withColumns(
         {"label_drift": (F.size("_ids") > 0).cast("int"), "active_drift_ids": F.array_join("_ids", ",")}
     ).drop("_ids")

@@ -63,8 +63,9 @@ def bucket_count(spark: SparkSession) -> int:
     return n
 
 
-def place_among(value: str, cuts: Column, n: int) -> Column:
-    """How many of the n - 1 sorted cut points (n a power of two) lie strictly below the value."""
+def place_among(value: str, cuts: Column, n: int, at_or_below: bool = False) -> Column:
+    """How many of the n - 1 sorted cut points (n a power of two) lie strictly below the value, or at or below it."""
+    past = (lambda cut: F.col(value) >= cut) if at_or_below else (lambda cut: F.col(value) > cut)
     steps = []
     s = n // 2
     while s:
@@ -73,7 +74,7 @@ def place_among(value: str, cuts: Column, n: int) -> Column:
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda acc, s: acc + F.when(F.col(value) > F.element_at(cuts, acc + s), s).otherwise(F.lit(0)),
+        lambda acc, s: acc + F.when(past(F.element_at(cuts, acc + s)), s).otherwise(F.lit(0)),
     )
 
 
