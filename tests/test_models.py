@@ -174,3 +174,29 @@ def test_hash_sample_is_exact_and_stable(spark):
     a = {r["k"] for r in S.hash_sample(d.repartition(13), ["k"], 100).collect()}
     assert a == {r["k"] for r in h.collect()} and len(a) == 100
     assert S.hash_sample(d, ["k"], 6000).count() == 5000
+
+
+@pytest.mark.parametrize("name", ["IsoForest", "OneClassSVM", "MLP-AE"])
+def test_scores_do_not_depend_on_the_layout(cloud, name):
+    cols = [f"f{k}" for k in range(8)]
+    scores = []
+    for parts in (1, 7):
+        m = S.BENCHMARK[name](cols, ["id"]).fit(cloud.repartition(parts).where("y = 0"))
+        scores.append(m.score(cloud).select("id", "score").toPandas().sort_values("id")["score"].to_numpy())
+    assert np.allclose(*scores, rtol=1e-3, atol=1e-4)
+
+
+@pytest.mark.parametrize("name", list(S.BENCHMARK))
+def test_replay_with_every_scorer(spark, name):
+    w = _windows(spark)
+    f = spark.createDataFrame([("s", "x", 90.0), ("s", "x", 140.0)], "stream_name string, detector string, time_s double")
+    scored, log = A.replay(w, f, A.DriftTriggered(20.0), S.BENCHMARK[name], COLS, ["id"], pool_window=40.0)
+    assert scored.count() == w.where("phase_id > 3").count() and log.count() > 1
+    assert scored.where("score IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("bad", [{"columns": []}, {"pool_window": 0.0}, {"filter_quantile": 1.0}, {"filter_quantile": 0.0}])
+def test_replay_checks_its_arguments(spark, bad):
+    args = {"columns": COLS, "key": ["id"], "pool_window": 40.0, **bad}
+    with pytest.raises(ValueError):
+        A.replay(None, None, A.Static(), S.PcaScorer, **args)

@@ -7,6 +7,7 @@ are then fitted epoch by epoch, and every window is scored in one pass by the mo
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -137,7 +138,17 @@ def model_in_force(windows: DataFrame, times: list[float]) -> DataFrame:
 
 
 def score_by_epoch(windows: DataFrame, models: list, columns: list[str]) -> DataFrame:
-    """One scoring pass: each row goes through the model of its epoch."""
+    """Each row goes through the model of its epoch; rows of an epoch without a model get NULL.
+
+    Models that are a function of the row are applied in one pass; others, such as neighbour models,
+    score the rows of their epoch as a table.
+    """
+    if not all(m is None or hasattr(m, "fn") for m in models):
+        parts = [
+            windows.where(F.col("epoch") == i).withColumn("score", F.lit(None).cast("double")) if m is None else m.score(windows.where(F.col("epoch") == i))
+            for i, m in enumerate(models)
+        ]
+        return reduce(lambda a, b: a.unionByName(b), parts)
     held = [m and (m.pre.median, m.pre.mean, m.pre.std, m.fn) for m in models]  # shipped with the function
 
     @F.pandas_udf("double")
@@ -177,6 +188,12 @@ def replay(
     ``scorer`` is a scorer class. With ``filter_quantile`` a pool keeps only rows the current model
     scores at or below that quantile. An empty pool keeps the model in force and is logged.
     """
+    if not columns:
+        raise ValueError("no feature columns")
+    if pool_window <= 0:
+        raise ValueError("pool_window must be positive")
+    if filter_quantile is not None and not 0 < filter_quantile < 1:
+        raise ValueError("filter_quantile must lie between 0 and 1")
     spark, name = windows.sparkSession, name or strategy.name
     warm = warmup_pool(windows, warmup_phase)
     head = warm.agg(F.max("t_end_s").alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -238,11 +255,12 @@ def run_summary(scored: DataFrame, log: DataFrame, drift_phases: DataFrame) -> D
     return null_safe_join(null_safe_join(cost, overall, ["strategy"]), part, ["strategy"])
 
 
-def adaptive_verdicts(summary: DataFrame) -> DataFrame:
-    """C2: filtered overall at least periodic; C3: filtered in drift phases at least static + 0.10."""
+def adaptive_verdicts(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """C2: filtered overall at least periodic; C3: filtered in drift phases at least static + 0.10; for each of ``keys``."""
+    keys = keys or []
     pick = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
     head = "drift_triggered_filtered"
-    one = summary.agg(
+    one = summary.groupBy(*keys).agg(
         (pick(head, "overall_pr_auc") - pick("periodic", "overall_pr_auc")).alias("a"),
         (pick(head, "drift_phase_pr_auc") - pick("static", "drift_phase_pr_auc")).alias("b"),
     )
@@ -250,4 +268,4 @@ def adaptive_verdicts(summary: DataFrame) -> DataFrame:
         F.struct(F.lit("C2").alias("code"), F.col("a").alias("delta"), F.coalesce(F.col("a") >= -1e-6, F.lit(False)).alias("passed")),
         F.struct(F.lit("C3").alias("code"), F.col("b").alias("delta"), F.coalesce(F.col("b") >= 0.10 - 1e-6, F.lit(False)).alias("passed")),
     )
-    return one.select(F.explode(rows).alias("_r")).select("_r.*")
+    return one.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")

@@ -68,18 +68,25 @@ def qq_pairs(a: DataFrame, b: DataFrame, column: str, max_points: int = 2000) ->
     n = min(a.count(), b.count(), max_points)
     if n == 0:
         raise ValueError("both samples need values")
-    spark = a.sparkSession
     step = 0.99 / (n - 1) if n > 1 else 0.0
-    probs = spark.range(n).select(F.col("id").alias("k"), (F.lit(0.005) + F.col("id") * F.lit(step)).alias("p"))
 
     def at_probs(d: DataFrame, name: str) -> DataFrame:
         c = d.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
         r = prefix_sum(c, [], "x", ["n"], with_next=True)
-        # At most 2000 probabilities: each finds the value whose rank range covers it.
-        h = F.col("p") * (F.col("tot_n") - 1)
+        # A value of ranks first to cum_n - 1 serves the probabilities whose rank h falls on it: their
+        # numbers follow from the ranks, so no join is needed.
         first = F.col("cum_n") - F.col("n")
+        if n > 1:
+            number = lambda rank: (rank / (F.col("tot_n") - 1) - 0.005) / F.lit(step)
+            k_lo = F.greatest(F.lit(0), F.floor(number(first)) - 1).cast("long")
+            k_hi = F.least(F.lit(n - 1), F.ceil(number(F.col("cum_n"))) + 1).cast("long")
+            ks = F.when(k_lo <= k_hi, F.sequence(k_lo, k_hi))
+        else:
+            ks = F.array(F.lit(0).cast("long"))
+        j = r.withColumn("k", F.explode(ks)).withColumn("p", F.lit(0.005) + F.col("k") * F.lit(step))
+        h = F.col("p") * (F.col("tot_n") - 1)
         lo = F.floor(h)
-        j = r.join(F.broadcast(probs), (lo >= first) & (lo < F.col("cum_n")))
+        j = j.where((lo >= first) & (lo < F.col("cum_n")))
         nxt = F.when(lo + 1 < F.col("cum_n"), F.col("x")).otherwise(F.coalesce("next_x", "x"))
         return j.select("k", "p", (F.col("x") + (nxt - F.col("x")) * (h - lo)).alias(name))
 
@@ -127,12 +134,12 @@ def ks_p_values(stats: DataFrame) -> DataFrame:
     return stats.withColumn("p_value", F.when(F.col("ks").isNotNull(), p))
 
 
-def ks_bootstrap(df: DataFrame, keys: list[str], value: str, side: str, reps: int = 200, draw_cap: int = 10_000) -> DataFrame:
-    """95 % percentile interval of the KS distance; each resample draws at most ``draw_cap`` rows per side."""
+def ks_bootstrap(df: DataFrame, keys: list[str], value: str, side: str, reps: int = 200, draw_cap: int | None = None) -> DataFrame:
+    """95 % percentile interval of the KS distance; each resample draws as many rows as a side has, or ``draw_cap`` if given and fewer."""
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.col(side).cast("int").alias("_side"))
     strata = [*keys, "_side"]
     pos = dense_position(d, strata, "_v")
-    sizes = pos.groupBy(*strata).agg(F.max("n").alias("n")).withColumn("_m", F.least(F.col("n"), F.lit(draw_cap).cast("long")))
+    sizes = pos.groupBy(*strata).agg(F.max("n").alias("n")).withColumn("_m", F.least(F.col("n"), F.lit(draw_cap).cast("long")))  # NULL, no cap, is ignored
     picks = resample_positions(sizes, strata, "n", "_m", reps, F.concat_ws("|", *[F.col(c).cast("string") for c in strata]))
     hit = null_safe_join(picks, pos.drop("n"), [*strata, "pos"], "inner")
     rep = ks_statistic(hit, [*keys, "rep"], "_v", "_side", weight="picks")

@@ -32,11 +32,13 @@ def require_rows(df: DataFrame, what: str = "training pool") -> DataFrame:
     return df
 
 
-def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows, uniform without replacement and repeatable: smallest hashes of the key.
+def hash_sample(df: DataFrame, key: list[str], n: int | None, seed: int = 42) -> DataFrame:
+    """At most ``n`` rows (all if None), uniform without replacement and repeatable: smallest hashes of the key.
 
     A cut on the hash keeps about twice the wanted rows, so the final ordering sees only those.
     """
+    if n is None:
+        return df
     total = df.count()
     if total <= n:
         return df
@@ -189,8 +191,9 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> tuple:
 class IsolationForestScorer(Scorer):
     """2^(-mean depth / c(n)) over trees grown on small random subsamples.
 
-    The subsamples are drawn from at most trees * subsample rows chosen by hash; every task grows
-    its trees from that bounded pool.
+    The subsample of a tree is the rows of the smallest hashes under the tree's own seed, so it is
+    drawn from all rows and does not depend on their layout. Tasks keep only rows below a hash that
+    leaves about twice the wanted number in the whole table.
     """
 
     name = "IsoForest"
@@ -202,24 +205,33 @@ class IsolationForestScorer(Scorer):
     def fit(self, train: DataFrame) -> Model:
         pre = Preprocessor(self.columns).fit(train)
         spark = train.sparkSession
-        pool = hash_sample(train.select(*self.key, pre.vector().alias("x")), self.key, self.trees * self.subsample, self.seed)
-        matrix = np.stack([np.asarray(r["x"]) for r in pool.select("x").collect()])  # bounded by trees * subsample
-        shared = spark.sparkContext.broadcast(matrix)
-        size, seed = min(self.subsample, len(matrix)), self.seed
+        rows = train.select(F.xxhash64(F.lit(self.seed), *self.key).alias("h"), pre.vector().alias("x"))
+        n = train.count()
+        size, seed, trees = min(self.subsample, n), self.seed, self.trees
+        cut = np.uint64(2**64 - 1) if n <= 2 * size + 100 else np.uint64(int(2**64 * (2 * size + 100) / n))
+        salts = np.random.default_rng(seed).integers(1, 2**63, trees).astype(np.uint64)
 
-        def grow(batches):
+        def draw(batches):
             for pdf in batches:
-                out = []
-                for t in pdf["id"]:
-                    rng = np.random.default_rng([seed, int(t)])
-                    x = shared.value[rng.choice(len(shared.value), size, replace=False)]
-                    f, c, lo, hi, dep = grow_tree(x, rng)
-                    out.append((int(t), f.tolist(), c.tolist(), lo.tolist(), hi.tolist(), dep.tolist()))
-                yield pd.DataFrame(out, columns=["tree", "f", "c", "l", "r", "d"])
+                h = pdf["h"].to_numpy().astype(np.int64).view(np.uint64)
+                for t in range(trees):
+                    z = (h ^ salts[t]) * np.uint64(0x9E3779B97F4A7C15)
+                    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    z ^= z >> np.uint64(32)
+                    at = np.flatnonzero(z <= cut)
+                    if len(at):
+                        yield pd.DataFrame({"tree": t, "rank": (z[at] >> np.uint64(1)).astype(np.int64), "x": pdf["x"].iloc[at].to_numpy()})
+
+        def grow(key, pdf):
+            t = int(key[0])
+            x = np.stack(pdf.nsmallest(size, "rank")["x"].to_numpy())
+            f, c, lo, hi, dep = grow_tree(x, np.random.default_rng([seed, t]))
+            return pd.DataFrame([(t, f.tolist(), c.tolist(), lo.tolist(), hi.tolist(), dep.tolist())], columns=["tree", "f", "c", "l", "r", "d"])
 
         schema = "tree int, f array<int>, c array<double>, l array<int>, r array<int>, d array<double>"
-        rows = spark.range(self.trees).repartition(min(self.trees, 32)).mapInPandas(grow, schema).collect()
-        forest = [tuple(np.asarray(r[k]) for k in ("f", "c", "l", "r", "d")) for r in sorted(rows, key=lambda r: r["tree"])]
+        drawn = rows.mapInPandas(draw, "tree int, rank long, x array<double>")
+        grown = drawn.groupBy("tree").applyInPandas(grow, schema).collect()  # one small tree each
+        forest = [tuple(np.asarray(r[k]) for k in ("f", "c", "l", "r", "d")) for r in sorted(grown, key=lambda r: r["tree"])]
         held = spark.sparkContext.broadcast(forest)
         depth, norm = int(np.ceil(np.log2(max(size, 2)))), float(average_path(size)) or 1.0
 
@@ -360,27 +372,38 @@ class LofScorer(Scorer):
         return m
 
 
+# Rows on which a task takes local steps in a round.
+SHARD_ROWS = 20_000
+
 # --- iterative learners: local steps per task, averaged every round ----------------------------
 
 
+def _local_steps(step: Callable, r: int, held):
+    """One round of a shard: its rows in hash order, its row count and new weights."""
+
+    def run(key, pdf):
+        m = np.stack(pdf.sort_values("_h", kind="stable")["x"].to_numpy())
+        return pd.DataFrame([(key[0], len(m), step(held.value.copy(), m, r).tolist())], columns=["s", "n", "w"])
+
+    return run
+
+
 def averaged_rounds(train: DataFrame, start: np.ndarray, step: Callable, rounds: int, parts: int = 8, valid: Callable | None = None, patience: int = 3):
     """Weights averaged over tasks: every round each task takes local steps on its own rows.
 
-    ``train`` (column x) is capped by the caller; it is written once and split into ``parts``.
-    ``valid`` maps weights to a validation loss; training stops after ``patience`` rounds without gain.
+    ``train`` (columns x and _h, a hash of the row's key) is written once, dealt by hash into shards of about ``SHARD_ROWS`` rows (at
+    least ``parts`` shards) and ordered by hash within a shard, so the weights do not depend on how the
+    table was laid out. ``valid`` maps weights to a validation loss; training stops after ``patience``
+    rounds without gain.
     """
-    d = materialise(train.repartition(parts, F.xxhash64("x")), "train")
+    shards = max(parts, -(-train.count() // SHARD_ROWS))
+    d = materialise(train.select("x", "_h").withColumn("_s", F.pmod("_h", F.lit(shards))), "train")
     w, best, best_w, stale = start, np.inf, start, 0
     for r in range(rounds):
         held = d.sparkSession.sparkContext.broadcast(w)
 
-        def run(batches, r=r, held=held):
-            mats = [np.stack(p["x"].to_numpy()) for p in batches if len(p)]
-            if mats:
-                m = np.concatenate(mats)
-                yield pd.DataFrame([(len(m), step(held.value.copy(), m, r).tolist())], columns=["n", "w"])
-
-        got = d.select("x").mapInPandas(run, "n long, w array<double>").collect()  # one weight vector per task
+        got = d.groupBy("_s").applyInPandas(_local_steps(step, r, held), "s long, n long, w array<double>").collect()  # one weight vector per shard
+        got.sort(key=lambda g: g["s"])
         total = sum(g["n"] for g in got)
         w = sum(np.asarray(g["w"]) * (g["n"] / total) for g in got)
         if valid is None:
@@ -401,7 +424,7 @@ class OneClassScorer(Scorer):
 
     name = "OneClassSVM"
 
-    def __init__(self, columns, key, nu: float = 0.05, max_train: int = 5000, features: int = 256, rounds: int = 8, seed: int = 42):
+    def __init__(self, columns, key, nu: float = 0.05, max_train: int | None = None, features: int = 256, rounds: int = 8, seed: int = 42):
         super().__init__(columns, key)
         self.nu, self.max_train, self.features, self.rounds, self.seed = nu, max_train, features, rounds, seed
 
@@ -428,7 +451,7 @@ class OneClassScorer(Scorer):
                 rho = rho - lr * (out.mean() / nu - 1.0)
             return np.r_[v, rho]
 
-        w = averaged_rounds(t.select("x"), np.zeros(big + 1), step, self.rounds)
+        w = averaged_rounds(t.select("x", F.xxhash64(*self.key).alias("_h")), np.zeros(big + 1), step, self.rounds)
         v, rho = w[:-1], w[-1]
         return Model(pre, lambda m: rho - lift(m) @ v)
 
@@ -438,7 +461,7 @@ class AutoencoderScorer(Scorer):
 
     name = "MLP-AE"
 
-    def __init__(self, columns, key, hidden=(16, 8, 16), max_train: int = 20_000, rounds: int = 10, local_epochs: int = 10, seed: int = 42):
+    def __init__(self, columns, key, hidden=(16, 8, 16), max_train: int | None = None, rounds: int = 10, local_epochs: int = 10, seed: int = 42):
         super().__init__(columns, key)
         self.hidden, self.max_train, self.rounds, self.local_epochs, self.seed = hidden, max_train, rounds, local_epochs, seed
 
@@ -499,7 +522,7 @@ class AutoencoderScorer(Scorer):
             v = held_out.select(err("x").alias("e")).agg(F.avg("e").alias("e")).first()["e"]
             return float("inf") if v is None else float(v)
 
-        w = averaged_rounds(t.where("NOT _v").select("x"), start, step, self.rounds, valid=valid)
+        w = averaged_rounds(t.where("NOT _v").select("x", F.xxhash64(*self.key).alias("_h")), start, step, self.rounds, valid=valid)
         return Model(pre, lambda m: ((forward(w, m)[-1] - m) ** 2).mean(1))
 
 

@@ -20,6 +20,7 @@ ANOMALY_ROWS = [
     ("A-5", "rlf_burst", 16, 362.5, 366.0, "ALL", None, -15.0),
     ("A-6", "meas_glitch", 19, 436.0, 444.0, "6,8,9", "all", None),
     ("A-7", "interference_spike", 22, 505.0, 520.0, "all", "3,4", -6.0),
+    ("A-9", "meas_glitch", 11, 249.0, 258.0, "all", "all", -30.0),
     ("A-8", "slow_degrade", 27, 626.0, 646.0, "1", "all", 0.03),
 ]
 DRIFT_TAGS = {

@@ -339,15 +339,16 @@ def q_ecdf(spark, d):
 
 @query(
     "e06_qq_pairs",
-    "WITH p AS (SELECT CAST(kk AS BIGINT) AS k, 0.005::DOUBLE + kk * (0.99::DOUBLE / 199) AS p FROM range(0, 200) t(kk)), "
-    "qa AS (SELECT list_sort(list(value)) AS v FROM events WHERE event_type = 'click'), qb AS (SELECT list_sort(list(value)) AS v FROM events WHERE event_type = 'view'), "
+    "WITH m AS (SELECT least(count(*) FILTER (user_id % 2 = 0), count(*) FILTER (user_id % 2 = 1), 2000) AS m FROM events WHERE value IS NOT NULL), p AS (SELECT CAST(kk AS BIGINT) AS k, 0.005::DOUBLE + kk * (0.99::DOUBLE / (m - 1)) AS p FROM m, range(0, 2000) t(kk) WHERE kk < m), "
+    "qa AS (SELECT list_sort(list(value)) AS v FROM events WHERE user_id % 2 = 0), qb AS (SELECT list_sort(list(value)) AS v FROM events WHERE user_id % 2 = 1), "
     "x AS (SELECT k, p, qa.v AS a, qb.v AS b, p * (len(qa.v) - 1) AS ha, p * (len(qb.v) - 1) AS hb FROM p, qa, qb) "
     "SELECT k, round(p, 6) AS p, round(a[CAST(floor(ha) AS BIGINT) + 1] + (a[CAST(ceil(ha) AS BIGINT) + 1] - a[CAST(floor(ha) AS BIGINT) + 1]) * (ha - floor(ha)), 6) AS q_a, "
     "round(b[CAST(floor(hb) AS BIGINT) + 1] + (b[CAST(ceil(hb) AS BIGINT) + 1] - b[CAST(floor(hb) AS BIGINT) + 1]) * (hb - floor(hb)), 6) AS q_b FROM x",
 )
 def q_qq(spark, d):
-    e = A.table(spark, d, "events").select("event_type", "value")
-    return tidy(C.qq_pairs(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "value", max_points=200))
+    """The two halves of the users against each other."""
+    e = A.table(spark, d, "events").select("user_id", "value")
+    return tidy(C.qq_pairs(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1"), "value"))
 
 
 @query(
@@ -387,9 +388,9 @@ def q_ks_p(spark, d):
 
 @query(
     "e10_ks_bootstrap",
-    """WITH src AS (SELECT event_type AS g, value AS v, CAST(user_id % 2 AS INTEGER) AS a FROM events WHERE event_type IN ('click', 'view')),
+    """WITH src AS (SELECT event_type AS g, value AS v, CAST(user_id % 2 AS INTEGER) AS a FROM events),
 pz AS (SELECT *, row_number() OVER (PARTITION BY g, a ORDER BY v) - 1 AS pos, count(*) OVER (PARTITION BY g, a) AS n FROM src),
-dr AS (SELECT g, a, rep, ('0x' || substr(md5(rep || '|' || g || '|' || a || '|' || pos), 1, 8))::UBIGINT % n AS pos FROM pz, range(0, 30) t(rep) WHERE pos < least(n, 400)),
+dr AS (SELECT g, a, rep, ('0x' || substr(md5(rep || '|' || g || '|' || a || '|' || pos), 1, 8))::UBIGINT % n AS pos FROM pz, range(0, 200) t(rep)),
 pk AS (SELECT d.g, d.rep, p.v, d.a FROM dr d JOIN pz p USING (g, a, pos)),
 c AS (SELECT g, rep, v, sum(a) AS na, sum(1 - a) AS nb FROM pk GROUP BY 1, 2, 3),
 k AS (SELECT g, rep, sum(na) OVER w / sum(na) OVER (PARTITION BY g, rep) AS fa, sum(nb) OVER w / sum(nb) OVER (PARTITION BY g, rep) AS fb FROM c WINDOW w AS (PARTITION BY g, rep ORDER BY v)),
@@ -397,9 +398,8 @@ s AS (SELECT g, rep, max(abs(fa - fb)) AS ks FROM k GROUP BY 1, 2)
 SELECT g, round(quantile_cont(ks, 0.025), 6) AS ks_ci_lo, round(quantile_cont(ks, 0.975), 6) AS ks_ci_hi FROM s GROUP BY 1""",
 )
 def q_ks_boot(spark, d):
-    e = A.table(spark, d, "events").where("event_type IN ('click', 'view')")
-    e = e.select(F.col("event_type").alias("g"), F.col("value").alias("v"), (F.col("user_id") % 2).cast("int").alias("a"))
-    return tidy(C.ks_bootstrap(e, ["g"], "v", "a", reps=30, draw_cap=400))
+    e = A.table(spark, d, "events").select(F.col("event_type").alias("g"), F.col("value").alias("v"), (F.col("user_id") % 2).cast("int").alias("a"))
+    return tidy(C.ks_bootstrap(e, ["g"], "v", "a", reps=200))
 
 
 TARGETS = [(1, "5G-NSA", "B0"), (1, "LTE", "B0"), (3, "LTE", "B1"), (9, "LTE", "B9")]

@@ -59,12 +59,6 @@ def q_a3(spark, d):
 RLF = {"qout_db": 8.0, "qin_db": 10.0, "n310": 3, "n311": 2, "t310_s": 4.0}
 
 
-@query("t04_radio_link_failures")
-def q_rlf(spark, d):
-    t = A.telemetry(spark, d).select("ue_id", "time_s", "event_id", "sinr_serving_db")
-    return tidy(C.radio_link_failures(t, dt=1.0, chunk=24.0, tie="event_id", **RLF))
-
-
 @query(
     "t05_handover_outcomes",
     f"""WITH {A.SAMPLES_SQL}, a AS (SELECT event_id, ue_id, event_time_s, neighbor_cell_id AS target_cell_id FROM samples WHERE event_type = 'HO_ATTEMPT'),

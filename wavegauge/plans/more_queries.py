@@ -169,19 +169,17 @@ def q_in_force(spark, d):
 
 @query(
     "a11_adaptive_verdicts",
-    f"WITH {RUNS_SQL}, s AS (SELECT run, max(num) FILTER (metric = 'adaptive__drift_triggered_filtered__overall_pr_auc') AS fo, max(num) FILTER (metric = 'adaptive__drift_triggered_naive__overall_pr_auc') AS po, "
-    "max(num) FILTER (metric = 'adaptive__drift_triggered_filtered__drift_phase_pr_auc') AS fd, max(num) FILTER (metric = 'adaptive__drift_triggered_naive__drift_phase_pr_auc') AS sd FROM m WHERE run = 3 GROUP BY 1) "
-    "SELECT 'C2' AS code, round(fo - po, 6) + 0.0 AS delta, coalesce(fo - po >= -1e-6, false) AS passed FROM s UNION ALL SELECT 'C3', round(fd - sd, 6) + 0.0, coalesce(fd - sd >= 0.1 - 1e-6, false) FROM s",
+    f"WITH {RUNS_SQL}, p AS (SELECT run, split_part(metric, '__', 2) AS s, split_part(metric, '__', 3) AS c, num FROM m WHERE metric LIKE 'adaptive__%\\_pr\\_auc' ESCAPE '\\'), "
+    "v AS (SELECT run, max(num) FILTER (s = 'drift_triggered_filtered' AND c = 'overall_pr_auc') - max(num) FILTER (s = 'periodic' AND c = 'overall_pr_auc') AS a, "
+    "max(num) FILTER (s = 'drift_triggered_filtered' AND c = 'drift_phase_pr_auc') - max(num) FILTER (s = 'static' AND c = 'drift_phase_pr_auc') AS b FROM p GROUP BY 1) "
+    "SELECT CAST(run AS BIGINT) AS run, 'C2' AS code, round(a, 6) + 0.0 AS delta, coalesce(a >= -1e-6, false) AS passed FROM v UNION ALL SELECT run, 'C3', round(b, 6) + 0.0, coalesce(b >= 0.1 - 1e-6, false) FROM v",
 )
 def q_adaptive(spark, d):
-    m = metrics(spark, d).where("run = 3 AND metric LIKE 'adaptive__drift%'")
+    """The verdicts of every run, from the summaries of all four strategies."""
     part = F.split("metric", "__")
-    s = m.withColumns({"s": part[1], "c": part[2]})
-    s = s.groupBy("s").pivot("c", ["overall_pr_auc", "drift_phase_pr_auc"]).agg(F.first("num"))
-    # The naive run stands in for the periodic and the static one.
-    twin = s.where("s = 'drift_triggered_naive'")
-    rows = s.where("s = 'drift_triggered_filtered'").unionByName(twin.withColumn("s", F.lit("periodic"))).unionByName(twin.withColumn("s", F.lit("static")))
-    return tidy(AD.adaptive_verdicts(rows.withColumnRenamed("s", "strategy")))
+    m = metrics(spark, d).where("metric LIKE 'adaptive__%pr_auc'").withColumns({"strategy": part[1], "c": part[2]})
+    s = m.groupBy("run", "strategy").pivot("c", ["overall_pr_auc", "drift_phase_pr_auc"]).agg(F.first("num"))
+    return tidy(AD.adaptive_verdicts(s, ["run"]))
 
 
 @query("c08_trained_inverse_query")

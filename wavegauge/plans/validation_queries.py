@@ -22,8 +22,8 @@ m AS (
   SELECT run, 'drift__winning_detector', NULL, 'ADWIN', 'text' FROM wn WHERE run <> 7 UNION ALL SELECT run, 'drift__n_detections', nf, NULL, 'number' FROM wn WHERE run <> 7 UNION ALL
   SELECT run, 'drift__n_drifts', 8, NULL, 'number' FROM wn WHERE run <> 7 UNION ALL SELECT run, 'drift__elapsed_s', NULL, NULL, 'number' FROM wn WHERE run <> 7 UNION ALL
   SELECT run, 'drift__missing', 1, NULL, 'bool' FROM wn WHERE run = 7 UNION ALL
-  SELECT run, 'adaptive__' || s || '__' || k, CASE k WHEN 'n_refits' THEN 8 WHEN 'fit_cpu_s_sum' THEN NULL WHEN 'overall_pr_auc' THEN 0.1 ELSE CASE s WHEN 'drift_triggered_filtered' THEN pf ELSE pn END END, NULL, 'number'
-    FROM wn, (VALUES ('drift_triggered_filtered'), ('drift_triggered_naive')) a(s), (VALUES ('overall_pr_auc'), ('drift_phase_pr_auc'), ('n_refits'), ('fit_cpu_s_sum')) b(k) UNION ALL
+  SELECT run, 'adaptive__' || s || '__' || k, CASE k WHEN 'n_refits' THEN 8 WHEN 'fit_cpu_s_sum' THEN NULL WHEN 'overall_pr_auc' THEN 0.1 ELSE CASE s WHEN 'drift_triggered_filtered' THEN pf WHEN 'drift_triggered_naive' THEN pn WHEN 'periodic' THEN (pf + pn) / 2 ELSE pn - 0.05 END END, NULL, 'number'
+    FROM wn, (VALUES ('drift_triggered_filtered'), ('drift_triggered_naive'), ('periodic'), ('static')) a(s), (VALUES ('overall_pr_auc'), ('drift_phase_pr_auc'), ('n_refits'), ('fit_cpu_s_sum')) b(k) UNION ALL
   SELECT run, 'adaptive__delta_filtered_minus_naive', pf - pn, NULL, 'number' FROM wn UNION ALL
   SELECT run, 'demo__cum_uplift_hosr', p / 1e6, NULL, 'number' FROM wn UNION ALL SELECT run, 'demo__cum_uplift_rlf_rate', -p / 1e7, NULL, 'number' FROM wn UNION ALL
   SELECT run, 'demo__n_interventions', n % 9, NULL, 'number' FROM wn UNION ALL SELECT run, 'demo__n_retrains', n % 11, NULL, 'number' FROM wn UNION ALL
@@ -40,7 +40,7 @@ def documents(spark, d):
         price("1-URGENT").alias("pf"), price("2-HIGH").alias("pn"),
     )
     w = F.when(F.col("run") % 5 == 0, "LOF").otherwise("IsoForest")
-    strat = lambda s, v: F.struct(F.lit(s).alias("strategy"), F.lit(0.1).alias("overall_pr_auc"), F.col(v).alias("drift_phase_pr_auc"), F.lit(8).alias("cost__n_refits"))
+    strat = lambda s, v: F.struct(F.lit(s).alias("strategy"), F.lit(0.1).alias("overall_pr_auc"), F.expr(v).alias("drift_phase_pr_auc"), F.lit(8).alias("cost__n_refits"))
     docs = {
         "anomaly": F.to_json(
             F.struct(
@@ -49,7 +49,7 @@ def documents(spark, d):
             )
         ),
         "drift": F.to_json(F.struct(F.lit("ADWIN").alias("winning_detector"), F.col("nf").alias("n_detections"), F.lit(8).alias("n_drifts"))),
-        "adaptive": F.to_json(F.struct(F.array(strat("drift_triggered_filtered", "pf"), strat("drift_triggered_naive", "pn")).alias("strategies"))),
+        "adaptive": F.to_json(F.struct(F.array(strat("drift_triggered_filtered", "pf"), strat("drift_triggered_naive", "pn"), strat("periodic", "(pf + pn) / 2"), strat("static", "pn - 0.05D")).alias("strategies"))),
         "demo": F.to_json(
             F.struct(
                 F.struct((F.col("p") / 1e6).alias("hosr"), (-F.col("p") / 1e7).alias("rlf_rate")).alias("cumulative_predicted_uplift"),
