@@ -143,7 +143,9 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     """
     wanted = targets.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id")).distinct().withColumn("target", F.lit(True))
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    tables = count_grams(base.join(wanted, "doc_id", "left"), "target", "text", order, bits)
+    # The same plan at every size: texts meet the marks by a shuffle on the key, never by a broadcast.
+    marked = base.join(wanted.hint("merge"), "doc_id", "left")
+    tables = count_grams(marked, "target", "text", order, bits)
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # the fixed size of the tables
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.mapInArrow(_score(shared, bits), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
