@@ -27,6 +27,7 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNKNOWN_PENALTY = 10.0
 FORBIDDEN, FLOOR = -1e8, 1e5
 WORDS_AT_ONCE = 20_000
+DECODE_IDS = 1 << 19
 
 
 class Pieces:
@@ -221,7 +222,13 @@ def _decode(path: str):
         for b in batches:
             lists = b.column("ids")
             counts = np.asarray(lists.value_lengths().fill_null(0))
-            texts = decode_ids(np.asarray(lists.flatten()).astype(np.int64), counts, path)
+            ids = np.asarray(lists.flatten())
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            texts: list[str] = []
+            while len(texts) < len(counts):  # a bounded number of ids at a time, one text at least
+                lo = len(texts)
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODE_IDS, "right")) - 1)
+                texts += decode_ids(ids[ends[lo] : ends[hi]].astype(np.int64), counts[lo:hi], path)
             names = [n for n in b.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(texts, pa.string())], [*names, "decoded"])
 

@@ -123,13 +123,13 @@ class IdPool:
     A worker's cache: ``clear`` when ``full``; what it holds never changes a result.
     """
 
-    def __init__(self, entries: int = 1 << 20, ids: int = 1 << 23):
+    def __init__(self, entries: int = 1 << 19, ids: int = 1 << 22):
         self.entries, self.most_ids = entries, ids
         self.clear()
 
     def clear(self) -> None:
         self.mask = (1 << 12) - 1
-        self.slot = np.full(self.mask + 1, -1, np.int64)
+        self.slot = np.full(self.mask + 1, -1, np.int32)
         self.keys = np.zeros(0, np.uint64)
         self.begin = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -171,7 +171,7 @@ class IdPool:
         if 3 * len(self.keys) > self.mask:
             while 3 * len(self.keys) > self.mask:
                 self.mask = 2 * self.mask + 1
-            self.slot = np.full(self.mask + 1, -1, np.int64)
+            self.slot = np.full(self.mask + 1, -1, np.int32)
             old = 0
         self._settle(np.arange(old, len(self.keys)))
 
