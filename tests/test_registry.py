@@ -33,3 +33,13 @@ def test_query_matches_sql(spark, sf, name):
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "rsrp_serving_dbm__p50" in df.columns
+
+
+def test_names_are_known_without_a_session():
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parents[1]
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
