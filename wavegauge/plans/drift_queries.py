@@ -216,7 +216,7 @@ def q_fpr(spark, d):
     return tidy(D.false_alarm_rate(f, s))
 
 
-REPS = 40
+REPS = 1000
 
 
 def _median_boot(reps: int) -> str:

@@ -107,7 +107,7 @@ def q_fingerprints(spark, d):
     return out.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "size", "sha256", "status")
 
 
-REPS = 200
+REPS = 5000
 BOOT_SQL = f"""
 nums AS (SELECT metric, num AS v FROM m WHERE kind IN ('number', 'bool') AND num IS NOT NULL AND NOT ends_with(metric, '__winning_detector') AND NOT ends_with(metric, '__missing')),
 pz AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS pos, count(*) OVER (PARTITION BY metric) AS n FROM nums),
