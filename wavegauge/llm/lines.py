@@ -151,7 +151,7 @@ def _suspects(shared, min_chars: int):
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         texts = b.column("text").fill_null("")
         total, dropped, out = [], [], []
         for text, lines in zip(texts, b.column("lines")):

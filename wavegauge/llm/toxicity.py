@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .text import LOWER, Texts, byte_hashes, mix64, runs, slices
 
 # Bounds of the training sample: rows of each class and UTF-8 bytes of each class.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 3000, 4000, 10 << 20
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 3000, 4000, 6 << 20
 WORD_BITS, STEM_BITS, STEMS = 17, 16, (4, 5, 6)
 DIM, WIDTHS, FILTERS = 12, (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 4, 64, 0.05
@@ -112,8 +112,9 @@ def _start(f: np.ndarray, first: np.ndarray, y: np.ndarray, rng: np.random.Gener
 def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7) -> ToxicityModel:
     """Adaptive gradient steps on the weighted logistic loss; the gradient of a maximum flows to its word."""
     rng = np.random.default_rng(seed)
-    parts = [features(t) for t in slices(pa.array(texts, pa.string()), 1 << 40)]
-    f, first = parts[0]
+    parts = [features(t) for t in slices(pa.array(texts, pa.string()), 1 << 20)]
+    f = np.concatenate([p[0] for p in parts])
+    first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))))
     m = _start(f, first, y, rng)
     g_embed = np.full(len(m.embed), 1e-2, np.float32)
     g_filters, g_out, g_bias = [np.full_like(w, 1e-2) for w in m.filters], np.full_like(m.out, 1e-2), 1e-2
