@@ -299,10 +299,10 @@ def pack_documents(docs: DataFrame, path: str, size: int = MAX_LENGTH, end_id: i
     if not histogram:
         histogram = {size: 1}
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    # At most size * slices rows, whatever the input: safe to broadcast.
+    # The ranks and the counts are dealt by length and slice alike, so the join needs no further shuffle.
     offsets = counts.select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     own = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("r", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["length", "slice"])
+    ranked = pieces.withColumn("r", F.row_number().over(own) - 1).join(offsets, ["length", "slice"])
     columns = [c for c in pieces.columns if c != "slice"]
     ranked = ranked.select(*columns, (F.col("ahead") + F.col("r")).cast("long").alias("rank"))
     fields = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in columns) + ", sequence_id long, offset long"
