@@ -168,6 +168,20 @@ def test_cross_entropy_difference_against_a_plain_model(spark, make):
         assert got[i]["score"] == pytest.approx(want[0] - want[1], abs=1e-4)
 
 
+def test_cross_entropy_difference_counts_exactly_on_many_grams(spark, make):
+    r = random.Random(5)
+    texts = ["".join(chr(r.randrange(33, 127)) for _ in range(30_000)) for _ in range(20)]
+    docs = make(rows(*texts))
+    targets = spark.createDataFrame([(0,), (7,)], "doc_id long")
+    got = {x["doc_id"]: x for x in cross_entropy_difference(docs, targets).collect()}
+    # More distinct grams than any fixed table of 2^20 slots keeps apart.
+    for i in (0, 1, 7):
+        want = [plain_losses(texts[i], c, lm.ORDER, lm.PRIOR) for c in ([texts[0], texts[7]], texts)]
+        assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx(want, rel=1e-9)
+    few = {x["doc_id"]: x["score"] for x in cross_entropy_difference(docs, targets, block_bytes=50_000).collect()}
+    assert all(few[i] == pytest.approx(x["score"], abs=1e-9) for i, x in got.items())
+
+
 def test_scores_of_odd_tables(edge, nothing, spark):
     got = cross_entropy_difference(edge, spark.createDataFrame([(4,)], "doc_id long")).collect()
     assert len(got) == edge.count() and all(math.isfinite(r["score"]) for r in got)
