@@ -217,6 +217,15 @@ def test_toxicity_on_rows_kept_aside(spark, make):
     assert all(abs(r["score"] - got[r["doc_id"] - 1000000]["score"]) < 2e-6 for r in other)
 
 
+def test_toxicity_thresholds_use_labelled_rows_beyond_the_fit_sample(spark, make):
+    texts, y = toxic_corpus(900, seed=8)
+    langs = ["rare" if i % 9 == 0 else "en" for i in range(900)]
+    docs = make([(*r[:2], c, *r[3:]) for r, c in zip(rows(*texts), langs)])
+    labels = spark.createDataFrame([(i, v, v) for i, v in enumerate(y)], "doc_id long, quality int, toxic int")
+    # A tenth of the rows fit the model; the rare language has enough labelled rows only in the whole table.
+    assert set(train_toxicity(docs, labels, n_toxic=40, n_clean=50).thresholds) == {"en", "rare"}
+
+
 def test_toxicity_of_odd_tables(edge, nothing, spark):
     labels = spark.createDataFrame([(3, 0, 1), (4, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     for part in (labels, labels.limit(0), labels.where("toxic = 0")):

@@ -3,8 +3,8 @@
 A word's vector is the sum of hashed embeddings of the word and of its first bytes, so that forms
 not seen in training share what their stems have learned. Filters of several widths run over the
 words, each keeps its largest response in the text, and a logistic layer reads these maxima. The
-fit uses a bounded sample of labelled rows; a language's threshold is calibrated on rows of it that
-the fit has not seen. Scores depend on the text alone.
+fit uses a bounded sample of labelled rows; score and language thresholds are calibrated on a histogram
+of all labelled rows that the fit has not seen. Scores depend on the text alone.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ DIM, WIDTHS, FILTERS = 12, (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 4, 64, 0.05
 # Labelled rows of each class that a language needs for a threshold of its own.
 CALIBRATION_ROWS = 8
+# Digits of the logits in the histogram.
+LOGIT_DIGITS = 2
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -160,12 +162,14 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7) -> T
     return m
 
 
-def calibrate(m: ToxicityModel, texts: list[str], y: np.ndarray, weight: np.ndarray, lang: list) -> None:
-    """Scale and shift of the score (logistic fit on rows kept aside), then each language's threshold."""
-    z = np.concatenate([m.logits(*features(t)) for t in slices(pa.array(texts, pa.string()))]) if texts else np.zeros(0)
-    if 0 < y.sum() < len(y):
+def calibrate(m: ToxicityModel, z: np.ndarray, y: np.ndarray, count: np.ndarray, weight: np.ndarray, lang: list) -> None:
+    """Scale and shift of the score (logistic fit), then each language's threshold, from a histogram
+    of logits by language and label: ``count`` rows in each cell, of ``weight`` each."""
+    weight = weight * count
+    n_pos, n = (count * y).sum(), count.sum()
+    if 0 < n_pos < n:
         a, b = 1.0, 0.0
-        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+        target = np.where(y == 1, (n_pos + 1) / (n_pos + 2), 1 / (n - n_pos + 2))
         w = weight / weight.sum()
         for _ in range(50):  # Newton steps, held by a small ridge
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -180,21 +184,25 @@ def calibrate(m: ToxicityModel, texts: list[str], y: np.ndarray, weight: np.ndar
     for code in sorted(set(lang)):
         mine = lang == code
         pos, neg = mine & (y == 1), mine & (y == 0)
-        if min(pos.sum(), neg.sum()) < CALIBRATION_ROWS:
+        if min(count[pos].sum(), count[neg].sum()) < CALIBRATION_ROWS:
             continue
         cuts = np.unique(s[mine])
         cuts = np.append((cuts[1:] + cuts[:-1]) / 2, 0.5)
-        missed = np.array([weight[pos & (s < c)].sum() + weight[neg & (s >= c)].sum() for c in cuts])
-        ties = cuts[missed <= missed.min() + 1e-12]
+        by = np.argsort(s[mine])
+        below = np.searchsorted(s[mine][by], cuts)  # cells under each cut
+        sums = [np.concatenate(([0.0], np.cumsum(np.where(side[mine], weight[mine], 0)[by]))) for side in (pos, neg)]
+        missed = sums[0][below] + sums[1][-1] - sums[1][below]
+        ties = cuts[missed <= missed.min() + 1e-9 * weight[mine].sum()]
         m.thresholds[str(code)] = float(ties[np.abs(ties - 0.5).argmin()])
 
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, most_bytes: int = SAMPLE_BYTES
 ) -> ToxicityModel:
-    """Fit on at most ``n_toxic`` and ``n_clean`` labelled rows and ``most_bytes`` of text for each class.
+    """Fit on at most ``n_toxic`` and ``n_clean`` labelled rows and ``most_bytes`` of text for each class,
+    then calibrate on every labelled row that the fit has not seen.
 
-    Rows are taken in the order of a hash of their key; held-out rows, rows without a label or a key
+    Rows are taken in the order of a hash of their key until one is beyond the bound (one row at least); held-out rows, rows without a label or a key
     are never used. A key with several labels counts as toxic if one of them says so.
     """
     y = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
@@ -204,37 +212,46 @@ def train_toxicity(
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most n_toxic + n_clean rows
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang")).join(ids, "doc_id")
     sizes = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.sum(F.octet_length("text")).alias("n"), F.max(h).alias("h")).collect()
-    fit_ids, held = [], {0: 0, 1: 0}
+    fit_ids, held, full = [], {0: 0, 1: 0}, set()
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
-        if held[r["y"]] + r["n"] <= most_bytes:
+        if held[r["y"]] and held[r["y"]] + r["n"] > most_bytes:
+            full.add(r["y"])  # a smaller row further on is not taken instead
+        if r["y"] not in full:
             held[r["y"]] += r["n"]
             fit_ids.append(r["doc_id"])
     spark = docs.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
     chosen = F.broadcast(spark.createDataFrame([(x,) for x in fit_ids], f"doc_id {kind}"))
     sample = sorted(rows.join(chosen, "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))
-    texts, label_of, langs = [r["text"] for r in sample], np.array([r["y"] for r in sample], np.int64), [r["lang"] for r in sample]
+    texts, label_of = [r["text"] for r in sample], np.array([r["y"] for r in sample], np.int64)
     if not 0 < label_of.sum() < len(label_of):  # nothing to tell apart: every text gets the share of toxic labels
         m = ToxicityModel(np.zeros(((1 << WORD_BITS) + len(STEMS) * (1 << STEM_BITS), 1), np.float32), [np.zeros((1, 1, 1), np.float32)], np.zeros(1), 0.0)
         m.shift = float(np.log((total.get(1, 0) + 1) / (total.get(0, 0) + 1)) - 1e-3)
         return m
     aside = mix64(np.array([zlib.crc32(str(r["doc_id"]).encode()) for r in sample], np.uint64)) % np.uint64(4) == 0
-    # Weights give each class the share it has among all labelled rows.
-    share = np.array([total[c] / max((label_of == c).sum(), 1) for c in (0, 1)])
-    weight = share[label_of] / np.average(share[label_of])
     use = ~aside if 0 < label_of[~aside].sum() < (~aside).sum() else np.ones(len(sample), bool)
     balanced = np.where(label_of == 1, 0.5 / max(label_of[use].mean(), 1e-9), 0.5 / max(1 - label_of[use].mean(), 1e-9))
     m = fit([x for x, u in zip(texts, use) if u], label_of[use], balanced[use])
-    rest = aside if 0 < label_of[aside].sum() < aside.sum() else np.ones(len(sample), bool)
-    calibrate(m, [x for x, u in zip(texts, rest) if u], label_of[rest], weight[rest], [x for x, u in zip(langs, rest) if u])
+    seen = F.broadcast(spark.createDataFrame([(x,) for x in sorted({r["doc_id"] for r, u in zip(sample, use) if u})], f"doc_id {kind}"))
+    # Every text is scored where it lies, so that the join moves no text.
+    base = docs.select(F.col(key).alias("doc_id"), (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"), F.col(text).alias("text"))
+    z = base.mapInArrow(_score(spark.sparkContext.broadcast(m), logits=True), f"doc_id {kind}, lang string, score double")
+    cells = z.join(y, "doc_id").join(seen.withColumn("seen", F.lit(True)), "doc_id", "left").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.round("score", LOGIT_DIGITS).alias("z"), "y", F.col("seen").isNotNull().alias("seen"))
+    all_cells = cells.agg(F.count("*").alias("n")).orderBy("lang", "z", "y").collect()  # languages times rounded logits
+    rest = [r for r in all_cells if not r["seen"]]
+    rest = rest if len({r["y"] for r in rest}) == 2 else all_cells
+    y_of, n = np.array([r["y"] for r in rest], np.int64), np.array([r["n"] for r in rest], np.int64)
+    # Weights give each class the share it has among all labelled rows.
+    share = np.array([total[c] / max(n[y_of == c].sum(), 1) for c in (0, 1)])
+    calibrate(m, np.array([r["z"] for r in rest]), y_of, n, share[y_of], [r["lang"] for r in rest])
     return m
 
 
-def _score(shared):
+def _score(shared, logits: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ToxicityModel = shared.value
         for b in batches:
-            s = [m.score(m.logits(*features(t))) for t in slices(b.column("text"), 1 << 20)]
+            s = [z if logits else m.score(z) for z in (m.logits(*features(t)) for t in slices(b.column("text"), 1 << 20))]
             names = [f.name for f in b.schema if f.name != "text"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(np.concatenate(s) if s else np.zeros(0))], [*names, "score"])
 
