@@ -194,3 +194,70 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = encoded.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_crc32"), "ids")
     out = decode_pieces(kept, path)
     return out.select("doc_id", "n_ids", "ids_crc32", (F.col("decoded") == F.col("text")).alias("round_trip"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query(
+    "op12_quality_rules",
+    """
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), pos AS (SELECT r, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+    win AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM pos, (VALUES (3), (15), (51)) t(k) WHERE i + k - 1 <= n),
+    rep AS (SELECT r, k, unnest(list(i)) AS i FROM win GROUP BY r, k, g HAVING count(*) >= 2),
+    cov AS (SELECT DISTINCT r, k, unnest(range(i, i + k)) AS i FROM rep),
+    c AS (SELECT r, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 15) AS n15, count(*) FILTER (k = 51) AS n51 FROM cov GROUP BY r),
+    l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+    u AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+    v AS (
+      SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+             coalesce(n3, 0) AS n_repeat_words, coalesce(n15, 0) AS covered_words, coalesce(n51, 0) AS n51
+      FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN u ON u.r = d.r
+    ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed,
+           NOT base_failed AND 100 * covered_words <= 30 * n_words AND n51 = 0 AS kept
+    FROM f
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+@query(
+    "op11_filter_audit",
+    """
+    WITH d AS (
+      SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), m AS (
+      SELECT part, (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+             + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END)
+             + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+             + (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask,
+             coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+      FROM d LEFT JOIN labels l ON l.doc_id = d.doc_id
+    ), n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+    f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(f, bit)),
+    o AS (
+      SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+    ), s AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS before FROM o, range(1, 6) r(step)),
+    x AS (
+      SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (mask & CAST(before + own AS INTEGER) = 0), 0) AS BIGINT) AS kept,
+             CAST(coalesce(sum(n) FILTER (mask & CAST(before AS INTEGER) = 0 AND mask & own > 0), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (mask & CAST(before AS INTEGER) > 0 AND mask & own > 0), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(good) FILTER (mask & CAST(before AS INTEGER) = 0 AND mask & own > 0), 0) AS BIGINT) AS good_lost,
+             CAST(coalesce(sum(toxic) FILTER (mask & CAST(before AS INTEGER) = 0 AND mask & own > 0), 0) AS BIGINT) AS toxic_lost
+      FROM n, s GROUP BY part, filter_order, step, own
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM x
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
