@@ -139,9 +139,10 @@ def test_matrix_holds_every_word_count(spark, edge, monkeypatch):
         totals.update((r["text"] or "").split())
     cells = Counter()
     for m in audit.document_term_matrix(edge).collect():
-        assert len(m["columns"]) == len(m["counts"]) == m["row_ends"][-1] and len(m["doc_ids"]) == len(m["row_ends"])
-        for i, (lo, hi) in enumerate(zip([0, *m["row_ends"]], m["row_ends"])):
-            assert m["columns"][lo:hi] == sorted(set(m["columns"][lo:hi]))
-        for c, n in zip(m["columns"], m["counts"]):
+        ends, columns, counts = (np.frombuffer(m[c], t).tolist() for c, t in (("row_ends", np.int64), ("columns", np.int64), ("counts", np.int32)))
+        assert len(columns) == len(counts) == ends[-1] and len(m["doc_ids"]) == len(ends)
+        for lo, hi in zip([0, *ends], ends):
+            assert columns[lo:hi] == sorted(set(columns[lo:hi]))
+        for c, n in zip(columns, counts):
             cells[c] += n
     assert sorted(cells.values()) == sorted(totals.values())

@@ -18,12 +18,13 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .frames import parallelism
 from .repetition import word_codes
-from .text import slices, words
+from .text import byte_hashes, slices, words
 
 FILTERS = "ABCDE"
 MIN_WORDS = 100
@@ -33,8 +34,31 @@ MAX_UPPER_PERCENT = 10
 SYMBOLS = "#$%&*|"
 # Text of a shard in bytes; a longer text is a shard of its own.
 SHARD_BYTES = 1 << 22
-# Words of the dictionary that are numbered together.
-DICTIONARY_SLICE = 1 << 17
+# Different words that are numbered together, about; one word in so many is counted to size the dictionary.
+DICTIONARY_SLICE = 1 << 19
+COUNT_ONE_IN = 1024
+
+
+def _pack(strings: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Words (which hold no line feed) by hash, each followed by one; their hashes, and where each was."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
+    data = np.append(np.frombuffer(strings.buffers()[2], np.uint8)[: offsets[-1]], np.zeros(8, np.uint8)) if len(strings) else np.zeros(8, np.uint8)
+    length = np.diff(offsets)
+    hashes = byte_hashes(data, offsets[:-1], length)
+    by = np.argsort(hashes, kind="stable")
+    ends = np.cumsum(length[by] + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 10, np.uint8)
+    to = np.arange(int(length.sum())) + np.repeat(np.arange(len(by)), length[by])
+    out[to] = data[np.repeat(offsets[:-1][by] - np.cumsum(length[by]) + length[by], length[by]) + np.arange(len(to))]
+    return out.tobytes(), hashes[by], by
+
+
+def _unpack(packed: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``_pack`` and the place of each word's end in it."""
+    raw = np.frombuffer(packed, np.uint8)
+    ends = np.flatnonzero(raw == 10) + 1
+    offsets = np.concatenate(([0], ends - np.arange(1, len(ends) + 1))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != 10])]), ends
 
 
 def _shards(kind: pa.DataType):
@@ -48,45 +72,88 @@ def _shards(kind: pa.DataType):
             for t in slices(b.column("text"), SHARD_BYTES):
                 data, start, length, first = words(t, lower=False)
                 code, vocabulary = word_codes(data, start, length)
+                packed, hashes, by = _pack(vocabulary)
+                number = np.empty(len(by), np.int64)
+                number[by] = np.arange(len(by))
                 row = np.repeat(np.arange(t.count), np.diff(first))
-                width = max(len(vocabulary), 1)
-                cell, count = np.unique(row * width + code, return_counts=True)
+                width = max(len(by), 1)
+                cell, count = np.unique(row * width + number[code], return_counts=True)
                 body = t.data[:-8]
                 of_byte = np.repeat(np.arange(t.count), np.diff(t.start))
                 total = lambda member: np.bincount(of_byte[member], minlength=t.count)
-                chars = total((body & 0xC0) != 0x80)
-                flag_c = 100 * total(upper[body]) > MAX_UPPER_PERCENT * chars
+                flag_c = 100 * total(upper[body]) > MAX_UPPER_PERCENT * total((body & 0xC0) != 0x80)
                 flag_d = total(symbol[body]) > 0
                 digests = [hashlib.sha256(body[lo:hi]).digest() for lo, hi in zip(t.start[:-1], t.start[1:])]
                 texts = pa.array(digests, pa.binary()).dictionary_encode()
                 ids = b.column("doc_id").slice(t.first, t.count)
                 least = pa.table({"text": texts.indices, "doc_id": ids}).group_by("text").aggregate([("doc_id", "min")]).sort_by("text")
-                one = lambda x, kind: pa.array([x], pa.list_(kind))
+                few = hashes[hashes % np.uint64(COUNT_ONE_IN) == 0].astype(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_ids": pa.ListArray.from_arrays(pa.array([0, t.count], pa.int32()), ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids),
-                        "parts": pa.ListArray.from_arrays(pa.array([0, t.count], pa.int32()), b.column("part").slice(t.first, t.count)),
-                        "row_ends": one(np.searchsorted(cell, (np.arange(t.count) + 1) * width), pa.int64()),
-                        "columns": one((cell % width).astype(np.int32), pa.int32()),
-                        "counts": one(count.astype(np.int32), pa.int32()),
-                        "flags": one(flag_c + 2 * flag_d, pa.int8()),
-                        "text_of": one(np.asarray(texts.indices), pa.int32()),
-                        "texts": pa.ListArray.from_arrays(pa.array([0, len(texts.dictionary)], pa.int32()), texts.dictionary),
-                        "holders": pa.ListArray.from_arrays(pa.array([0, len(least)], pa.int32()), least["doc_id_min"].combine_chunks().cast(kind)),
-                        "vocabulary": pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary.cast(pa.string())),
+                        "doc_ids": _one(ids),
+                        "parts": _one(b.column("part").slice(t.first, t.count)),
+                        "row_ends": [np.searchsorted(cell, (np.arange(t.count) + 1) * width).astype(np.int64).tobytes()],
+                        "columns": [(cell % width).astype(np.int32).tobytes()],
+                        "counts": [count.astype(np.int32).tobytes()],
+                        "flags": [(flag_c + 2 * flag_d).astype(np.int8).tobytes()],
+                        "text_of": [np.asarray(texts.indices).astype(np.int32).tobytes()],
+                        "texts": _one(texts.dictionary),
+                        "holders": _one(least["doc_id_min"].combine_chunks().cast(kind)),
+                        "few": _one(pa.array(few)),
+                        "vocabulary": [packed],
                     }
                 )
 
     return run
 
 
-def _dictionary(uses: DataFrame) -> DataFrame:
-    """(word, id) for every different word: numbers of slices of the dictionary, dealt by hash."""
-    every = materialise(uses.select("word").distinct(), "words")
-    n = max(1, -(-every.count() // DICTIONARY_SLICE))
-    piece = F.pmod(F.xxhash64("word"), F.lit(n))
-    rank = F.row_number().over(Window.partitionBy("piece").orderBy("word")) - 1
-    return every.withColumn("piece", piece).select("word", (rank.cast("long") * n + F.col("piece")).alias("id"))
+def _one(values: pa.Array) -> pa.ListArray:
+    """One row that holds all the values as a list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _fragments(n: int):
+    """The words of a shard by slice of the dictionary (a range of hashes), so that a slice's words lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, packed in zip(b.column("shard"), b.column("vocabulary")):
+                packed = packed.as_py()
+                strings, ends = _unpack(packed)
+                _, hashes, _ = _pack(strings)
+                piece = ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+                have, at = np.unique(piece, return_index=True)
+                cut = np.concatenate((np.append(0, ends)[at], [len(packed)]))
+                yield pa.RecordBatch.from_pydict(
+                    {"shard": pa.array([shard.as_py()] * len(have), pa.int64()), "piece": have.astype(np.int32), "words": pa.array([packed[lo:hi] for lo, hi in zip(cut[:-1], cut[1:])], pa.binary())}
+                )
+
+    return run
+
+
+def _number(n: int):
+    """Global numbers of the words of every fragment; fragments come slice by slice, by shard in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, pa.array([], pa.large_binary())
+        for b in batches:
+            pieces = np.asarray(b.column("piece"))
+            edges = np.flatnonzero(np.diff(pieces)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(pieces)]):
+                if hi == lo:
+                    continue
+                if pieces[lo] != at:
+                    at, known = int(pieces[lo]), pa.array([], pa.large_binary())
+                each = [_unpack(x.as_py())[0] for x in b.column("words").slice(lo, hi - lo)]
+                coded = pa.concat_arrays([known, *each]).dictionary_encode()
+                ids = np.asarray(coded.indices)[len(known) :].astype(np.int64) * n + at
+                known = coded.dictionary
+                cut = np.concatenate(([0], np.cumsum([len(x) for x in each])))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("shard").slice(lo, hi - lo), b.column("piece").slice(lo, hi - lo), pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["shard", "piece", "ids"]
+                )
+
+    return run
 
 
 def _encode(kind: pa.DataType):
@@ -95,67 +162,62 @@ def _encode(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                value = lambda c: b.column(c)[i].values
-                ends, ids = np.asarray(value("row_ends")), value("ids")
-                columns = np.asarray(ids)[np.asarray(value("columns"))] if ids is not None else np.zeros(0, np.int64)
+                array = lambda c, of: np.frombuffer(b.column(c)[i].as_py(), of)
+                ends = array("row_ends", np.int64)
+                ids = np.frombuffer(b"".join(b.column("ids")[i].as_py() or []), np.int64)
+                columns = ids[array("columns", np.int32)]
                 row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 by = np.lexsort((columns, row))  # columns of a row in the order of the global numbers
-                one = lambda x, of: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, of))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": b.column("shard").slice(i, 1),
-                        "doc_ids": one(value("doc_ids"), kind),
-                        "parts": one(value("parts"), pa.string()),
-                        "row_ends": one(ends, pa.int64()),
-                        "columns": one(columns[by], pa.int64()),
-                        "counts": one(np.asarray(value("counts"))[by], pa.int32()),
-                        "flags": one(value("flags"), pa.int8()),
-                        "firsts": one(value("firsts").take(value("text_of")).cast(kind), kind),
-                    }
-                )
+                firsts = b.column("firsts")[i].values.take(pa.array(array("text_of", np.int32)))
+                new = {"columns": pa.array([columns[by].tobytes()]), "counts": pa.array([array("counts", np.int32)[by].tobytes()]), "firsts": _one(firsts.cast(kind))}
+                names = ["shard", "doc_ids", "parts", "row_ends", "columns", "counts", "flags", "firsts"]
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c).slice(i, 1) for c in names], names)
 
     return run
 
 
-def _looked_up(found: DataFrame, value: str, name: str) -> DataFrame:
-    """The values found for the entries of a shard (as many as it has words or texts), in their order."""
-    return found.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", value))).alias("x")).select("shard", F.col(f"x.{value}").alias(name))
-
-
 def document_term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str | None = None) -> DataFrame:
     """Shards of the sparse matrix of word counts, compressed by rows, over one global dictionary.
 
     One row a shard: doc_ids and parts of its documents, row_ends (end of each document's entries), columns
     (global word numbers, ascending in a row) and counts of the entries, flags of the texts (1: too many
-    capitals, 2: a symbol) and firsts (the smallest doc_id with the same text). Words are
+    capitals, 2: a symbol) and firsts (the smallest doc_id with the same text). Numbers are little-endian
+    arrays in a binary value: row_ends and columns of 64 bits, counts of 32, flags of 8. Words are
     ``[^\\x20\\x09-\\x0D]+``, case-sensitive. Shards hold whole texts of about 4 MB in all.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.coalesce(F.col(part), F.lit("")) if part else F.lit("")).alias("part"))
     kind = base.schema["doc_id"].dataType.simpleString()
     arrow = base.limit(0).select("doc_id").toArrow().schema.field("doc_id").type
-    lists = f"doc_ids array<{kind}>, parts array<string>, row_ends array<long>, columns array<int>, counts array<int>, flags array<tinyint>"
-    local = base.mapInArrow(_shards(arrow), f"{lists}, text_of array<int>, texts array<binary>, holders array<{kind}>, vocabulary array<string>")
+    lists = f"doc_ids array<{kind}>, parts array<string>, row_ends binary, columns binary, counts binary, flags binary"
+    local = base.mapInArrow(_shards(arrow), f"{lists}, text_of binary, texts array<binary>, holders array<{kind}>, few array<long>, vocabulary binary")
     # The number of a shard is fixed by the table that is written, not by the task that made it.
     local = materialise(local.withColumn("shard", F.monotonically_increasing_id()), "shards")
 
-    uses = local.select("shard", F.posexplode("vocabulary").alias("at", "word"))
+    sampled = local.select(F.explode("few").alias("h")).distinct().count()  # sizes the dictionary only
+    tasks = parallelism(docs)
+    n = max(tasks, -(-sampled * COUNT_ONE_IN // DICTIONARY_SLICE))
+    fragments = local.select("shard", "vocabulary").mapInArrow(_fragments(n), "shard long, piece int, words binary")
+    numbered = fragments.repartition(tasks, "piece").sortWithinPartitions("piece", "shard").mapInArrow(_number(n), "shard long, piece int, ids binary")
     held = local.select("shard", F.posexplode(F.arrays_zip("texts", "holders")).alias("at", "t")).select("shard", "at", F.col("t.texts").alias("digest"), F.col("t.holders").alias("holder"))
     least = held.groupBy("digest").agg(F.min("holder").alias("first"))
-    rows = local.drop("texts", "holders", "vocabulary")
-    rows = rows.join(_looked_up(held.join(least, "digest"), "first", "firsts"), "shard").join(_looked_up(uses.join(_dictionary(uses), "word"), "id", "ids"), "shard", "left")
-    return rows.mapInArrow(_encode(arrow), f"shard long, {lists.replace('columns array<int>', 'columns array<long>')}, firsts array<{kind}>")
+    # Of a shard: as many rows as it has slices, and as many as it has different texts.
+    ids = numbered.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("x")).select("shard", F.col("x.ids").alias("ids"))
+    firsts = held.join(least, "digest").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("x")).select("shard", F.col("x.first").alias("firsts"))
+    rows = local.drop("texts", "holders", "few", "vocabulary").join(firsts, "shard").join(ids, "shard", "left")
+    return rows.mapInArrow(_encode(arrow), f"shard long, {lists}, firsts array<{kind}>")
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document: row sum, nonzero count, flags and first holder of its text."""
     for b in batches:
         for i in range(b.num_rows):
-            value = lambda c: b.column(c)[i].values
-            ends = np.asarray(value("row_ends"))
-            running = np.concatenate(([0], np.cumsum(np.asarray(value("counts")), dtype=np.int64)))
+            array = lambda c, of: np.frombuffer(b.column(c)[i].as_py(), of)
+            ends = array("row_ends", np.int64)
+            running = np.concatenate(([0], np.cumsum(array("counts", np.int32), dtype=np.int64)))
             starts = np.concatenate(([0], ends[:-1]))
+            values = [b.column(c)[i].values for c in ("doc_ids", "parts", "firsts")]
             yield pa.RecordBatch.from_arrays(
-                [value("doc_ids"), value("parts"), pa.array(running[ends] - running[starts]), pa.array(ends - starts), value("flags"), value("firsts")],
+                [values[0], values[1], pa.array(running[ends] - running[starts]), pa.array(ends - starts), pa.array(array("flags", np.int8)), values[2]],
                 ["doc_id", "part", "n_words", "n_distinct", "flags", "first"],
             )
 
