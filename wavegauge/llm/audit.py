@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .frames import parallelism
 from .repetition import word_codes
-from .text import byte_hashes, slices, words
+from .text import SPACE, byte_hashes, slices, words
 
 FILTERS = "ABCDE"
 MIN_WORDS = 100
@@ -33,7 +33,7 @@ MAX_UPPER_PERCENT = 10
 # Characters whose presence fails filter D.
 SYMBOLS = "#$%&*|"
 # Text of a shard in bytes; a longer text is a shard of its own.
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 # Different words that are numbered together, about; one word in so many is counted to size the dictionary.
 DICTIONARY_SLICE = 1 << 19
 COUNT_ONE_IN = 1024
@@ -71,7 +71,7 @@ def _shards(kind: pa.DataType):
         for b in batches:
             for t in slices(b.column("text"), SHARD_BYTES):
                 data, start, length, first = words(t, lower=False)
-                code, vocabulary = word_codes(data, start, length)
+                code, vocabulary = word_codes(data, start, length, whole=~SPACE)
                 packed, hashes, by = _pack(vocabulary)
                 number = np.empty(len(by), np.int64)
                 number[by] = np.arange(len(by))
@@ -79,8 +79,7 @@ def _shards(kind: pa.DataType):
                 width = max(len(by), 1)
                 cell, count = np.unique(row * width + number[code], return_counts=True)
                 body = t.data[:-8]
-                of_byte = np.repeat(np.arange(t.count), np.diff(t.start))
-                total = lambda member: np.bincount(of_byte[member], minlength=t.count)
+                total = lambda member: np.diff(np.concatenate(([0], np.cumsum(member, dtype=np.int32)))[t.start]).astype(np.int64)
                 flag_c = 100 * total(upper[body]) > MAX_UPPER_PERCENT * total((body & 0xC0) != 0x80)
                 flag_d = total(symbol[body]) > 0
                 digests = [hashlib.sha256(body[lo:hi]).digest() for lo, hi in zip(t.start[:-1], t.start[1:])]
@@ -183,7 +182,7 @@ def document_term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text
     (global word numbers, ascending in a row) and counts of the entries, flags of the texts (1: too many
     capitals, 2: a symbol) and firsts (the smallest doc_id with the same text). Numbers are little-endian
     arrays in a binary value: row_ends and columns of 64 bits, counts of 32, flags of 8. Words are
-    ``[^\\x20\\x09-\\x0D]+``, case-sensitive. Shards hold whole texts of about 4 MB in all.
+    ``[^\\x20\\x09-\\x0D]+``, case-sensitive. Shards hold whole texts of about 2 MB in all.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.coalesce(F.col(part), F.lit("")) if part else F.lit("")).alias("part"))
     kind = base.schema["doc_id"].dataType.simpleString()

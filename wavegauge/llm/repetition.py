@@ -30,11 +30,17 @@ MAX_COVERED_PERCENT = 30
 MAX_REPEAT_WORDS = 50
 
 
-def word_codes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """A number for each byte string, equal for equal ones, and the strings by number."""
+def word_codes(data: np.ndarray, start: np.ndarray, length: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+    """A number for each byte string, equal for equal ones, and the strings by number.
+
+    ``whole`` tells, by byte, what the strings hold where they hold all such bytes of ``data`` (but for its padding).
+    """
     ends = np.concatenate(([0], np.cumsum(length)))
-    at = np.repeat(start - ends[:-1], length) + np.arange(ends[-1])
-    strings = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[at])])
+    if whole is not None:
+        held = data[:-8][whole[data[:-8]]]
+    else:
+        held = data[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
+    strings = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(held)])
     coded = strings.dictionary_encode()
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
