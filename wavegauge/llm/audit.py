@@ -39,7 +39,7 @@ DICTIONARY_SLICE = 1 << 19
 COUNT_ONE_IN = 1024
 
 
-def _pack(strings: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+def pack_words(strings: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Words (which hold no line feed) by hash, each followed by one; their hashes, and where each was."""
     offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
     data = np.append(np.frombuffer(strings.buffers()[2], np.uint8)[: offsets[-1]], np.zeros(8, np.uint8)) if len(strings) else np.zeros(8, np.uint8)
@@ -53,8 +53,8 @@ def _pack(strings: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out.tobytes(), hashes[by], by
 
 
-def _unpack(packed: bytes) -> tuple[pa.Array, np.ndarray]:
-    """The words of ``_pack`` and the place of each word's end in it."""
+def unpack_words(packed: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``pack_words`` and the place of each word's end in it."""
     raw = np.frombuffer(packed, np.uint8)
     ends = np.flatnonzero(raw == 10) + 1
     offsets = np.concatenate(([0], ends - np.arange(1, len(ends) + 1))).astype(np.int64)
@@ -72,7 +72,7 @@ def _shards(kind: pa.DataType):
             for t in slices(b.column("text"), SHARD_BYTES):
                 data, start, length, first = words(t, lower=False)
                 code, vocabulary = word_codes(data, start, length, whole=~SPACE)
-                packed, hashes, by = _pack(vocabulary)
+                packed, hashes, by = pack_words(vocabulary)
                 number = np.empty(len(by), np.int64)
                 number[by] = np.arange(len(by))
                 row = np.repeat(np.arange(t.count), np.diff(first))
@@ -118,8 +118,8 @@ def _fragments(n: int):
         for b in batches:
             for shard, packed in zip(b.column("shard"), b.column("vocabulary")):
                 packed = packed.as_py()
-                strings, ends = _unpack(packed)
-                _, hashes, _ = _pack(strings)
+                strings, ends = unpack_words(packed)
+                _, hashes, _ = pack_words(strings)
                 piece = ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
                 have, at = np.unique(piece, return_index=True)
                 cut = np.concatenate((np.append(0, ends)[at], [len(packed)]))
@@ -143,7 +143,7 @@ def _number(n: int):
                     continue
                 if pieces[lo] != at:
                     at, known = int(pieces[lo]), pa.array([], pa.large_binary())
-                each = [_unpack(x.as_py())[0] for x in b.column("words").slice(lo, hi - lo)]
+                each = [unpack_words(x.as_py())[0] for x in b.column("words").slice(lo, hi - lo)]
                 coded = pa.concat_arrays([known, *each]).dictionary_encode()
                 ids = np.asarray(coded.indices)[len(known) :].astype(np.int64) * n + at
                 known = coded.dictionary
