@@ -33,7 +33,7 @@ LONGEST = 4
 SCALE = 2_000_000
 CONTAINED_PERCENT = 80
 TOP = 2000
-SHARDS = 3
+SHARDS = 2
 # Bytes that part words, and bytes that part pieces: [\x20\x09] and [.,;:!?\x0A-\x0D].
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, 0x09]] = True
@@ -46,6 +46,9 @@ PIECE_PHRASES = 1 << 20
 BITS_PER_PHRASE = 16
 MAX_FILTER_BITS = 1 << 28
 SEGMENT = 1 << 16
+# Words of the corpus for each phrase with a share of the threshold, about (sizes a filter), and the rows of a broadcast side.
+HEAVY_WORDS = 64
+BROADCAST_PHRASES = 20_000
 _FOLD = np.uint64(0x94D049BB133111EB)
 
 
@@ -99,24 +102,26 @@ def phrase_hashes(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-def build_filter(phrases: DataFrame, most_bits: int = MAX_FILTER_BITS) -> Filter:
-    """A filter over the phrases (lang, phrase, recent) of a table; at most ``most_bits`` bits reach the driver."""
-    n = phrases.agg(F.sum(F.when(F.col("recent"), 2).otherwise(1))).first()[0] or 0
+def filter_bits(n: int, most_bits: int = MAX_FILTER_BITS) -> int:
     bits = 1 << 12
     while bits < min(BITS_PER_PHRASE * n, most_bits):
         bits *= 2
+    return bits
+
+
+def build_filter(hashes: DataFrame, bits: int) -> Filter:
+    """A filter of ``bits`` bits over a table of packed 64-bit hashes (column h); only the filter reaches the driver."""
     segment = min(bits // 8, SEGMENT)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
+        own = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            h = phrase_hashes(b.column("lang"), b.column("phrase"))
-            for p in Filter.places(np.concatenate((h, h[np.asarray(b.column("recent"), bool)] ^ RECENT)), bits):
-                own[p] = True
-        packed = np.packbits(own, bitorder="little").reshape(-1, segment)
-        some = np.flatnonzero(packed.any(axis=1))
-        for i in some:
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int64()), "bits": [packed[i].tobytes()]})
+            for h in b.column("h"):
+                for p in Filter.places(np.frombuffer(h.as_py(), np.uint64), bits):
+                    np.bitwise_or.at(own, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        parts = own.reshape(-1, segment)
+        for i in np.flatnonzero(parts.any(axis=1)):
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int64()), "bits": [parts[i].tobytes()]})
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(segment, np.uint8)
@@ -126,13 +131,32 @@ def build_filter(phrases: DataFrame, most_bits: int = MAX_FILTER_BITS) -> Filter
         yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": [out.tobytes()]})
 
     out = np.zeros(bits // 8, np.uint8)
-    if n:
-        marked = phrases.select("lang", "phrase", "recent").mapInArrow(mark, "segment long, bits binary").groupBy("segment").applyInArrow(merge, "segment long, bits binary")
-        for row in marked.collect():  # the filter itself, bounded by most_bits
-            out[row["segment"] * segment : (row["segment"] + 1) * segment] = np.frombuffer(row["bits"], np.uint8)
+    for row in hashes.mapInArrow(mark, "segment long, bits binary").groupBy("segment").applyInArrow(merge, "segment long, bits binary").collect():  # bounded by bits
+        out[row["segment"] * segment : (row["segment"] + 1) * segment] = np.frombuffer(row["bits"], np.uint8)
     return Filter(out)
 
 
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed hashes of phrases (lang, phrase, recent)."""
+    for b in batches:
+        h = phrase_hashes(b.column("lang"), b.column("phrase"))
+        yield pa.RecordBatch.from_pydict({"h": [np.concatenate((h, h[np.asarray(b.column("recent"), bool)] ^ RECENT)).tobytes()]})
+
+
+def _hash_counted(least: int):
+    """Packed hashes of the phrases with ``least`` counts or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, lang, _, phrases, counts in zip(*b.columns):
+                hit = np.flatnonzero(np.frombuffer(counts.as_py(), np.int64) >= least)
+                if len(hit):
+                    strings = unpack_words(phrases.as_py())[0].take(pa.array(hit)).cast(pa.large_string())
+                    yield pa.RecordBatch.from_pydict({"h": [phrase_hashes(pa.array([lang.as_py()] * len(hit)), strings).tobytes()]})
+
+    return run
+
+
 def _blocks(shards: int, block_bytes: int):
     """Blocks of texts of one language as word numbers (-1 between pieces) over their own vocabulary."""
 
@@ -270,17 +294,14 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _select(least: int, among=None):
-    """Single rows (lang, k, phrase, c) of counted phrases with ``least`` counts, or in the filter ``among``."""
+def _select(among):
+    """Single rows (lang, k, phrase, c) of the counted phrases in a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, lang, k, phrases, counts in zip(*b.columns):
                 strings, count = unpack_words(phrases.as_py())[0].cast(pa.large_string()), np.frombuffer(counts.as_py(), np.int64)
-                if among is None:
-                    hit = np.flatnonzero(count >= least)
-                else:
-                    hit = np.flatnonzero(among.value.has(phrase_hashes(pa.array([lang.as_py()] * len(count)), strings)))
+                hit = np.flatnonzero(among.value.has(phrase_hashes(pa.array([lang.as_py()] * len(count)), strings)))
                 for lo in range(0, len(hit), 50_000):
                     some = hit[lo : lo + 50_000]
                     yield pa.RecordBatch.from_arrays(
@@ -302,12 +323,12 @@ def _back(phrase: Column) -> Column:
     return F.regexp_replace(phrase, "^[^ ]* ", "")
 
 
-def _in_own_cycle(hits: DataFrame, reached: DataFrame, shards: int) -> DataFrame:
+def _in_own_cycle(hits: DataFrame, reached: DataFrame, shards: int, side=lambda df: df) -> DataFrame:
     """(lang, k, phrase, n): counts of the steps of each phrase's own cycle, by the steps at which its parts reached the threshold."""
     one = hits.where("k = 1").withColumn("start", F.lit(0))
     part = lambda name: reached.select("lang", F.col("phrase").alias(name), F.col("reach").alias(f"at_{name}"))
     more = hits.where("k > 1").withColumns({"front": _front(F.col("phrase")), "back": _back(F.col("phrase"))})
-    more = more.join(part("front"), ["lang", "front"]).join(part("back"), ["lang", "back"]).withColumn("start", F.greatest("at_front", "at_back") + 1)
+    more = more.join(side(part("front")), ["lang", "front"]).join(side(part("back")), ["lang", "back"]).withColumn("start", F.greatest("at_front", "at_back") + 1)
     both = one.unionByName(more.select(*one.columns))
     return both.where(F.col("step").between(F.col("start"), F.col("start") + shards - 1)).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("n"))
 
@@ -333,37 +354,34 @@ def frequent_phrases(
     pieces = max(tasks, -(-every // (shards * PIECE_PHRASES)))
 
     empty = spark.createDataFrame([], "lang string, k int, phrase string, reach int")
-    counted, reached = [], [empty]
+    together = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    counted, reached = [], empty
+    sizes: dict[tuple[int, int], int] = {}  # phrases of a length that reached the threshold at a step
     step, last = 0, shards - 1
-    latest: dict[int, list[int]] = {}  # steps at which phrases of a length reached the threshold
     while step <= last:
-        recent_lengths = {k for k, at in latest.items() if k < longest and max(at) >= step - shards}
-        known = reduce(DataFrame.unionByName, reached).where(F.col("k") < longest)
-        known = known.withColumn("recent", F.col("reach") >= step - shards)
-        held = spark.sparkContext.broadcast(build_filter(known) if recent_lengths else None)
-        found = blocks.where(F.col("turn") == step % shards).mapInArrow(_scan(step < shards, held, recent_lengths, longest, pieces), COUNTS)
+        recent = {k for k, at in sizes if k < longest and at >= step - shards}
+        known = reached.where(F.col("k") < longest).select("lang", "phrase", (F.col("reach") >= step - shards).alias("recent"))
+        held = spark.sparkContext.broadcast(build_filter(known.mapInArrow(_hash_rows, "h binary"), filter_bits(2 * sum(sizes.values()))) if recent else None)
+        found = blocks.where(F.col("turn") == step % shards).mapInArrow(_scan(step < shards, held, recent, longest, pieces), COUNTS)
         summed = found.repartition(tasks, "piece").sortWithinPartitions("piece", "lang", "k").mapInArrow(_add_up, COUNTS)
         counted.append(materialise(summed, "counts"))
         held.destroy()
         # Whatever reaches the threshold within a cycle has a share of it in one of its steps.
         window = range(max(0, step - shards + 1), step + 1)
-        heavy = materialise(reduce(DataFrame.unionByName, [counted[u] for u in window]).mapInArrow(_select(-(-threshold // shards)), ROWS).select("lang", "phrase", F.lit(False).alias("recent")).distinct(), "heavy")
-        among = spark.sparkContext.broadcast(build_filter(heavy))
-        hits = reduce(DataFrame.unionByName, [counted[u].mapInArrow(_select(0, among), ROWS).withColumn("step", F.lit(u)) for u in window])
-        before = reduce(DataFrame.unionByName, reached)
-        now = _in_own_cycle(hits, before, shards).where(F.col("n") >= threshold).join(before, ["lang", "phrase"], "left_anti")
-        now = materialise(now.select("lang", "k", "phrase", F.lit(step).alias("reach")), "reached")
+        heavy = together([counted[u] for u in window]).mapInArrow(_hash_counted(-(-threshold // shards)), "h binary")
+        among = spark.sparkContext.broadcast(build_filter(heavy, filter_bits(every // HEAVY_WORDS)))
+        hits = together([counted[u].mapInArrow(_select(among), ROWS).withColumn("step", F.lit(u)) for u in window])
+        side = F.broadcast if sum(sizes.values()) <= BROADCAST_PHRASES else lambda df: df
+        now = _in_own_cycle(hits, reached, shards, side).where(F.col("n") >= threshold).join(side(reached.select("lang", "phrase")), ["lang", "phrase"], "left_anti")
+        reached = materialise(reached.unionByName(now.select("lang", "k", "phrase", F.lit(step).alias("reach"))), "reached")
         among.destroy()
-        reached.append(now)
-        for row in now.select("k").distinct().collect():  # at most one row a length
-            latest.setdefault(row["k"], []).append(step)
-            if row["k"] < longest:
-                last = max(last, step + shards)
+        sizes = {(row["k"], row["reach"]): row["count"] for row in reached.groupBy("k", "reach").count().collect()}  # at most one row a length and step
+        last = max([last, *(at + shards for k, at in sizes if k < longest)])
         step += 1
-    done = reduce(DataFrame.unionByName, reached)
-    among = spark.sparkContext.broadcast(build_filter(done.withColumn("recent", F.lit(False))))
-    hits = reduce(DataFrame.unionByName, [c.mapInArrow(_select(0, among), ROWS).withColumn("step", F.lit(u)) for u, c in enumerate(counted)])
-    out = materialise(_in_own_cycle(hits, done, shards).join(done.select("lang", "phrase"), ["lang", "phrase"], "left_semi"), "phrases")
+    marked = reached.select("lang", "phrase", F.lit(False).alias("recent")).mapInArrow(_hash_rows, "h binary")
+    among = spark.sparkContext.broadcast(build_filter(marked, filter_bits(sum(sizes.values()))))
+    hits = together([c.mapInArrow(_select(among), ROWS).withColumn("step", F.lit(u)) for u, c in enumerate(counted)])
+    out = materialise(_in_own_cycle(hits, reached, shards).join(reached.select("lang", "phrase"), ["lang", "phrase"], "left_semi"), "phrases")
     among.destroy()
     return out, totals
 
