@@ -23,28 +23,6 @@ def test_smoothing_matches_recurrence(spark, chunk):
         assert np.allclose(g["smoothed"].astype(float), np.array(want, float), equal_nan=True)
 
 
-def brute_rlf(sinr, dt, **p):
-    m = C.RlfMachine(dt, **{**C.RLF_DEFAULTS, **p})
-    return [i for i, v in enumerate(sinr) if m.step(v)]
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_rlf_episodes_match_full_fold(spark, seed):
-    rng = np.random.default_rng(seed)
-    n = 600
-    sinr = np.repeat(rng.choice([-12.0, -7.0, -3.0], n // 10, p=[0.4, 0.2, 0.4]), 10) + rng.normal(0, 1, n)
-    p = {"n310": 3, "n311": 2, "t310_s": 0.5}
-    d = spark.createDataFrame([(1, i * 0.1, i, float(v)) for i, v in enumerate(sinr)], "ue_id long, time_s double, event_id long, sinr_serving_db double")
-    got = sorted(round(r["time_s"] / 0.1) for r in C.radio_link_failures(d, 0.1, chunk=7.0, tie="event_id", **p).collect())
-    assert got == brute_rlf(sinr, 0.1, **p) and got
-
-
-def test_rlf_recovery_cancels(spark):
-    sinr = [-12.0] * 6 + [-5.0, -5.0] + [-12.0] * 5 + [0.0]
-    assert brute_rlf(sinr, 0.01) == []
-    assert brute_rlf([-12.0] * 120, 0.01) == [6 + 99]
-
-
 def test_a3_needs_unbroken_run(spark):
     # Cell 2 qualifies at ticks 0-1 and 3-6; cell 3 at 3-6 as well.
     level = {2: [-70, -70, -95, -70, -70, -70, -70], 3: [-95, -95, -95, -70, -70, -70, -70]}

@@ -89,6 +89,29 @@ def test_interval_joins_are_equi_joins(spark):
         assert J.interval_join(p, i.limit(0), "t", "a", "b", cap=cap).count() == 0
 
 
+@pytest.mark.parametrize("cap", [10_000, 0])
+def test_one_long_interval_does_not_widen_the_bins_of_short_ones(spark, cap):
+    """400 short intervals and one of 10^6 s: candidate pairs stay in proportion to the matches."""
+    iv = [(i * 10.0, i * 10.0 + 0.001) for i in range(400)] + [(0.0, 1e6), (-float("inf"), 15.0)]
+    pts = [i * 10.0 + 0.0005 for i in range(400)] + [2e6, -5.0, None]
+    p, i = spark.createDataFrame([(x, k) for k, x in enumerate(pts)], "t double, k long"), spark.createDataFrame(iv, "a double, b double")
+    index = J.LengthClasses(i, "a", "b")
+    assert index.levels == [-9, 4, 20]
+    binned, probes = index.spread(i, "a", "b", "ib"), index.probe(p, "pb").withColumn("pb", index.of("t", F.col("pb_level")))
+    assert binned.count() <= 2 * len(iv) + 2 and probes.count() == len(pts) * len(index.levels)
+    met = probes.join(binned, (F.col("pb") == F.col("ib")) & (F.col("pb_level") == F.col("ib_level"))).count()
+    want = [(x, a, b) for x in pts if x is not None for a, b in iv if a <= x < b]
+    assert met <= 3 * len(want)
+    assert sorted((r["t"], r["a"], r["b"]) for r in J.interval_join(p, i, "t", "a", "b", cap=cap).collect()) == sorted(want)
+    semi = J.interval_join(p.unionAll(p), i, "t", "a", "b", how="left_semi", cap=cap).collect()
+    assert sorted(r["t"] for r in semi) == sorted(2 * [x for x in pts if x is not None and x < 1e6])
+    left = J.interval_join(p, i, "t", "a", "b", how="left", cap=cap).collect()
+    assert sum(r["a"] is None for r in left) == 2 and len(left) == len(want) + 2
+    w = p.select("t", (p.t + 20).alias("u"))
+    got = sorted((r["t"], r["a"]) for r in J.overlap_join(w, i, "t", "u", "a", "b", cap=cap).collect())
+    assert got == sorted((x, a) for x in pts if x is not None for a, b in iv if x < b and a < x + 20)
+
+
 @pytest.mark.parametrize("few", [0, 10])
 @pytest.mark.parametrize("base", [0.0, 1704067200.0])
 def test_strict_asof_leaves_out_equal_times(spark, few, base):

@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from wavegauge.functions import radio as R
 from wavegauge.operators import drift as D
-from wavegauge.operators.control import radio_link_failures
 from wavegauge.plans import adapter as A
 from wavegauge.plans import live_queries as LQ
-from wavegauge.plans.control_queries import RLF
 from wavegauge.sources import artefacts as S
 from wavegauge.sources import drive_test as DT
 from wavegauge.sources import timeline as T
@@ -67,13 +65,6 @@ def test_live_detectors_equal_batch(spark, sf):
     assert key(live) == key(batch)
 
 
-def test_live_failures_equal_batch(spark, sf):
-    live = LQ.q_online_rlf(spark, sf).toPandas()
-    t = A.telemetry(spark, sf).select("ue_id", "time_s", "event_id", "sinr_serving_db")
-    batch = radio_link_failures(t, dt=1.0, chunk=24.0, tie="event_id", **RLF).toPandas()
-    assert sorted(zip(live.ue_id, live.time_s)) == sorted(zip(batch.ue_id, batch.time_s.round(6)))
-
-
 def test_live_state_spans_batches(spark, sf, tmp_path):
     t = A.telemetry(spark, sf).select(F.col("event_type").alias("stream_name"), "time_s", F.col("rsrp_serving_dbm").alias("value")).orderBy("time_s")
     rows = t.collect()

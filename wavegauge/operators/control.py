@@ -118,73 +118,6 @@ def a3_entries(ticks: DataFrame, hyst_db: float, offset_db: float, ttt: float, d
     return fired.groupBy("ue_id", "time_s").agg(F.min("cell_id").alias("target_cell_id"))
 
 
-RLF_DEFAULTS = {"qout_db": -8.0, "qin_db": -6.0, "n310": 6, "n311": 2, "t310_s": 1.0}
-
-
-class RlfMachine:
-    """Out-of-sync counter, then a timer that in-sync samples can cancel; expiry is a failure."""
-
-    def __init__(self, dt: float, qout_db: float, qin_db: float, n310: int, n311: int, t310_s: float):
-        self.dt, self.qout, self.qin = dt, qout_db, qin_db
-        self.n310, self.n311, self.t310 = n310, n311, t310_s
-        self.bad, self.good, self.left = 0, 0, None
-
-    def step(self, sinr: float) -> bool:
-        if self.left is None:
-            self.bad = self.bad + 1 if sinr < self.qout else 0
-            if self.bad >= self.n310:
-                self.left, self.good = self.t310, 0
-            return False
-        self.left -= self.dt
-        self.good = self.good + 1 if sinr >= self.qin else 0
-        recovered = self.good >= self.n311
-        expired = not recovered and self.left <= 0
-        if recovered or expired:
-            self.bad, self.good, self.left = 0, 0, None
-        return expired
-
-
-def radio_link_failures(samples: DataFrame, dt: float, chunk: float = DAY, tie: str = "time_s", **params) -> DataFrame:
-    """Failure times per ue from serving SINR.
-
-    ``n311`` in-sync ticks in a row always end in the idle state, whatever came before. The ticks
-    between two such recoveries are therefore independent episodes; only those enter the state
-    machine, each in its own group.
-    """
-    p = {**RLF_DEFAULTS, **params}
-    d = samples.where(F.col("sinr_serving_db").isNotNull()).select("ue_id", "time_s", *([tie] if tie != "time_s" else []), "sinr_serving_db")
-    d = d.withColumn("_ok", F.col("sinr_serving_db") >= p["qin_db"])
-    order = ["time_s"] + ([tie] if tie != "time_s" else [])
-    flags = ["_ok"]
-    for k in range(1, int(p["n311"])):
-        d = neighbour_row(d, ["ue_id"], order, [flags[-1]], "time_s", chunk).withColumnRenamed(f"adj_{flags[-1]}", f"_ok{k}")
-        flags.append(f"_ok{k}")
-    calm = F.lit(True)
-    for f in flags:
-        calm = calm & F.coalesce(F.col(f), F.lit(False))
-    d = d.withColumn("_calm", calm)
-    marks = d.where("_calm").select("ue_id", F.col("time_s").alias("_mark"))
-    bad = asof_join(d.where(~F.col("_calm")), marks, "time_s", "_mark", ["_mark"], by=["ue_id"], chunk=chunk)
-    bad = bad.withColumn("_mark", F.coalesce("_mark", F.lit(float("-inf"))))
-    # Episodes without a single out-of-sync tick cannot fail.
-    risky = bad.groupBy("ue_id", "_mark").agg(F.min("sinr_serving_db").alias("_low")).where(F.col("_low") < p["qout_db"])
-    rows = null_safe_join(bad, risky.drop("_low"), ["ue_id", "_mark"], "inner")
-    rows = rows.repartition("ue_id", "_mark").sortWithinPartitions("ue_id", "_mark", *order)
-
-    def fold(batches):
-        current, m = None, None
-        for pdf in batches:
-            out = []
-            for u, e, t, s in zip(pdf["ue_id"], pdf["_mark"], pdf["time_s"], pdf["sinr_serving_db"]):
-                if (u, e) != current:
-                    current, m = (u, e), RlfMachine(dt, **p)
-                if m.step(float(s)):
-                    out.append((u, t))
-            yield pd.DataFrame(out, columns=["ue_id", "time_s"])
-
-    return rows.select("ue_id", "_mark", *order, "sinr_serving_db").mapInPandas(fold, "ue_id long, time_s double")
-
-
 def handover_outcomes(
     attempts: DataFrame, failures: DataFrame, exec_s: float, best_cells: DataFrame | None = None, chunk: float = DAY
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,52 @@ class Bins:
         return F.broadcast(binned) if self.rows <= cap else binned
 
 
+class LengthClasses:
+    """An index of intervals by powers of two of their length, each class with bins of its own width.
+
+    An interval lies in the class whose bins are at least as wide as itself, so it covers two bins at most,
+    whatever the other intervals look like; a point asks one bin of every class that occurs. A few very
+    long intervals thus cost a point one more lookup instead of widening the bins of all. Ends beyond the
+    finite range of the table count as its borders.
+    """
+
+    def __init__(self, intervals: DataFrame, start: str, end: str):
+        inf = float("inf")
+        a, b = F.col(start).cast("double"), F.col(end).cast("double")
+        finite = lambda c: F.when((F.abs(c) < inf) & ~F.isnan(c), c)
+        row = intervals.agg(F.count(F.lit(1)).alias("n"), F.min(finite(F.least(a, b))).alias("lo"), F.max(finite(F.greatest(a, b))).alias("hi")).first()
+        self.rows, self.lo, self.hi = row["n"], float(row["lo"] or 0.0), float(row["hi"] or 0.0)
+        # A bin number keeps within 2^40, so that it is exact.
+        self.least = math.floor(math.log2(max(abs(self.lo), abs(self.hi), 1e-300))) - 40
+        some = intervals.where(a <= b).select(self.level(start, end).alias("c")).distinct()
+        self.levels = sorted(r["c"] for r in some.collect())  # at most one a power of two
+
+    def clip(self, time: str | Column) -> Column:
+        t = F.col(time).cast("double") if isinstance(time, str) else time
+        return F.when(t < self.lo, self.lo).when(t > self.hi, self.hi).otherwise(t)
+
+    def level(self, start: str, end: str) -> Column:
+        length = self.clip(end) - self.clip(start)
+        return F.when(length > 0, F.greatest(F.ceil(F.log2(length)), F.lit(self.least))).otherwise(F.lit(self.least)).cast("int")
+
+    def of(self, time: str | Column, level: Column) -> Column:
+        """Bin of a time in a class; NULL stays NULL."""
+        return F.floor(self.clip(time) / F.pow(F.lit(2.0), level))
+
+    def spread(self, df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+        """Rows once for each bin of their class that they cover; rows that end before they start cover none."""
+        d = df.where(F.col(start) <= F.col(end)).withColumn(f"{name}_level", self.level(start, end))
+        return d.withColumn(name, F.explode(F.sequence(self.of(start, F.col(f"{name}_level")), self.of(end, F.col(f"{name}_level")))))
+
+    def probe(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows once for each class that occurs."""
+        return df.withColumn(f"{name}_level", F.explode(F.array(*[F.lit(c) for c in self.levels]).cast("array<int>")))
+
+    def side(self, binned: DataFrame, cap: int) -> DataFrame:
+        """Broadcast the binned table if its rows were counted to be few."""
+        return F.broadcast(binned) if self.rows <= cap else binned
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -52,24 +100,43 @@ def interval_join(
     on: list[str] | None = None,
     closed: bool = False,
     how: str = "inner",
-    bin_width: float | None = None,
     cap: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Match points with the intervals that contain them: [start, end), or [start, end] if closed.
 
-    Points and intervals meet on a time bin, so the join is a hash or sort-merge equi join at every
-    size; up to ``cap`` intervals (counted) are broadcast by bin. Column names must not clash except
-    for ``on``. ``how`` is inner, left_semi or left.
+    Points and intervals meet on a bin of a length class, so the join is a hash or sort-merge equi join at
+    every size; up to ``cap`` intervals (counted) are broadcast by bin. Column names must not clash except
+    for ``on``. ``how`` is inner, left_semi or left; the latter two compare whole rows where intervals of
+    several classes occur, whose columns must then have an order.
     """
     on = on or []
     iv = intervals.withColumnsRenamed({k: f"_iv_{k}" for k in on})
     cond = (F.col(t) >= F.col(start)) & ((F.col(t) <= F.col(end)) if closed else (F.col(t) < F.col(end)))
     for k in on:
         cond = cond & (F.col(k) == F.col(f"_iv_{k}"))
-    bins = Bins(intervals, start, end, bin_width)
-    binned = bins.side(bins.spread(iv, start, end, "_ib"), cap)
-    pts = points.withColumn("_pb", bins.of(t))
-    return pts.join(binned, (F.col("_pb") == F.col("_ib")) & cond, how).drop("_pb", "_ib", *[f"_iv_{k}" for k in on])
+    index = LengthClasses(intervals, start, end)
+    binned = index.side(index.spread(iv, start, end, "_ib"), cap)
+    cond = cond & (F.col("_pb") == F.col("_ib")) & (F.col("_pb_level") == F.col("_ib_level"))
+    helpers = ["_pb", "_pb_level", "_ib", "_ib_level", *[f"_iv_{k}" for k in on]]
+
+    def meet(rows: DataFrame, kind: str) -> DataFrame:
+        probes = index.probe(rows, "_pb").withColumn("_pb", index.of(t, F.col("_pb_level")))
+        return probes.join(binned, cond, kind).drop(*helpers)
+
+    if how == "inner":
+        return meet(points, how)
+    if len(index.levels) == 1:
+        return meet(points, how)
+    if not index.levels:  # no interval at all
+        none = points.withColumns({"_pb": F.lit(None).cast("long"), "_pb_level": F.lit(None).cast("int")})
+        return none.join(binned, cond, how).drop(*helpers)
+    rows = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_times"))
+    hit = meet(rows, "left_semi").distinct()
+    again = lambda d: d.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*points.columns)
+    if how == "left_semi":
+        return again(hit)
+    missed = again(null_safe_join(rows, hit.select(*points.columns), points.columns, "left_anti"))
+    return meet(points, "inner").unionByName(missed, allowMissingColumns=True)
 
 
 def overlap_join(
@@ -80,15 +147,25 @@ def overlap_join(
     r_start: str,
     r_end: str,
     cap: int = BROADCAST_ROWS,
-    bin_width: float | None = None,
 ) -> DataFrame:
-    """Inner join of half-open intervals that overlap. Every pair appears once."""
+    """Inner join of half-open intervals that overlap. Every pair appears once.
+
+    A pair overlaps where the later of the two starts lies in the other interval, so it is found by that start:
+    starts of the left ask the index of the right, and starts of the right that of the left.
+    """
     cond = (F.col(l_start) < F.col(r_end)) & (F.col(r_start) < F.col(l_end))
-    bins = Bins(right, r_start, r_end, bin_width)
-    first_common = F.greatest(bins.of(l_start), bins.of(r_start))
-    binned = bins.side(bins.spread(right, r_start, r_end, "_rb"), cap)
-    joined = bins.spread(left, l_start, l_end, "_lb").join(binned, (F.col("_lb") == F.col("_rb")) & cond)
-    return joined.where(F.col("_lb") == first_common).drop("_lb", "_rb")
+    ordered = lambda d, a, b: d.where(F.col(a) <= F.col(b))
+
+    def meet(points: DataFrame, t: str, intervals: DataFrame, start: str, end: str, more: Column) -> DataFrame:
+        index = LengthClasses(intervals, start, end)
+        binned = index.side(index.spread(intervals, start, end, "_ib"), cap)
+        probes = index.probe(points, "_pb").withColumn("_pb", index.of(t, F.col("_pb_level")))
+        same = (F.col("_pb") == F.col("_ib")) & (F.col("_pb_level") == F.col("_ib_level"))
+        return probes.join(binned, same & cond & more).select(*left.columns, *right.columns)
+
+    l, r = ordered(left, l_start, l_end), ordered(right, r_start, r_end)
+    later_left = meet(l, l_start, r, r_start, r_end, F.col(l_start) >= F.col(r_start))
+    return later_left.unionByName(meet(r, r_start, l, l_start, l_end, F.col(r_start) > F.col(l_start)))
 
 
 def asof_join(

@@ -56,7 +56,6 @@ def q_a3(spark, d):
     return tidy(C.a3_entries(ticks.drop("tick", "serving_cell_id"), 0.5, -12.0, ttt=2.0, dt=1.0, chunk=24.0))
 
 
-RLF = {"qout_db": 8.0, "qin_db": 10.0, "n310": 3, "n311": 2, "t310_s": 4.0}
 
 
 @query(

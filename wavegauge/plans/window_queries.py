@@ -401,10 +401,10 @@ def q_sliding(spark, d):
 @query(
     "m14_drift_phase_ap",
     f"WITH {A.labelled_sql()}, {SCORED_SQL}, {A.DRIFT_SQL}, dph AS (SELECT DISTINCT f.phase_id FROM feat f JOIN drift d ON f.t_mid_s >= d.start_time_s AND f.t_mid_s < d.end_time_s), "
-    "ind AS (SELECT * FROM scored WHERE phase_id IN (SELECT phase_id FROM dph) OR phase_id IN (4, 9)), "
+    "ind AS (SELECT * FROM scored WHERE phase_id IN (SELECT phase_id FROM dph)), "
     f"{ap_sql('ind', 'detector', 'label_anomaly')} SELECT detector, {r('ap', 'roc_auc')}, {i('n_pos', 'n_neg')} FROM ap",
 )
 def q_drift_phase_ap(spark, d):
     s = scored(spark, d)
-    phases = L.drift_phases(s, A.drift_truth(spark)).unionByName(spark.createDataFrame([(4,), (9,)], "phase_id int")).distinct()
+    phases = L.drift_phases(s, A.drift_truth(spark))
     return tidy(M.ranking_metrics(s.join(phases, "phase_id", "left_semi"), ["detector"], "score", "label_anomaly"))
