@@ -56,8 +56,8 @@ def q_feed(spark, d):
 
 
 FILES_SQL = """
-src AS (SELECT o_orderkey AS k, o_custkey % 100 AS enc, o_orderkey % 48 AS q, o_orderkey % 3 + 1 AS ds FROM orders),
-dec AS (SELECT DISTINCT ds, k % 86400 AS t, enc % 90 AS cell, (enc + 7) % 90 AS nb, enc AS srv, (enc + k) % 98 AS ngh, q FROM src WHERE enc <= 97)"""
+src AS (SELECT o_orderkey AS k, o_custkey % 98 AS enc, o_orderkey % 48 AS q, o_orderkey % 3 + 1 AS ds FROM orders),
+dec AS (SELECT DISTINCT ds, k % 86400 AS t, enc % 90 AS cell, (enc + 7) % 90 AS nb, enc AS srv, (enc + k) % 98 AS ngh, q FROM src)"""
 
 
 @query(
@@ -69,10 +69,10 @@ dec AS (SELECT DISTINCT ds, k % 86400 AS t, enc % 90 AS cell, (enc + 7) % 90 AS
 )
 def q_files(spark, d):
     o = A.table(spark, d, "orders")
-    enc, k = F.col("o_custkey") % 100, F.col("o_orderkey")
+    enc, k = F.col("o_custkey") % 98, F.col("o_orderkey")  # every order has one of the codes 0 to 97
     t = k % 86400
     hms = F.concat_ws(":", F.floor(t / 3600).cast("string"), F.floor(t / 60 % 60).cast("string"), F.format_string("%02d.0", (t % 60).cast("int")))
-    base = o.where(enc <= 97).select(
+    base = o.select(
         (k % 3 + 1).alias("ds"),
         hms.alias("Timestamp"),
         (enc % 90).alias("Serving Cell ID"),
