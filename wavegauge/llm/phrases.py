@@ -5,8 +5,8 @@ the first step on. A longer phrase becomes active as soon as both phrases that i
 last and all but its first word) have reached the threshold, is counted from the next step on, next to
 phrases of other lengths, and is done when it has seen every shard once. The cycle ends when nothing is active.
 
-A task looks phrases up in two Bloom filters, those that have reached the threshold and those that did so
-within the last cycle. A false hit counts a phrase too early or needlessly, never too little: counts are kept
+A task looks phrases up in a Bloom filter: those that have reached the threshold, and, under another hash,
+those that did so within the last cycle. A false hit counts a phrase too early or needlessly, never too little: counts are kept
 by step, and only those of a phrase's own cycle are added, by exact joins of the few phrases that matter.
 """
 
