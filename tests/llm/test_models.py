@@ -101,6 +101,40 @@ def test_plan_places_every_piece_once(histogram):
     assert len(fill) <= len(bins) + 1
 
 
+def test_patterns_carry_most_pieces():
+    rng = np.random.default_rng(4)
+    for n, share in ((1_000, 0.8), (20_000, 0.9)):
+        lengths = np.clip(rng.lognormal(6.4, 0.9, n).astype(int) + 1, 1, 2048)
+        histogram = Counter(lengths.tolist())
+        fitted = packing.fit_patterns(histogram, 2048)
+        used = Counter()
+        for parts, k in fitted:
+            assert sum(parts) <= 2048 and k > 0
+            used.update({x: k * c for x, c in Counter(parts).items()})
+        assert all(used[x] <= histogram[x] for x in used)
+        assert sum(used.values()) >= share * (lengths < 2048).sum()
+        runs = packing.plan(histogram, 2048)
+        assert (runs[:, 2] + runs[:, 3]).max() <= math.ceil(lengths.sum() / 2048 * 1.002)
+
+
+def test_fit_of_repeats_meets_the_counts():
+    lengths = np.arange(1, 64)
+    use = packing.patterns(lengths, 64)
+    assert all(sum(lengths[i] for i in p if i >= 0) <= 64 for p in use.tolist())
+    truth = np.zeros(len(use))
+    truth[::7] = 5
+    counts = np.zeros(len(lengths))
+    for p, x in zip(use.tolist(), truth.tolist()):
+        for i in p:
+            counts[i] += x * (i >= 0)
+    x = packing.fit_repeats(use, counts, 400)
+    made = np.zeros(len(lengths))
+    for p, n in zip(use.tolist(), x.tolist()):
+        for i in p:
+            made[i] += n * (i >= 0)
+    assert (x >= 0).all() and np.abs(made - counts).max() < 0.05 * counts.max()
+
+
 @pytest.fixture(scope="module")
 def unigram():
     """The library's own unigram encoder over the same pieces."""

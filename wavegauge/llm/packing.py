@@ -3,8 +3,9 @@
 Documents are cut into pieces of at most one sequence. Only the histogram of piece lengths (one row
 for each length) reaches the driver. There, patterns of a few lengths that fill a sequence are
 enumerated, their repeat counts fitted to the histogram by non-negative least squares and rounded
-down; what is left is packed best fit decreasing, a whole run of equal lengths at a time, into the
-gaps of the patterns and into new sequences. The plan is a list of runs, "pieces k to k + n of
+(down, but to one at least where the pieces are there, largest first); fit and rounding repeat on
+the remaining histogram until no pattern is left. The residual is packed best fit decreasing, a
+whole run of equal lengths at a time, into the gaps of the patterns and into new sequences. The plan is a list of runs, "pieces k to k + n of
 length L go to sequences s to s + n at this offset", so its size depends on the number of lengths
 and patterns and not on the number of documents. Every piece then finds its place from its rank
 among the pieces of its length.
@@ -29,7 +30,8 @@ from .text import LOWER, IdPool, Texts, byte_hashes, slices, words
 MAX_LENGTH = 2048
 # Slices in which the pieces of a length are ranked.
 SLICES = 256
-# Patterns of one, two and three lengths that are fitted, and steps of the fit.
+# Patterns with a gap are fitted too as long as there are no more than this; those without a gap always
+# (for sequences of 2 048 tokens at most 350 208). Then the steps of the fit.
 MAX_PATTERNS = 400_000
 # A pattern leaves at most this part of a sequence free.
 WASTE = 64
@@ -170,8 +172,8 @@ def patterns(lengths: np.ndarray, size: int, most: int = MAX_PATTERNS) -> np.nda
                 j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
                 rows.append(np.stack([i, j, np.full_like(i, third)], 1))
         found = np.concatenate(rows)
-        if len(found) > most:
-            return out if len(out) else found[np.argsort((lengths[found] * (found >= 0)).sum(1), kind="stable")[::-1][:most]]
+        if gap and len(found) > most:
+            break
         out = found
         if len(out) > 20 * n:
             break
@@ -199,17 +201,57 @@ def fit_repeats(use: np.ndarray, counts: np.ndarray, steps: int = FIT_STEPS) ->
     return x
 
 
+def round_repeats(x: np.ndarray, use: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """(pattern, whole repeats) in the order of the fitted repeats ``x``: rounded down, but one at
+    least, and no more than the pieces that are still there. ``counts`` is reduced accordingly."""
+    out = []
+    for p in np.argsort(-x, kind="stable"):
+        if x[p] <= 0:
+            break
+        parts = [i for i in use[p].tolist() if i >= 0]
+        n = min(max(int(x[p] + 1e-9), 1), *(int(counts[i]) // parts.count(i) for i in parts))
+        if n:
+            for i in parts:
+                counts[i] -= n
+            out.append((int(p), n))
+    return out
+
+
+def fit_patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths of one sequence) and their whole repeats; fitted again on what rounding left."""
+    lengths = np.array(sorted(k for k, v in histogram.items() if v and k < size), np.int64)
+    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+    out = []
+    while len(lengths):
+        use = patterns(lengths, size)
+        found = round_repeats(fit_repeats(use, counts.astype(float)), use, counts) if len(use) else []
+        if not found:
+            break
+        out += [(tuple(int(lengths[i]) for i in use[p] if i >= 0), n) for p, n in found]
+        lengths, counts = lengths[counts > 0], counts[counts > 0]
+    return out
+
+
 def plan(histogram: dict[int, int], size: int = MAX_LENGTH) -> np.ndarray:
     """Runs (length, first rank, first sequence, pieces, offset) that place every piece of the histogram.
 
-    Where patterns do not pay, as with few or very short pieces, all pieces are packed best fit.
+    If the tokens would fit into fewer sequences, the patterns of the widest gaps are dissolved, half of
+    the rest at a time, and the plan of fewest sequences counts, of these the one with most patterns.
     """
-    fitted, plain = _plan(histogram, size, True), _plan(histogram, size, False)
-    last = lambda runs: int((runs[:, 2] + runs[:, 3]).max(initial=0))
-    return fitted if last(fitted) <= last(plain) else plain
-
-
-def _plan(histogram: dict[int, int], size: int, fit: bool) -> np.ndarray:
+    fitted = sorted(fit_patterns(histogram, size), key=lambda f: size - sum(f[0]))
+    least = -(-sum(k * v for k, v in histogram.items()) // size)
+    best, fewest, keep = None, 0, len(fitted)
+    while best is None or (fewest > least and keep):
+        keep = keep if best is None else keep // 2
+        runs = place_runs(histogram, size, fitted[:keep])
+        need = int((runs[:, 2] + runs[:, 3]).max(initial=0))
+        if best is None or need < fewest:
+            best, fewest = runs, need
+    return best
+
+
+def place_runs(histogram: dict[int, int], size: int, fitted: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+    """Runs of full pieces, of the given patterns and, best fit decreasing, of all other pieces."""
     left = {int(k): int(v) for k, v in histogram.items() if v}
     rank = dict.fromkeys(left, 0)
     runs: list[tuple[int, int, int, int, int]] = []
@@ -228,24 +270,13 @@ def _plan(histogram: dict[int, int], size: int, fit: bool) -> np.ndarray:
                 insort(free, gap)
             room.setdefault(gap, []).append((base, n))
 
-    if size in left:
-        put(size, 0, left[size], 0)
-        sequences += rank[size]
-    lengths = np.array(sorted(k for k, v in left.items() if v), np.int64)
-    if len(lengths) and fit:
-        use = patterns(lengths, size)
-        if len(use):
-            repeats = np.floor(fit_repeats(use, np.array([left[int(x)] for x in lengths], float)) + 1e-9).astype(np.int64)
-            for p in np.flatnonzero(repeats)[np.argsort(-repeats[repeats > 0], kind="stable")]:
-                parts = [int(lengths[i]) for i in use[p] if i >= 0]
-                n = min(int(repeats[p]), *(left[x] // parts.count(x) for x in parts))
-                if n:
-                    offset = 0
-                    for x in parts:
-                        put(x, sequences, n, offset)
-                        offset += x
-                    open_room(size - offset, sequences, n)
-                    sequences += n
+    for parts, n in [*([((size,), left[size])] if size in left else []), *fitted]:
+        offset = 0
+        for x in parts:
+            put(x, sequences, n, offset)
+            offset += x
+        open_room(size - offset, sequences, n)
+        sequences += n
     for length in sorted((k for k, v in left.items() if v), reverse=True):  # best fit decreasing
         while left[length]:
             at = bisect_left(free, length)
