@@ -86,6 +86,23 @@ def test_near_duplicates_of_odd_tables(edge, nothing, make):
     check(make([*rows(a, b), *rows(a, first=5), *rows(b, first=5)]), 2)
 
 
+def test_near_copies_of_both_texts_of_a_document(spark, make):
+    rng = random.Random(5)
+    a, b = ([f"{c}{i}" for i in range(120)] for c in "ab")
+    near = lambda t: " ".join([*t[:-2], "x", "y"])
+    data = [*rows(" ".join(a), first=5), *rows(" ".join(b), first=5), *rows(near(b), first=7), *rows(near(a), first=9), *rows("other words here", first=11)]
+    for parts in (1, 3, 8):
+        rng.shuffle(data)
+        df = make(data).repartition(parts)
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, k=2).collect()}
+        assert got == {5: 5, 7: 5, 9: 5, 11: 11}
+    # One doc_id with many texts, a near copy of the last.
+    many = [[f"t{j}w{i}" for i in range(60)] for j in range(30)]
+    data = [x for t in many for x in rows(" ".join(t), first=3)] + rows(near(many[-1]), near(many[0]), first=20)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make(data), k=2).collect()}
+    assert got == {3: 3, 20: 3, 21: 3}
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -198,12 +198,12 @@ def _confirm(k: int, percent: int, least: int):
             texts = table["text"].combine_chunks()
             sets = [s for t in slices(texts) for s in text_sets(t, k)]
             sig = _sigs(table["sig"].combine_chunks())
-            rep = np.asarray(table["rep"])
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(rep)]))
+            doc = np.asarray(table["doc"])
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(doc)]))
             links = [(a + i, a + j) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 for i, j in exact_links(sets[a:b], sig[a:b], percent, least)]
             if links:
                 at = np.array(links)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at[:, 0]]), pa.array(rep[at[:, 1]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at[:, 0]]), pa.array(doc[at[:, 1]])], ["a", "b"])
 
     return run
 
@@ -224,14 +224,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     sketch = materialise(base.mapInArrow(_sketch(k), "doc_id long, version long, n long, bands array<long>, sig binary, digest binary"), "sketch")
     some = sketch.where("n > 0 and doc_id is not null")
-    # One row for each different set, the document of the smallest id.
+    # One row for each different set: a number of its own (one document may hold several sets), fixed by
+    # the written table, and the document of the smallest id.
     reps = some.groupBy("digest").agg(F.min(F.struct("doc_id", "version", "bands", "sig")).alias("x"))
-    reps = materialise(reps.select("digest", F.col("x.doc_id").alias("rep"), "x.version", "x.bands", "x.sig"), "reps")
-    members = materialise(some.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep", "digest").distinct(), "members")
+    reps = materialise(reps.select("digest", F.monotonically_increasing_id().alias("rep"), F.col("x.doc_id").alias("doc"), "x.version", "x.bands", "x.sig"), "reps")
+    members = materialise(some.select("doc_id", "digest").join(reps.select("digest", F.col("doc").alias("rep")), "digest").select("doc_id", "rep", "digest").distinct(), "members")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("size")).where("lead < last")
     crowded = materialise(buckets.join(leaders.select("key", "lead", "size"), "key"), "buckets")
-    sigs = reps.select("rep", "sig").dropDuplicates(["rep"])
+    sigs = reps.select("rep", "sig")
     stars = crowded.where("lead <> rep").select("lead", "rep").distinct()
     stars = stars.join(sigs, "rep").join(sigs.select(F.col("rep").alias("lead"), F.col("sig").alias("sig2")), "lead")
     stars = materialise(stars.mapInArrow(_near_stars(least), "a long, b long"), "stars")
@@ -245,11 +246,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     more = dealt.mapInArrow(_near_in_bucket(least), "a long, b long")
     groups = materialise(connected_components(stars.unionAll(more)), "groups")
     # Confirm within groups, on texts.
-    texts = base.join(reps.select(F.col("rep").alias("doc_id"), "version", "sig").join(groups.withColumnRenamed("node", "doc_id"), "doc_id"), ["doc_id", "version"])
-    texts = texts.groupBy("doc_id", "version").agg(F.first("text").alias("text"), F.first("sig").alias("sig"), F.first("component").alias("grp"))
-    texts = materialise(texts.withColumnRenamed("doc_id", "rep"), "texts")
+    texts = base.join(reps.select("rep", F.col("doc").alias("doc_id"), "version", "sig").join(groups.withColumnRenamed("node", "rep"), "rep"), ["doc_id", "version"])
+    texts = texts.groupBy("rep").agg(F.first("doc_id").alias("doc"), F.first("text").alias("text"), F.first("sig").alias("sig"), F.first("component").alias("grp"))
+    texts = materialise(texts, "texts")
     sizes = texts.groupBy("grp").agg(F.greatest(F.count("*") / F.lit(GROUP_BLOCK), F.sum(F.octet_length("text")) / F.lit(GROUP_BYTES)).alias("blocks"))
-    sized = block_pairs(texts.join(sizes, "grp"), "rep", "blocks").select("grp", "pair", "rep", "text", "sig")
+    sized = block_pairs(texts.join(sizes, "grp"), "rep", "blocks").select("grp", "pair", "rep", "doc", "text", "sig")
     dealt = sized.repartition(parts, "grp", "pair").sortWithinPartitions("grp", "pair", "rep")
     links = dealt.mapInArrow(_confirm(k, percent, least), "a long, b long")
     repeated = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id").join(members, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
