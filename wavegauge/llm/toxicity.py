@@ -9,6 +9,7 @@ of all labelled rows that the fit has not seen. Scores depend on the text alone.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -196,6 +197,25 @@ def calibrate(m: ToxicityModel, z: np.ndarray, y: np.ndarray, count: np.ndarray,
         m.thresholds[str(code)] = float(ties[np.abs(ties - 0.5).argmin()])
 
 
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fit on three quarters of the sample: one row with the model and the keys it has seen; none
+    where the sample has a single class."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    sample = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    keys, y = sample["doc_id"].to_pylist(), np.asarray(sample["y"], np.int64)
+    if not 0 < y.sum() < len(y):
+        return
+    aside = mix64(np.array([zlib.crc32(str(k).encode()) for k in keys], np.uint64)) % np.uint64(4) == 0
+    use = ~aside if 0 < y[~aside].sum() < (~aside).sum() else np.ones(len(y), bool)
+    balanced = np.where(y == 1, 0.5 / max(y[use].mean(), 1e-9), 0.5 / max(1 - y[use].mean(), 1e-9))
+    m = fit(sample["text"].filter(pa.array(use)).to_pylist(), y[use], balanced[use])
+    seen = sorted({k for k, u in zip(keys, use) if u})
+    kind = batches[0].schema.field("doc_id").type
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary()), pa.array([seen], pa.list_(kind))], ["model", "seen"])
+
+
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, most_bytes: int = SAMPLE_BYTES
 ) -> ToxicityModel:
@@ -222,22 +242,22 @@ def train_toxicity(
     spark = docs.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
     chosen = F.broadcast(spark.createDataFrame([(x,) for x in fit_ids], f"doc_id {kind}"))
-    sample = sorted(rows.join(chosen, "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))
-    texts, label_of = [r["text"] for r in sample], np.array([r["y"] for r in sample], np.int64)
-    if not 0 < label_of.sum() < len(label_of):  # nothing to tell apart: every text gets the share of toxic labels
+    # The fit runs in one task, on the bounded sample alone; only the weights come to the driver.
+    fields = f"model binary, seen array<{kind}>"
+    fitted = rows.join(chosen, "doc_id").select("doc_id", "text", "y").repartition(1).mapInArrow(_fit_sample, fields).first()
+    if fitted is None:  # nothing to tell apart: every text gets the share of toxic labels
         m = ToxicityModel(np.zeros(((1 << WORD_BITS) + len(STEMS) * (1 << STEM_BITS), 1), np.float32), [np.zeros((1, 1, 1), np.float32)], np.zeros(1), 0.0)
         m.shift = float(np.log((total.get(1, 0) + 1) / (total.get(0, 0) + 1)) - 1e-3)
         return m
-    aside = mix64(np.array([zlib.crc32(str(r["doc_id"]).encode()) for r in sample], np.uint64)) % np.uint64(4) == 0
-    use = ~aside if 0 < label_of[~aside].sum() < (~aside).sum() else np.ones(len(sample), bool)
-    balanced = np.where(label_of == 1, 0.5 / max(label_of[use].mean(), 1e-9), 0.5 / max(1 - label_of[use].mean(), 1e-9))
-    m = fit([x for x, u in zip(texts, use) if u], label_of[use], balanced[use])
-    seen = F.broadcast(spark.createDataFrame([(x,) for x in sorted({r["doc_id"] for r, u in zip(sample, use) if u})], f"doc_id {kind}"))
+    m = pickle.loads(fitted["model"])
+    seen = F.broadcast(spark.createDataFrame([(x,) for x in fitted["seen"]], f"doc_id {kind}"))
     # Every text is scored where it lies, so that the join moves no text.
     base = docs.select(F.col(key).alias("doc_id"), (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"), F.col(text).alias("text"))
-    z = base.mapInArrow(_score(spark.sparkContext.broadcast(m), logits=True), f"doc_id {kind}, lang string, score double")
+    shared = spark.sparkContext.broadcast(m)
+    z = base.mapInArrow(_score(shared, logits=True), f"doc_id {kind}, lang string, score double")
     cells = z.join(y, "doc_id").join(seen.withColumn("seen", F.lit(True)), "doc_id", "left").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.round("score", LOGIT_DIGITS).alias("z"), "y", F.col("seen").isNotNull().alias("seen"))
     all_cells = cells.agg(F.count("*").alias("n")).orderBy("lang", "z", "y").collect()  # languages times rounded logits
+    shared.destroy()
     rest = [r for r in all_cells if not r["seen"]]
     rest = rest if len({r["y"] for r in rest}) == 2 else all_cells
     y_of, n = np.array([r["y"] for r in rest], np.int64), np.array([r["n"] for r in rest], np.int64)
