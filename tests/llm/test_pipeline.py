@@ -5,7 +5,7 @@ from wavegauge.llm.queries import oracles, queries
 
 def test_every_query_is_registered():
     names = set(queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x != "pipeline"} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x != "pipeline"} and "pipeline" in names
     assert set(oracles()) <= names
 
 
