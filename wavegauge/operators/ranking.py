@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, ratio
+from .resampling import replicate_ap
 from .scale import HOT_GROUP_ROWS, dense_position, grouped_quantiles, largest_group, null_safe_join, prefix_sum
 
 
@@ -87,31 +88,14 @@ def bootstrap_ap(
 ) -> DataFrame:
     """Average precision with a percentile interval from row resampling.
 
-    Rows with the same label and score are interchangeable, so a stratum is addressed by the rank
-    of its scores. Replicates with a single class are dropped and ``n_valid`` counts the rest.
+    Replicates come from ``resampling.replicate_ap``; those with a single class are dropped and
+    ``n_valid`` counts the rest. Rows without score or label take no part.
     """
-    d = df.where(F.col(score).isNotNull()).select(
+    d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
         *keys, F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y")
     )
-    strata = [*keys, "_y"] if stratify else list(keys)
-    # A replicate has no more distinct scores than its source, so one measurement serves all steps.
     small = True if largest_group(d, keys) <= HOT_GROUP_ROWS else None
-    if stratify:
-        pos = dense_position(d, strata, "_s", small=small)
-    else:
-        # One stratum: order by score, negatives first inside a tie.
-        both = d.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_p"))
-        r = prefix_sum(both, keys, "_s", ["_n"], small=small)
-        pos = r.select(
-            *keys, "_s", F.col("tot__n").alias("n"), F.col("_n") , F.col("_p"), (F.col("cum__n") - F.col("_n")).alias("_first")
-        ).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(
-            *keys, "_s", (F.col("_i") >= F.col("_n") - F.col("_p")).cast("int").alias("_y"), (F.col("_first") + F.col("_i")).alias("pos"), "n"
-        )
-    sizes = pos.groupBy(*strata).agg(F.max("n").alias("n"))
-    salt = F.col("_y").cast("string") if stratify else F.lit("all")
-    picks = resample_positions(sizes, strata, "n", "n", reps, salt)
-    hit = null_safe_join(picks, pos.drop("n"), [*strata, "pos"], "inner")
-    per_rep = ranking_metrics(hit, [*keys, "rep"], "_s", "_y", weight="picks", small=small).where(F.col("ap").isNotNull())
+    per_rep = replicate_ap(d, keys, "_s", "_y", reps, stratify).where(F.col("ap").isNotNull())
     ci = grouped_quantiles(
         per_rep, keys, {"ap": {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2}}, [F.count(F.lit(1)).alias("n_valid")],
         small=True,  # at most one row per replicate

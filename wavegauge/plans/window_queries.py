@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import id_list
 from ..operators import labels as L
 from ..operators import ranking as M
+from ..operators.resampling import MIX_A, MIX_B, STEP
 from ..operators.scale import grouped_quantiles
 from ..operators.windows import DERIVED, SAMPLE_COLUMNS, count_columns, drop_family_sets, window_features
 from ..session import materialise
@@ -204,21 +205,41 @@ def q_roc(spark, d):
     return tidy(M.ranking_metrics(docs.join(y, "doc_id"), ["lang"], "score", "label"))
 
 
-BOOT = 40
+BOOT = 1000
+
+
+def mix_sql(name: str, expr: str) -> str:
+    """Columns that mix a 32-bit number as ``resampling.mix32`` does; the last one is called ``name``."""
+    u = "::UBIGINT"
+    low = f"4294967295{u}"
+    return (
+        f"({expr}){u} AS {name}0, (xor({name}0, {name}0 >> 16) * {MIX_A}{u}) & {low} AS {name}1, "
+        f"(xor({name}1, {name}1 >> 15) * {MIX_B}{u}) & {low} AS {name}2, xor({name}2, {name}2 >> 16) AS {name}"
+    )
+
+
+def draw_sql(stratum: str, number: str) -> str:
+    """Column ``h``: draw ``number`` of replicate ``rep`` in a stratum, all rows in block 0."""
+    step = f"(e + ({number})::UBIGINT * {STEP}::UBIGINT) & 4294967295::UBIGINT"
+    return f"{mix_sql('c', f'rep * 4 + {stratum} + 1')}, {mix_sql('e', 'c')}, {mix_sql('h', step)}"
 
 
 def boot_sql(src: str, keys: list[str], label: str, stratify: bool, reps: int = BOOT, alpha: float = 0.05) -> str:
     k = "".join(f"{c}, " for c in keys)
-    y = "y, " if stratify else ""
-    salt = "y" if stratify else "'all'"
-    join = " AND ".join([f"d.{c} = p.{c}" for c in keys] + (["d.y = p.y"] if stratify else []) + ["d.pos = p.pos"])
-    part = f"PARTITION BY {k}{y}".rstrip(", ") if (keys or stratify) else ""
+    on = " AND ".join([f"d.{c} = p.{c}" for c in keys] + ["d.y = p.y", "d.pos = p.pos"])
+    takes = f"""
+bsizes AS (SELECT {k}sum(y) AS np, count(*) AS nr FROM posn {('GROUP BY ' + ', '.join(keys)) if keys else ''}),
+takes AS (SELECT {k}rep, np, nr - np AS nn, np AS t1, nr - np AS t0 FROM bsizes, range(0, {reps}) t(rep)),"""
+    if not stratify:
+        takes = takes.replace("takes AS (SELECT", "pairs AS (SELECT").replace("np, nr - np AS nn, np AS t1, nr - np AS t0", "np, nr, unnest(range(nr)) AS j") + f"""
+marks AS (SELECT {k}rep, np, nr, h < np / nr * 4294967296.0 AS hit FROM (SELECT *, {draw_sql('2', 'j')} FROM pairs)),
+takes AS (SELECT {k}rep, any_value(np) AS np, any_value(nr - np) AS nn, count(*) FILTER (hit) AS t1, count(*) FILTER (NOT hit) AS t0 FROM marks GROUP BY {k}rep),"""
     return f"""
 posn AS (SELECT {k}CAST({label} AS INTEGER) AS y, score AS sc,
-  row_number() OVER ({part} ORDER BY score{'' if stratify else ', ' + label}) - 1 AS pos, count(*) OVER ({part}) AS n FROM {src} WHERE score IS NOT NULL),
-draws AS (SELECT {k}{y}rep, ('0x' || substr(md5(rep || '|' || {salt} || '|' || pos), 1, 8))::UBIGINT % n AS pos
-  FROM posn, range(0, {reps}) t(rep)),
-picked AS (SELECT {''.join(f'd.{c}, ' for c in keys)}d.rep, p.y AS label, p.sc AS score FROM draws d JOIN posn p ON {join}),
+  row_number() OVER (PARTITION BY {k}{label} ORDER BY score) - 1 AS pos FROM {src} WHERE score IS NOT NULL),{takes}
+turns AS (SELECT {k}rep, 1 AS y, np AS m, unnest(range(t1::BIGINT)) AS j FROM takes UNION ALL SELECT {k}rep, 0, nn, unnest(range(t0::BIGINT)) FROM takes),
+draws AS (SELECT {k}rep, y, CAST((h * m::UBIGINT) >> 32 AS BIGINT) AS pos FROM (SELECT *, {draw_sql('y', 'j')} FROM turns)),
+picked AS (SELECT {''.join(f'd.{c}, ' for c in keys)}d.rep, p.y AS label, p.sc AS score FROM draws d JOIN posn p ON {on}),
 bsteps AS (SELECT {k}rep, score, sum(label) AS p, count(*) AS n FROM picked GROUP BY ALL),
 bcum AS (SELECT *, sum(p) OVER (PARTITION BY {k}rep ORDER BY score DESC) AS cp, sum(n) OVER (PARTITION BY {k}rep ORDER BY score DESC) AS cn FROM bsteps),
 brep AS (SELECT {k}rep, CASE WHEN sum(p) > 0 AND sum(n - p) > 0 THEN sum(p * (cp / cn)) / sum(p) END AS bap FROM bcum GROUP BY {k}rep),
@@ -318,13 +339,14 @@ def q_per_type(spark, d):
 
 @query(
     "m07_overall",
-    f"{SCORED}, {ap_sql('flagged', 'detector', 'label_anomaly')}, fr AS (SELECT detector, avg(flag) FILTER (label_anomaly = 1) AS tpr, "
-    f"avg(flag) FILTER (label_anomaly = 0) AS fpr FROM flagged GROUP BY 1) SELECT detector, {r('ap', 'roc_auc', 'tpr', 'fpr')}, {i('n_pos', 'n_neg')} FROM ap JOIN fr USING (detector)",
+    f"{SCORED}, {ap_sql('flagged', 'detector', 'label_anomaly')}, {boot_sql('flagged', ['detector'], 'label_anomaly', True)}, fr AS (SELECT detector, avg(flag) FILTER (label_anomaly = 1) AS tpr, "
+    f"avg(flag) FILTER (label_anomaly = 0) AS fpr FROM flagged GROUP BY 1) SELECT detector, {r('ap', 'roc_auc', 'ci_low', 'ci_high', 'tpr', 'fpr')}, {i('n_pos', 'n_neg', 'n_valid')} FROM ap JOIN fr USING (detector) LEFT JOIN ci USING (detector)",
 )
 def q_overall(spark, d):
     f = flagged(spark, d)
     rates = M.flag_rates(f, ["detector"], label="label_anomaly").select("detector", "tpr", "fpr")
-    return tidy(M.ranking_metrics(f, ["detector"], "score", "label_anomaly").join(rates, "detector"))
+    ci = M.bootstrap_ap(f, ["detector"], label="label_anomaly", reps=BOOT).select("detector", "ci_low", "ci_high", "n_valid")
+    return tidy(M.ranking_metrics(f, ["detector"], "score", "label_anomaly").join(rates, "detector").join(ci, "detector"))
 
 
 @query(
