@@ -1,8 +1,7 @@
 """Packing of tokenised documents into sequences of fixed length by fitted length patterns.
 
-Documents are cut into pieces of at most one sequence. Only the histogram of piece lengths (one row
-for each length) reaches the driver. There, patterns of a few lengths that fill a sequence are
-enumerated, their repeat counts fitted to the histogram by non-negative least squares and rounded
+Documents are cut into pieces of at most one sequence. The histogram of piece lengths (one row for
+each length) meets in one task. There, patterns of a few lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative least squares and rounded
 (down, but to one at least where the pieces are there, largest first); fit and rounding repeat on
 the remaining histogram until no pattern is left. The residual is packed best fit decreasing, a
 whole run of equal lengths at a time, into the gaps of the patterns and into new sequences. The plan is a list of runs, "pieces k to k + n of
@@ -301,6 +300,20 @@ def place_runs(histogram: dict[int, int], size: int, fitted: list[tuple[tuple[in
     return np.array(runs, np.int64).reshape(-1, 5)
 
 
+def _plan_rows(size: int):
+    """One row: the plan of the histogram rows of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        histogram: dict[int, int] = {}
+        for b in batches:
+            histogram |= dict(zip(b.column("length").to_pylist(), b.column("n").to_pylist(), strict=True))
+        if not histogram:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array([plan(histogram, size).tobytes()], pa.binary())], ["runs"])
+
+    return run
+
+
 def _place(runs: np.ndarray):
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     keys = (runs[:, 0] << 40) + runs[:, 1]
@@ -326,9 +339,9 @@ def pack_documents(docs: DataFrame, path: str, size: int = MAX_LENGTH, end_id: i
     pieces = materialise(token_pieces(docs, path, size, end_id, key, text, ids), "pieces")
     pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)).cast("int"))
     counts = pieces.groupBy("length", "slice").count()
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``size`` rows
-    if not histogram:
-        histogram = {size: 1}
+    histogram = counts.groupBy("length").agg(F.sum("count").alias("n"))  # at most ``size`` rows
+    planned = histogram.repartition(1).mapInArrow(_plan_rows(size), "runs binary").first()  # none for an empty table
+    runs = np.frombuffer(planned["runs"], np.int64).reshape(-1, 5) if planned else plan({size: 1}, size)
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     # The ranks and the counts are dealt by length and slice alike, so the join needs no further shuffle.
     offsets = counts.select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
@@ -337,4 +350,4 @@ def pack_documents(docs: DataFrame, path: str, size: int = MAX_LENGTH, end_id: i
     columns = [c for c in pieces.columns if c != "slice"]
     ranked = ranked.select(*columns, (F.col("ahead") + F.col("r")).cast("long").alias("rank"))
     fields = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in columns) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_place(plan(histogram, size)), fields)
+    return ranked.mapInArrow(_place(runs), fields)
