@@ -130,22 +130,25 @@ def q_ablation(spark, d):
 # --- fleet series ------------------------------------------------------------------------------
 
 BUCKET, HOURS = 3600.0, 6 * 3600.0
-FLEET_SQL = f"""{DRIVE_SQL}, seg AS (SELECT * FROM drive WHERE ran_type = 'LTE' AND operator_id = 1),
-b0 AS (SELECT min(time_s) AS t0, CAST(ceil((max(time_s) - min(time_s) + 1e-9) / {BUCKET}) AS BIGINT) AS n FROM seg),
-ag AS (SELECT CAST(least(floor((time_s - t0) / {BUCKET}), n - 1) AS BIGINT) AS i, avg(rsrp_serving_dbm) AS rsrp_mean, avg(sinr_serving_db) AS sinr_mean, count(DISTINCT serving_cell_id) AS n_cells, count(*) AS n_samples FROM seg, b0 GROUP BY 1),
-lg AS (SELECT *, lag(serving_cell_id) OVER w AS src, lag(time_s) OVER w AS pt FROM seg WINDOW w AS (ORDER BY time_s, event_id)),
-mv AS (SELECT CAST(least(floor((time_s - t0) / {BUCKET}), n - 1) AS BIGINT) AS j, count(*) AS c FROM lg, b0 WHERE serving_cell_id <> src AND time_s - pt < {BUCKET} GROUP BY 1),
-gr AS (SELECT CAST(kk AS BIGINT) AS i, kk * {BUCKET} AS t_s, CAST(floor((t0 + kk * {BUCKET}) / 3600) AS BIGINT) % 24 AS hour FROM b0, range(0, 20000) t(kk) WHERE kk < n),
-fl AS (SELECT g.i, g.t_s, g.hour, rsrp_mean, sinr_mean, coalesce(n_cells, 0) AS n_cells, coalesce(n_samples, 0) AS n_samples,
-  coalesce((SELECT sum(c) FROM mv WHERE mv.j >= g.i - 3 AND mv.j <= g.i + 2), 0) / {HOURS} AS ho_rate FROM gr g LEFT JOIN ag USING (i))"""
+FLEET_SQL = f"""{DRIVE_SQL}, seg AS (SELECT * FROM drive WHERE operator_id IS NOT NULL),
+b0 AS (SELECT operator_id, ran_type, min(time_s) AS t0, CAST(ceil((max(time_s) - min(time_s) + 1e-9) / {BUCKET}) AS BIGINT) AS n FROM seg GROUP BY ALL),
+ag AS (SELECT operator_id, ran_type, CAST(least(floor((time_s - t0) / {BUCKET}), n - 1) AS BIGINT) AS i, avg(rsrp_serving_dbm) AS rsrp_mean, avg(sinr_serving_db) AS sinr_mean,
+  count(DISTINCT serving_cell_id) AS n_cells, count(*) AS n_samples FROM seg JOIN b0 USING (operator_id, ran_type) GROUP BY 1, 2, 3),
+lg AS (SELECT *, lag(serving_cell_id) OVER w AS src, lag(time_s) OVER w AS pt FROM seg WINDOW w AS (PARTITION BY operator_id, ran_type ORDER BY time_s, event_id)),
+mv AS (SELECT operator_id, ran_type, CAST(least(floor((time_s - t0) / {BUCKET}), n - 1) AS BIGINT) AS j, count(*) AS c FROM lg JOIN b0 USING (operator_id, ran_type)
+  WHERE serving_cell_id <> src AND time_s - pt < {BUCKET} GROUP BY 1, 2, 3),
+mw AS (SELECT operator_id, ran_type, j + o AS i, sum(c) AS c FROM mv, (SELECT unnest([-2, -1, 0, 1, 2, 3]) AS o) GROUP BY 1, 2, 3),
+gr AS (SELECT operator_id, ran_type, CAST(kk AS BIGINT) AS i, kk * {BUCKET} AS t_s, CAST(floor((t0 + kk * {BUCKET}) / 3600) AS BIGINT) % 24 AS hour FROM (SELECT *, unnest(range(n)) AS kk FROM b0)),
+fl AS (SELECT g.operator_id, g.ran_type, g.i, g.t_s, g.hour, rsrp_mean, sinr_mean, coalesce(n_cells, 0) AS n_cells, coalesce(n_samples, 0) AS n_samples,
+  coalesce(mw.c, 0) / {HOURS} AS ho_rate FROM gr g LEFT JOIN ag USING (operator_id, ran_type, i) LEFT JOIN mw USING (operator_id, ran_type, i))"""
+SEGMENT = ["operator_id", "ran_type"]
 
 
 def fleet(spark, d):
-    seg = drive(spark, d).where("ran_type = 'LTE' AND operator_id = 1")
-    return FL.fleet_streams(seg, BUCKET, HOURS, max_gap=BUCKET, tie="event_id")
+    return FL.fleet_streams(drive(spark, d), BUCKET, HOURS, max_gap=BUCKET, tie="event_id", keys=SEGMENT)
 
 
-@query("x01_fleet_streams", f"WITH {FLEET_SQL} SELECT i, hour, {r('t_s', 'rsrp_mean', 'sinr_mean')}, round(ho_rate, 9) AS ho_rate, n_cells, n_samples FROM fl")
+@query("x01_fleet_streams", f"WITH {FLEET_SQL} SELECT {i('operator_id')}, ran_type, i, hour, {r('t_s', 'rsrp_mean', 'sinr_mean')}, round(ho_rate, 9) AS ho_rate, n_cells, n_samples FROM fl")
 def q_fleet(spark, d):
     f = fleet(spark, d)
     return tidy(f, 9).withColumns({c: F.round(c, 6) for c in ("t_s", "rsrp_mean", "sinr_mean")})
@@ -153,32 +156,34 @@ def q_fleet(spark, d):
 
 @query(
     "d09_fleet_windows",
-    f"WITH {FLEET_SQL}, w AS (SELECT CAST(kk AS BIGINT) AS k FROM b0, range(0, 20000) t(kk) WHERE kk * 2 <= greatest(n - 12, 0)) SELECT k, round(k * 2 * {BUCKET} + {BUCKET * 6}, 6) AS t_center_s, "
+    f"WITH {FLEET_SQL}, w AS (SELECT operator_id, ran_type, unnest(range(greatest(n - 12, 0) // 2 + 1)) AS k FROM b0) SELECT {i('w.operator_id').replace('AS w.', 'AS ')}, w.ran_type, k, round(k * 2 * {BUCKET} + {BUCKET * 6}, 6) AS t_center_s, "
     + ", ".join(f"round(coalesce(avg({c}), 0.0), 8) AS {c}__mean, round(coalesce(stddev_pop({c}), 0.0), 8) AS {c}__std" for c in FL.FLEET)
-    + " FROM w JOIN fl ON fl.i >= k * 2 AND fl.i < k * 2 + 12 GROUP BY k",
+    + " FROM w JOIN fl ON fl.operator_id = w.operator_id AND fl.ran_type = w.ran_type AND fl.i >= k * 2 AND fl.i < k * 2 + 12 GROUP BY ALL",
 )
 def q_fleet_windows(spark, d):
-    return tidy(FL.fleet_windows(materialise(fleet(spark, d), "fleet"), BUCKET, 12 * BUCKET, 2 * BUCKET), 8)
+    return tidy(FL.fleet_windows(materialise(fleet(spark, d), "fleet"), BUCKET, 12 * BUCKET, 2 * BUCKET, SEGMENT), 8)
 
 
 def _anomalies(spark, d):
     f = materialise(fleet(spark, d), "fleet")
-    w = materialise(FL.fleet_windows(f, BUCKET, 12 * BUCKET, 2 * BUCKET), "fleet-windows")
-    return f, materialise(FL.fleet_anomalies(w, train_s=7 * 86400.0), "fleet-scores")
+    w = materialise(FL.fleet_windows(f, BUCKET, 12 * BUCKET, 2 * BUCKET, SEGMENT), "fleet-windows")
+    return f, materialise(FL.fleet_anomalies(w, train_s=7 * 86400.0, keys=SEGMENT), "fleet-scores")
 
 
 @query("d09_fleet_anomalies")
 def q_fleet_anomalies(spark, d):
-    return tidy(_anomalies(spark, d)[1].select("k", "t_center_s", "score", "threshold", "is_train", "flag"))
+    return tidy(_anomalies(spark, d)[1].select(*SEGMENT, "k", "t_center_s", "score", "threshold", "is_train", "flag"))
 
 
 @query("x04_hourly_flags")
 def q_hourly(spark, d):
     f, a = _anomalies(spark, d)
-    return tidy(FL.hourly_counts(a.where("flag = 1"), f, BUCKET))
+    return tidy(FL.hourly_counts(a.where("flag = 1"), f, BUCKET, keys=SEGMENT))
 
 
-HSQL = f"WITH {FLEET_SQL}, q AS (SELECT quantile_cont(n_samples, 0.9) AS t FROM fl), c AS (SELECT hour, count(*) AS n FROM fl, q WHERE n_samples > t GROUP BY 1) SELECT CAST(h AS BIGINT) AS hour, coalesce(n, 0) AS n FROM range(0, 24) t(h) LEFT JOIN c ON c.hour = h"
+HSQL = f"""WITH {FLEET_SQL}, q AS (SELECT operator_id, ran_type, quantile_cont(n_samples, 0.9) AS t FROM fl GROUP BY 1, 2),
+c AS (SELECT operator_id, ran_type, hour, count(*) AS n FROM fl JOIN q USING (operator_id, ran_type) WHERE n_samples > t GROUP BY 1, 2, 3)
+SELECT {i('operator_id')}, ran_type, CAST(hour AS BIGINT) AS hour, coalesce(c.n, 0) AS n FROM (SELECT operator_id, ran_type, unnest(range(24)) AS hour FROM b0) LEFT JOIN c USING (operator_id, ran_type, hour)"""
 
 
 @query("x03_busy_hours", HSQL)
@@ -186,19 +191,19 @@ def q_busy(spark, d):
     from ..operators.scale import grouped_quantiles
 
     f = materialise(fleet(spark, d), "fleet")
-    t = grouped_quantiles(f, [], {"n_samples": {"t": 0.9}}).first()["t"]
-    busy = f.where(F.col("n_samples") > t).select(F.col("t_s").alias("t_center_s"))
-    return tidy(FL.hourly_counts(busy, f, BUCKET))
+    t = grouped_quantiles(f, SEGMENT, {"n_samples": {"t": 0.9}})
+    busy = f.join(t, SEGMENT).where(F.col("n_samples") > F.col("t")).select(*SEGMENT, F.col("t_s").alias("t_center_s"))
+    return tidy(FL.hourly_counts(busy, f, BUCKET, keys=SEGMENT))
 
 
 @query("x04_plausibility")
 def q_plausible(spark, d):
     f, a = _anomalies(spark, d)
     note = "Note: no ground-truth labels available for this feed."
-    return tidy(FL.plausibility(a, FL.hourly_counts(a.where("flag = 1"), f, BUCKET), note))
+    return tidy(FL.plausibility(a, FL.hourly_counts(a.where("flag = 1"), f, BUCKET, keys=SEGMENT), note, keys=SEGMENT))
 
 
 @query("x05_change_points")
 def q_changes(spark, d):
     f = fleet(spark, d).withColumn("ho_rate", F.col("ho_rate") * 3600.0)  # moves per hour
-    return tidy(FL.change_points(materialise(f, "fleet"), lambda: Adwin(delta=0.002), ["rsrp_mean", "sinr_mean", "ho_rate"]))
+    return tidy(FL.change_points(materialise(f, "fleet"), lambda: Adwin(delta=0.002), ["rsrp_mean", "sinr_mean", "ho_rate"], SEGMENT))
