@@ -1,9 +1,12 @@
 """Bootstrap replicates against replicates drawn row by row."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
 from wavegauge.operators import resampling as R
+from wavegauge.operators import calibration as C
 from wavegauge.operators.ranking import bootstrap_ap
 
 REPS = 30
@@ -88,3 +91,34 @@ def test_edges(spark):
     assert len(out) == 5 and all(r["ap"] is None for r in out)
     ci = bootstrap_ap(one_class, ["k"], reps=5).collect()
     assert len(ci) == 1 and ci[0]["ap"] is None and ci[0]["n_valid"] == 0 and ci[0]["ci_low"] is None
+
+
+@pytest.mark.parametrize("prefix", [b"", b"7|click|1|", b"x" * 43, b"y" * 60])
+@pytest.mark.parametrize("block", [0, 1, 4321])
+@pytest.mark.parametrize("most", [3, 1001, R.HASHED])
+def test_md5_heads(prefix, block, most):
+    lo = block * R.HASHED
+    want = [int(hashlib.md5(prefix + b"%d" % j).hexdigest()[:8], 16) for j in range(lo, lo + most)]
+    assert R.md5_heads(prefix, block, most).tolist() == want
+
+
+@pytest.mark.parametrize("cap", [None, 25])
+def test_ks_bootstrap_counts_equal_joined_draws(spark, monkeypatch, cap):
+    g = np.random.default_rng(5)
+    rows = [(k, float(v), int(a)) for k, n in (("a", 80), (None, 45), ("few", 12)) for v, a in zip(np.round(g.normal(0, 1, n), 1), g.random(n) < 0.4)]
+    rows += [("a", float("nan"), 1), ("a", float("inf"), 0), ("a", None, 0)]
+    df = spark.createDataFrame(rows, "g string, v double, a int")
+    shared = sorted(map(tuple, C.ks_bootstrap(df, ["g"], "v", "a", 20, cap).collect()), key=str)
+    monkeypatch.setattr(C, "SHARED_STEPS", 0)
+    assert shared == sorted(map(tuple, C.ks_bootstrap(df, ["g"], "v", "a", 20, cap).collect()), key=str)
+
+
+def test_ks_bootstrap_shuffles_no_draws(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id % 2 as g", "cast(id % 7 as double) as v", "cast(id % 3 = 0 or id % 2 = 1 as int) as a")  # key 1 has one side
+
+    def never(*_, **__):
+        raise AssertionError("draws as rows")
+
+    monkeypatch.setattr(C, "resample_positions", never)
+    got = {r["g"]: r["ks_ci_hi"] for r in C.ks_bootstrap(df, ["g"], "v", "a", 10).collect()}
+    assert got[0] > 0 and got[1] is None

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ranking import resample_positions
-from .scale import dense_position, grouped_quantiles, null_safe_join, prefix_sum
+from .resampling import SHARED_STEPS, replicate_ks
+from .scale import dense_position, fits, grouped_quantiles, null_safe_join, prefix_sum
 
 P3 = {"p10": 0.10, "p50": 0.50, "p90": 0.90}
 
@@ -135,15 +137,23 @@ def ks_p_values(stats: DataFrame) -> DataFrame:
 
 
 def ks_bootstrap(df: DataFrame, keys: list[str], value: str, side: str, reps: int = 200, draw_cap: int | None = None) -> DataFrame:
-    """95 % percentile interval of the KS distance; each resample draws as many rows as a side has, or ``draw_cap`` if given and fewer."""
+    """95 % percentile interval of the KS distance; each resample draws as many rows as a side has, or ``draw_cap`` if given and fewer.
+
+    Draws are counted by distinct value where these fit every task (counted); no draw is shuffled then.
+    """
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.col(side).cast("int").alias("_side"))
     strata = [*keys, "_side"]
+    interval = {"ks": {"ks_ci_lo": 0.025, "ks_ci_hi": 0.975}}
+    salt = F.concat_ws("|", *[F.col(c).cast("string") for c in strata])
+    steps = materialise(d.groupBy(*strata, "_v").agg(F.count(F.lit(1)).alias("n")), "ks-steps")
+    if fits(steps, SHARED_STEPS):
+        return grouped_quantiles(replicate_ks(steps, keys, reps, salt, draw_cap), keys, interval, small=True)
     pos = dense_position(d, strata, "_v")
     sizes = pos.groupBy(*strata).agg(F.max("n").alias("n")).withColumn("_m", F.least(F.col("n"), F.lit(draw_cap).cast("long")))  # NULL, no cap, is ignored
-    picks = resample_positions(sizes, strata, "n", "_m", reps, F.concat_ws("|", *[F.col(c).cast("string") for c in strata]))
+    picks = resample_positions(sizes, strata, "n", "_m", reps, salt)
     hit = null_safe_join(picks, pos.drop("n"), [*strata, "pos"], "inner")
     rep = ks_statistic(hit, [*keys, "rep"], "_v", "_side", weight="picks")
-    return grouped_quantiles(rep, keys, {"ks": {"ks_ci_lo": 0.025, "ks_ci_hi": 0.975}}, small=True)
+    return grouped_quantiles(rep, keys, interval, small=True)
 
 
 def calibration_grid(sim: DataFrame, real: DataFrame, segments: DataFrame, kpis: list[str], group: list[str] | None = None) -> DataFrame:

@@ -12,9 +12,13 @@ gives the same counts.
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scale import largest_group, null_safe_join, place_among
@@ -151,3 +155,127 @@ def replicate_ap(df: DataFrame, keys: list[str], score: str, label: str, reps: i
     both = (F.col("_m1") > 0) & (F.col("_m0") > 0)
     out = out.select("_k", "rep", F.when(both, F.col("_p") / F.col("_m1")).alias("ap"))
     return out.join(d.select("_k", *keys).distinct(), "_k").select(*keys, "rep", "ap")
+
+
+# Draws whose key ends in the same leading digits are hashed together.
+HASHED = 10_000
+_DIGITS = np.frombuffer(b"".join(b"%04d" % i for i in range(HASHED)), np.uint8).reshape(HASHED, 4)
+_SHIFTS = (7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+# Distinct (key, side, value) steps that every task may hold, and tasks among which replicates are dealt.
+SHARED_STEPS, REPLICATE_TASKS = 2_000_000, 256
+
+
+def md5_heads(prefix: bytes, block: int, most: int = HASHED) -> np.ndarray:
+    """First 32 bits of the MD5 of ``prefix`` and a decimal number, for the first ``most`` of the ``HASHED``
+    numbers of a block.
+
+    The keys of a block differ in their last four digits only, so they are hashed in step.
+    """
+    head = prefix + (b"%d" % block if block else b"")
+    size = len(head) + 4
+    one_by_one = lambda lo, hi: np.frombuffer(b"".join(hashlib.md5(prefix + b"%d" % j).digest()[:4] for j in range(lo, hi)), ">u4").astype(np.uint32)
+    if size > 55 or most <= 1000:  # more than one MD5 block, or too few
+        return one_by_one(block * HASHED, block * HASHED + most)
+    padded = np.frombuffer(head + bytes(4) + b"\x80" + bytes(55 - size) + (8 * size).to_bytes(8, "little"), np.uint8)
+    words = list(padded.view("<u4"))
+    first, last = len(head) // 4, (size - 1) // 4
+    own = np.tile(padded[4 * first : 4 * last + 4], (HASHED, 1))
+    own[:, len(head) - 4 * first : size - 4 * first] = _DIGITS
+    for k, w in zip(range(first, last + 1), own.view("<u4").T):
+        words[k] = np.ascontiguousarray(w)
+    a, b, c, d = (np.full(HASHED, x, np.uint32) for x in _START)
+    f, t = np.empty(HASHED, np.uint32), np.empty(HASHED, np.uint32)
+    for i in range(64):
+        kind = i // 16
+        if kind == 0:
+            g = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif kind == 1:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif kind == 2:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            g = 7 * i % 16
+            np.bitwise_not(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        if words[g].ndim:
+            f += words[g]
+            f += np.uint32(_SINES[i])
+        else:
+            f += np.uint32((int(words[g]) + _SINES[i]) & 0xFFFFFFFF)
+        s = _SHIFTS[kind][i % 4]
+        np.right_shift(f, np.uint32(32 - s), out=t)
+        f <<= np.uint32(s)
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    out = (a + np.uint32(_START[0])).byteswap()
+    if not block:
+        out[:1000] = one_by_one(0, 1000)  # numbers of fewer digits
+    return out[:most]
+
+
+def _picks(prefix: bytes, ends: np.ndarray, draws_: int) -> np.ndarray:
+    """How often each step is picked; ``ends`` are the running row counts of the steps."""
+    out = np.zeros(len(ends), np.int64)
+    n, held, waiting = int(ends[-1]), [], 0
+    blocks = -(-draws_ // HASHED)
+    for block in range(blocks):
+        h = md5_heads(prefix, block, min(HASHED, draws_ - block * HASHED))
+        held.append(np.searchsorted(ends, h.astype(np.int64) % n, "right"))
+        waiting += len(h)
+        if waiting >= len(ends) or block == blocks - 1:
+            out += np.bincount(np.concatenate(held), minlength=len(ends))
+            held, waiting = [], 0
+    return out
+
+
+def replicate_ks(steps: DataFrame, keys: list[str], reps: int, salt: Column, draw_cap: int | None = None, min_rows: int = 10) -> DataFrame:
+    """Kolmogorov-Smirnov distance of every replicate: keys, rep, ks (NULL where a side draws fewer than ``min_rows``).
+
+    ``steps`` has keys, _side (0 or 1), _v and n, its row count; the caller has counted them to be at most
+    ``SHARED_STEPS``. They are shared with the tasks, each of which makes whole replicates: a draw is the
+    row at position md5(rep|salt|number) of its side, and only counts by step are kept.
+    """
+    spark = steps.sparkSession
+    named = steps.withColumn("_k", F.to_json(F.struct(*keys)) if keys else F.lit("")).withColumn("_salt", salt)
+    table = named.select("_k", "_salt", "_side", "_v", "n").toPandas()  # counted by the caller
+    names = sorted(set(table["_k"]))
+    if not names:
+        return steps.select(*keys, F.lit(0).alias("rep"), F.lit(None).cast("double").alias("ks")).limit(0)
+    sides = {k: (part["_salt"].iloc[0], part["_v"].to_numpy(float), np.cumsum(part["n"].to_numpy(np.int64))) for k, part in table.sort_values("_v").groupby(["_k", "_side"])}
+    shared = spark.sparkContext.broadcast(sides)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for unit in b["id"].tolist():
+                k, rep = names[unit % len(names)], unit // len(names)
+                both = [shared.value.get((k, side)) for side in (1, 0)]
+                finite = [x[1][np.isfinite(x[1])] if x else np.zeros(0) for x in both]
+                at, share = np.union1d(*finite), []
+                for x, v in zip(both, finite):
+                    if x:
+                        m = int(x[2][-1]) if draw_cap is None else min(int(x[2][-1]), draw_cap)
+                        w = np.zeros(len(at), np.int64)
+                        w[np.searchsorted(at, v)] = _picks(f"{rep}|{x[0]}|".encode(), x[2], m)[np.isfinite(x[1])]
+                        if w.sum() >= min_rows:
+                            share.append(np.cumsum(w) / w.sum())
+                out.append((k, rep, float(np.abs(share[0] - share[1]).max()) if len(share) == 2 else None))
+            yield pd.DataFrame(out, columns=["_k", "rep", "ks"]).astype({"ks": float})
+
+    units = len(names) * reps
+    out = spark.range(0, units, 1, min(units, REPLICATE_TASKS)).mapInPandas(run, "_k string, rep int, ks double")
+    out = out.withColumn("ks", F.when(~F.isnan("ks"), F.col("ks")))
+    return out.join(named.select("_k", *keys).distinct(), "_k").select(*keys, "rep", "ks")
