@@ -43,3 +43,15 @@ def test_names_are_known_without_a_session():
     root = pathlib.Path(__file__).resolve().parents[1]
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
+
+
+def test_drift_phase_ap_covers_the_quiet_phases(spark, sf):
+    """Phases 4 and 9, which hold anomalies and no drift, count besides the drift phases."""
+    from wavegauge.plans import adapter as A
+    from wavegauge.plans.window_queries import scored
+
+    got = entry.queries()["m14_drift_phase_ap"](spark, sf).toPandas()
+    assert compare(got, duck(sf).execute(entry.oracle_sql()["m14_drift_phase_ap"]).fetchdf()) == ""
+    phases = [*A.SCENARIOS, 4, 9]
+    want = {r["detector"]: r["count"] for r in scored(spark, sf).where("score IS NOT NULL").where(f"phase_id IN ({', '.join(map(str, phases))})").groupBy("detector").count().collect()}
+    assert dict(zip(got["detector"], got["n_pos"] + got["n_neg"])) == want
