@@ -88,3 +88,15 @@ def test_update_mode_keeps_the_latest_row_of_every_batch(spark, tmp_path):
     (tmp_path / "none").mkdir()
     empty = U.file_stream(spark, str(tmp_path / "none"), "k long, v double").groupBy("k").agg(F.sum("v").alias("s"))
     assert U.run_available(empty, "complete").count() == 0
+
+
+def test_sample_event_join_by_slots(spark):
+    """Every pair within the span, also across slot borders and before 1970; rows meet by ue and slot, not by ue alone."""
+    times = [-3600, -1801, -1800, -1, 0, 1, 1799, 1800, 1801, 3599, 3600, 3601]
+    s = spark.createDataFrame([(u, i, t, -90.0, "RLF") for u in (1, 2) for i, t in enumerate(times)], "ue_id long, event_id long, t long, rsrp_serving_dbm double, event_type string")
+    s = s.withColumn("ts", F.timestamp_seconds("t"))
+    joined = U.join_samples_events(s, s, "30 MINUTES")
+    want = sorted((u, e, i) for u in (1, 2) for e, a in enumerate(times) for i, b in enumerate(times) if a - 1800 <= b <= a)
+    assert sorted((r["ue_id"], r["event_id"], r["sample_id"]) for r in joined.collect()) == want
+    keys = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ss" in keys and "_es" in keys
