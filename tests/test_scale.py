@@ -158,3 +158,41 @@ def test_chunks_shrink_for_full_keys(spark):
     assert S.largest_group(d.select("k", F.floor(F.col("t") / c).alias("c")), ["k", "c"]) <= 20
     same = d.withColumn("t", F.lit(1.0))
     assert S.fitting_chunk(same, ["k"], "t", 10.0, hot_rows=20) > 0
+
+
+INF = float("inf")
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("small", [True, False])
+def test_interval_totals_equal_the_aggregated_join(spark, closed, small, monkeypatch):
+    from wavegauge.operators import scale
+
+    if not small:
+        monkeypatch.setattr(scale, "HOT_GROUP_ROWS", 5)
+    p = spark.createDataFrame([(1.0, 5), (1.0, None), (2.5, 7), (4.0, -3), (9.0, None), (INF, 2), (-INF, 3), (None, 4)], "t double, k int")
+    i = spark.createDataFrame([(1, 1.0, 2.5), (2, 2.5, 2.5), (3, 4.0, 1.0), (4, 0.0, 4.0), (4, 0.0, 4.0), (5, 8.0, 9.5), (6, -INF, INF), (7, None, 3.0), (8, 20.0, 30.0)], "a int, t0 double, t1 double")
+    want = J.interval_join(p, i, "t", "t0", "t1", closed=closed).groupBy("a").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    got = J.interval_totals(p, i, "t", "t0", "t1", ["k"], closed=closed).groupBy("a").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_overlap_totals_equal_the_aggregated_join(spark):
+    ends = [(0.0, 2.0), (1.0, 1.0), (1.0, 1.0), (2.0, 2.0), (1.0, 4.0), (3.0, 2.0), (-INF, INF), (None, 1.0), (2.0, 5.0)]
+    l = spark.createDataFrame([(b, *x) for b, x in enumerate(ends)], "b long, w0 double, w1 double")
+    r = spark.createDataFrame([(a, *x) for a, x in enumerate(ends)], "a long, t0 double, t1 double")
+    want = J.overlap_join(l, r, "w0", "w1", "t0", "t1").groupBy("a").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    got = J.overlap_totals(l, r, "w0", "w1", "t0", "t1", ["b"]).select("a", "n", "b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["j02_interval_join_binned", "j02_overlap_join_binned"])
+def test_interval_queries_make_no_pairs(spark, sf, monkeypatch, name):
+    import __spark_entry__ as entry
+
+    def never(*_, **__):
+        raise AssertionError("pairs")
+
+    monkeypatch.setattr(J, "interval_join", never)
+    monkeypatch.setattr(J, "overlap_join", never)
+    assert entry.queries()[name](spark, sf).count() > 0

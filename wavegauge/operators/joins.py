@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import BROADCAST_ROWS, fits, fitting_chunk, null_safe_join, place_among
+from ..session import materialise
+from .scale import BROADCAST_ROWS, fits, fitting_chunk, null_safe_join, place_among, prefix_sum
 
 # Up to this many distinct probe times, an as-of join needs no ordering of the looked-up table.
 FEW_PROBES = 127
@@ -168,6 +169,64 @@ def overlap_join(
     return later_left.unionByName(meet(r, r_start, l, l_start, l_end, F.col(r_start) > F.col(l_start)))
 
 
+def _running(rows: DataFrame, at: str, probes: list[DataFrame], weights: dict[str, Column]) -> DataFrame:
+    """Totals of ``weights`` over the rows before each probe time: _p, and for each weight below_ (before),
+    upto_ (before or at) and at_ (at). ``probes`` are one-column tables; every time is one row, so no pair arises."""
+    own = rows.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("double").alias("_p")).agg(*[F.sum(w).alias(c) for c, w in weights.items()])
+    for p in probes:
+        asked = p.select(F.col(p.columns[0]).cast("double").alias("_p")).where("_p IS NOT NULL").distinct()
+        own = own.unionByName(asked.select("_p", *[F.lit(0).cast("long").alias(c) for c in weights]))
+    steps = materialise(own.groupBy("_p").agg(*[F.sum(c).alias(c) for c in weights]), "running")
+    r = prefix_sum(steps, [], "_p", list(weights))
+    return r.select("_p", *[x for c in weights for x in ((F.col(f"cum_{c}") - F.col(c)).alias(f"below_{c}"), F.col(f"cum_{c}").alias(f"upto_{c}"), F.col(c).alias(f"at_{c}"))])
+
+
+def _weights(sums: list[str]) -> dict[str, Column]:
+    """Counts and totals, and how many values are not NULL: a total over NULLs alone is NULL."""
+    out = {"_n": F.lit(1).cast("long")}
+    for i, c in enumerate(sums):
+        out |= {f"_s{i}": F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")), f"_c{i}": F.col(c).isNotNull().cast("long")}
+    return out
+
+
+def _totals(found: DataFrame, columns: list[str], sums: list[str], total) -> DataFrame:
+    out = found.select(*columns, total("_n").alias("n"), *[F.when(total(f"_c{i}") > 0, total(f"_s{i}")).alias(c) for i, c in enumerate(sums)])
+    return out.where("n > 0")
+
+
+def interval_totals(points: DataFrame, intervals: DataFrame, t: str, start: str, end: str, sums: list[str], closed: bool = False) -> DataFrame:
+    """For each interval that holds a point: its columns, the number ``n`` of points and totals of integer columns.
+
+    The same numbers as an aggregate over ``interval_join``, from running totals at both ends, so the work
+    grows with points and intervals and not with the pairs.
+    """
+    a, b = F.col(start), F.col(end)
+    iv = intervals.where(a <= b if closed else a < b)
+    r = materialise(_running(points, t, [iv.select(start), iv.select(end)], _weights(sums)), "totals")
+    lo = r.select(F.col("_p").alias("_lo"), *[F.col(c).alias(f"lo{c}") for c in r.columns if c != "_p"])
+    hi = r.select(F.col("_p").alias("_hi"), *[F.col(c).alias(f"hi{c}") for c in r.columns if c != "_p"])
+    found = iv.join(lo, a.cast("double") == F.col("_lo")).join(hi, b.cast("double") == F.col("_hi"))
+    return _totals(found, intervals.columns, sums, lambda c: F.col(f"hi{'upto' if closed else 'below'}_{c}") - F.col(f"lobelow_{c}"))
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_start: str, r_end: str, sums: list[str]) -> DataFrame:
+    """For each right interval that a left one overlaps: its columns, the number ``n`` of left intervals and totals of
+    integer columns of theirs; the same numbers as an aggregate over ``overlap_join``.
+
+    Those that start before the right end, less those that end by its start. A left interval without length
+    ends in no other one of that kind at the same time, so there it is not taken off.
+    """
+    l, r = left.where(F.col(l_start) <= F.col(l_end)), right.where(F.col(r_start) <= F.col(r_end))
+    w = _weights(sums)
+    empty = F.col(l_start) == F.col(l_end)
+    points = {f"{c}_e": F.when(empty, x).otherwise(F.lit(0).cast("long")) for c, x in w.items()}
+    begun = _running(l, l_start, [r.select(r_end)], w).select(F.col("_p").alias("_hi"), *[f"below_{c}" for c in w])
+    over = _running(l, l_end, [r.select(r_start)], w | points).select(F.col("_p").alias("_lo"), *[f"upto_{c}" for c in w], *[f"at_{c}" for c in points])
+    found = r.join(begun, F.col(r_end).cast("double") == F.col("_hi")).join(over, F.col(r_start).cast("double") == F.col("_lo"))
+    same = F.col(r_start) == F.col(r_end)
+    return _totals(found, right.columns, sums, lambda c: F.col(f"below_{c}") - F.col(f"upto_{c}") + F.when(same, F.col(f"at_{c}_e")).otherwise(F.lit(0).cast("long")))
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
