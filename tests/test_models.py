@@ -200,3 +200,36 @@ def test_replay_checks_its_arguments(spark, bad):
     args = {"columns": COLS, "key": ["id"], "pool_window": 40.0, **bad}
     with pytest.raises(ValueError):
         A.replay(None, None, A.Static(), S.PcaScorer, **args)
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+@pytest.mark.parametrize("n, shift", [(300, 0.0), (300, 1e8), (4, 0.0)])
+def test_nearest_equals_full_ordering(n, shift, skip_self, monkeypatch):
+    """Ties, copies and values far from zero, where products round coarsely; few rows are compared one by one."""
+    g = np.random.default_rng(3)
+    t = np.round(g.normal(0, 1, (n, 6)), 1) + shift
+    t[n // 2 :] = t[: n - n // 2]
+    t_id = g.permutation(n) + 10
+    q, q_id = t[:50], t_id[:50]
+    d2 = np.zeros((len(q), n))
+    for j in range(6):
+        d2 += (q[:, j, None] - t[None, :, j]) ** 2
+    if skip_self:
+        d2[q_id[:, None] == t_id] = np.inf
+    by = np.lexsort((np.broadcast_to(t_id, d2.shape), d2))[:, :5]
+    monkeypatch.setattr(S, "CELLS", 7 * n)
+    ids, dist = S._nearest(q, q_id, t, t_id, 5, skip_self)
+    assert (ids == t_id[by]).all() and (dist == np.sqrt(np.take_along_axis(d2, by, 1))).all()
+
+
+def test_nearest_orders_only_rows_that_may_be_near(monkeypatch):
+    g = np.random.default_rng(4)
+    t, sizes, plain = g.normal(0, 1, (3000, 16)), [], np.lexsort
+
+    def seen(keys):
+        sizes.append(np.size(keys[-1]))
+        return plain(keys)
+
+    monkeypatch.setattr(S.np, "lexsort", seen)
+    S._nearest(t[:100], np.arange(100), t, np.arange(3000), 20, True)
+    assert sum(sizes) <= 100 * 25

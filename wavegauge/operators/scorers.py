@@ -251,22 +251,44 @@ class IsolationForestScorer(Scorer):
 
 # --- local outlier factor ----------------------------------------------------------------------
 
-BLOCK = 4096
+BLOCK = 16_384
+# Distances that are held at a time.
+CELLS = 1 << 22
 
 
 def _nearest(q: np.ndarray, q_id: np.ndarray, t: np.ndarray, t_id: np.ndarray, k: int, skip_self: bool):
-    """k nearest training rows per query row, ties by id."""
+    """k nearest training rows per query row, ties by id.
+
+    Distances from a matrix product single out the rows that may be among the nearest, all those within its
+    rounding error; only these are computed by differences and ordered.
+    """
     out_i, out_d = [], []
-    for s in range(0, len(q), 512):
-        part = q[s : s + 512]
-        d2 = np.zeros((len(part), len(t)))
+    kk = min(k, len(t))
+    t_norm = (t * t).sum(1)
+    rounding = 8 * (q.shape[1] + 4) * np.finfo(float).eps
+    step = max(1, min(512, CELLS // max(len(t), 1)))
+    for s in range(0, len(q), step):
+        part, own = q[s : s + step], q_id[s : s + step]
+        norm = (part * part).sum(1)
+        slack = 2 * rounding * (norm + t_norm.max(initial=0.0))
+        with np.errstate(invalid="ignore", over="ignore"):
+            near = norm[:, None] + t_norm - 2 * (part @ t.T)
+        if skip_self:
+            near[own[:, None] == t_id[None, :]] = np.inf
+        if np.isfinite(slack).all():
+            row, col = np.nonzero(near <= (np.partition(near, kk - 1, 1)[:, kk - 1] + slack)[:, None])
+        else:  # values that are not finite or overflow: every row is compared
+            row, col = (x.ravel() for x in np.indices(near.shape))
+        d2 = np.zeros(len(row))
         for j in range(q.shape[1]):
-            d2 += (part[:, j, None] - t[None, :, j]) ** 2
+            d2 += (part[row, j] - t[col, j]) ** 2
         if skip_self:
-            d2[q_id[s : s + 512, None] == t_id[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(t_id, d2.shape), d2))[:, :k]
-        out_i.append(t_id[order])
-        out_d.append(np.sqrt(np.take_along_axis(d2, order, 1)))
+            d2[own[row] == t_id[col]] = np.inf
+        order = np.lexsort((t_id[col], d2, row))
+        first = np.searchsorted(row, np.arange(len(part)))  # rows ascend
+        order = order[(first[:, None] + np.arange(kk)).ravel()]
+        out_i.append(t_id[col[order]].reshape(-1, kk))
+        out_d.append(np.sqrt(d2[order]).reshape(-1, kk))
     return np.concatenate(out_i), np.concatenate(out_d)
 
 
