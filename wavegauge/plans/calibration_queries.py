@@ -84,7 +84,9 @@ def q_files(spark, d):
         (k % 48).alias("NeighCell RSRQ"),
         F.lit("").alias("Handover Trigger"),
     )
-    base = materialise(base, "sample-files")
+    rows = fresh_path(spark, "sample-files")
+    base.write.partitionBy("ds").parquet(rows)  # each pair of files below reads its own rows only
+    base = spark.read.schema(base.schema).parquet(rows)
     root = fresh_path(spark, "samples-csv")
     globs = []
     for ds in (1, 2, 3):

@@ -81,14 +81,14 @@ def read_sample_files(spark: SparkSession, paths: list[str], decode: bool = True
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    out = nan_to_null(out).dropDuplicates(
-        ["dataset_id", "time_s", "serving_cell_id", "neighbor_cell_id", "rsrp_serving_raw", "rsrp_neighbor_raw"]
-    )
+    every = nan_to_null(out)
     if drop_missing_neighbor:
-        out = out.where(F.col("rsrp_neighbor_raw").isNotNull())
+        every = every.where(F.col("rsrp_neighbor_raw").isNotNull())
+    out = every.dropDuplicates(["dataset_id", "time_s", "serving_cell_id", "neighbor_cell_id", "rsrp_serving_raw", "rsrp_neighbor_raw"])
     if not decode:
         return out
-    coded = out.agg(value_notation("rsrp_serving_raw").alias("n")).first()["n"]
+    # Repeated rows do not change the notation, so one column of the files is read for it and nothing is shuffled.
+    coded = every.agg(value_notation("rsrp_serving_raw").alias("n")).first()["n"]
     if coded == "unknown":
         return out
     rsrp, rsrq = (decode_rsrp, decode_rsrq) if coded == "coded" else (F.col, F.col)
