@@ -233,3 +233,16 @@ def test_nearest_orders_only_rows_that_may_be_near(monkeypatch):
     monkeypatch.setattr(S.np, "lexsort", seen)
     S._nearest(t[:100], np.arange(100), t, np.arange(3000), 20, True)
     assert sum(sizes) <= 100 * 25
+
+
+def test_conformal_margin_computes_residuals_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        n.add(1)
+        return x
+
+    d = spark.range(300).select(F.col("id").cast("double").alias("y"), F.lit(100.0).alias("lo"), F.lit(200.0).alias("hi")).withColumn("y", seen.asNondeterministic()("y"))
+    assert G.conformal_margin(d, "y", "lo", "hi", 0.8).first()["n_calibration"] == 300
+    assert n.value == 300

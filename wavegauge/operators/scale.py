@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # Groups up to this many rows may use an aggregate that buffers the whole group.
 HOT_GROUP_ROWS = 500_000
 # Largest table that is broadcast after its row count was checked.
@@ -169,7 +171,8 @@ def ranked_quantiles(
         *keys,
         F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("_x"),
     ).select(*keys, F.col("_x._c").alias("_c"), F.col("_x._v").alias("_v"))
-    counts = long.where(F.col("_v").isNotNull()).groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("n"))
+    # The running totals read the counts several times: made once, the input is read and its values computed once.
+    counts = materialise(long.where(F.col("_v").isNotNull()).groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("n")), "counts")
     ranked = prefix_sum(counts, [*keys, "_c"], "_v", ["n"], buckets=buckets)
     picks = []
     for c, names in spec.items():

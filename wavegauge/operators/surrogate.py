@@ -150,7 +150,7 @@ def conformal_margin(calibration: DataFrame, actual: str, low: str, high: str, n
     check_nominal([nominal])
     keys = keys or []
     e = calibration.withColumn("_e", F.greatest(F.col(low) - F.col(actual), F.col(actual) - F.col(high))).where(F.col("_e").isNotNull())
-    counts = e.groupBy(*keys, "_e").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(e.groupBy(*keys, "_e").agg(F.count(F.lit(1)).alias("n")), "residuals")  # read several times by the running totals
     r = prefix_sum(counts, keys, "_e", ["n"])
     level = F.least(F.lit(1.0), F.ceil((F.col("tot_n") + 1) * F.lit(nominal)) / F.col("tot_n"))
     h = level * (F.col("tot_n") - 1)

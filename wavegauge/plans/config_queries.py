@@ -130,7 +130,7 @@ def q_conformal(spark, d):
     key = ["l_orderkey", "l_linenumber", "l_partkey"]
     x = A.table(spark, d, "lineitem").select(*key, F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("y"))
     x = x.withColumn("held", S.share(key, "calibration") < 2500)
-    iv = grouped_quantiles(x.where("NOT held"), ["q"], {"y": {"lo": 0.1, "hi": 0.9}})
+    iv = materialise(grouped_quantiles(x.where("NOT held"), ["q"], {"y": {"lo": 0.1, "hi": 0.9}}), "intervals")
     return tidy(S.conformal_margin(x.where("held").join(iv, "q"), "y", "lo", "hi", 0.9 - 0.1), 4)
 
 
