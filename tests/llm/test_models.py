@@ -268,3 +268,16 @@ def test_toxicity_of_odd_tables(edge, nothing, spark):
         assert len(got) == edge.count() and all(0 <= r["score"] <= 1 for r in got)
         assert score_toxicity(nothing, model).count() == 0
     assert score_toxicity(edge, train_toxicity(nothing, labels)).count() == edge.count()
+
+
+def test_toxicity_model_travels_without_untouched_rows():
+    import pickle
+
+    from wavegauge.llm import toxicity as T
+
+    texts = [f"word{i % 9} thing{i % 5} bad" if i % 2 else f"word{i % 9} thing{i % 7} good" for i in range(60)]
+    m = T.fit(texts, np.arange(60) % 2, np.full(60, 1.0))
+    data = pickle.dumps(m)
+    again = pickle.loads(data)
+    assert len(data) < 100_000 and (again.embed == m.embed).all() and again.embed.dtype == m.embed.dtype
+    assert len(pickle.dumps(again)) < 100_000

@@ -56,6 +56,11 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(start, t.start)
 
 
+def _random_rows(rng: np.random.Generator) -> np.ndarray:
+    """The embedding before it has seen any text."""
+    return rng.normal(0, 0.05, ((1 << WORD_BITS) + len(STEMS) * (1 << STEM_BITS), DIM)).astype(np.float32)
+
+
 @dataclass
 class ToxicityModel:
     embed: np.ndarray
@@ -65,6 +70,24 @@ class ToxicityModel:
     scale: float = 1.0
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
+    seed: int | None = None  # of the generator that made the embedding
+
+    def __getstate__(self) -> dict:
+        """Without the embedding rows that no text has touched: the seed gives them again."""
+        if self.seed is None:
+            return self.__dict__
+        fresh = _random_rows(np.random.default_rng(self.seed))
+        fresh[:, 0] = 0
+        own = np.flatnonzero((self.embed != fresh).any(1))
+        return self.__dict__ | {"embed": (own.astype(np.int32), self.embed[own])}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.seed is not None:
+            own, rows = self.embed
+            self.embed = _random_rows(np.random.default_rng(self.seed))
+            self.embed[:, 0] = 0
+            self.embed[own] = rows
 
     def responses(self, f: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word vectors, and each filter's response at every word; words beyond the text count as zero."""
@@ -99,7 +122,7 @@ class ToxicityModel:
 def _start(f: np.ndarray, first: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> ToxicityModel:
     """Small random weights; one dimension begins at the log odds of a feature among the texts, read by one filter."""
     rows = (1 << WORD_BITS) + len(STEMS) * (1 << STEM_BITS)
-    embed = rng.normal(0, 0.05, (rows, DIM)).astype(np.float32)
+    embed = _random_rows(rng)
     toxic, clean = np.zeros(rows), np.zeros(rows)
     for a, b, c in zip(first[:-1], first[1:], y):
         (toxic if c else clean)[np.unique(f[a:b])] += 1
@@ -119,6 +142,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7) -> T
     f = np.concatenate([p[0] for p in parts])
     first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))))
     m = _start(f, first, y, rng)
+    m.seed = seed
     g_embed = np.full(len(m.embed), 1e-2, np.float32)
     g_filters, g_out, g_bias = [np.full_like(w, 1e-2) for w in m.filters], np.full_like(m.out, 1e-2), 1e-2
     for _ in range(EPOCHS):
