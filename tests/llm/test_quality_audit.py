@@ -146,3 +146,13 @@ def test_matrix_holds_every_word_count(spark, edge, monkeypatch):
         for c, n in zip(columns, counts):
             cells[c] += n
     assert sorted(cells.values()) == sorted(totals.values())
+
+
+def test_audit_reads_the_matrix_in_the_process_that_makes_it(spark):
+    """Two Python steps in one stage would hold two processes a task."""
+    from wavegauge.llm import audit
+
+    d = spark.createDataFrame([(1, "a b", "x"), (2, "a b", "x")], "doc_id long, text string, lang string")
+    plan = audit.failed_filters(d)._jdf.queryExecution().executedPlan().toString()
+    last = plan.split("Exchange")[0]
+    assert last.count("MapInArrow") == 1

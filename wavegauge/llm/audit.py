@@ -176,6 +176,11 @@ def _encode(kind: pa.DataType):
 
 
 def document_term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str | None = None) -> DataFrame:
+    """See ``_matrix``: the shards as rows."""
+    return _matrix(docs, key, text, part)
+
+
+def _matrix(docs: DataFrame, key: str, text: str, part: str | None, then=None, schema: str = "") -> DataFrame:
     """Shards of the sparse matrix of word counts, compressed by rows, over one global dictionary.
 
     One row a shard: doc_ids and parts of its documents, row_ends (end of each document's entries), columns
@@ -183,6 +188,9 @@ def document_term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text
     capitals, 2: a symbol) and firsts (the smallest doc_id with the same text). Numbers are little-endian
     arrays in a binary value: row_ends and columns of 64 bits, counts of 32, flags of 8. Words are
     ``[^\\x20\\x09-\\x0D]+``, case-sensitive. Shards hold whole texts of about 2 MB in all.
+
+    ``then`` reads the finished shards in the process that makes them (``schema`` is what it yields): a second
+    process a task, and shards that pass through the JVM between the two, would cost as much memory again.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.coalesce(F.col(part), F.lit("")) if part else F.lit("")).alias("part"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -203,7 +211,10 @@ def document_term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text
     ids = numbered.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("x")).select("shard", F.col("x.ids").alias("ids"))
     firsts = held.join(least, "digest").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("x")).select("shard", F.col("x.first").alias("firsts"))
     rows = local.drop("texts", "holders", "few", "vocabulary").join(firsts, "shard").join(ids, "shard", "left")
-    return rows.mapInArrow(_encode(arrow), f"shard long, {lists}, firsts array<{kind}>")
+    encode = _encode(arrow)
+    if then is None:
+        return rows.mapInArrow(encode, f"shard long, {lists}, firsts array<{kind}>")
+    return rows.mapInArrow(lambda batches: then(encode(batches)), schema)
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +240,8 @@ def failed_filters(docs: DataFrame, key: str = "doc_id", text: str = "text", par
     after the first), NULL parts as the empty string. Rows without doc_id are in no order: they never fail
     E and make no other row fail it. Rows with one doc_id are judged each; equal doc_ids do not fail E.
     """
-    matrix = document_term_matrix(docs, key, text, part)
     kind = docs.schema[key].dataType.simpleString()
-    d = matrix.mapInArrow(_rows_of, f"doc_id {kind}, part string, n_words long, n_distinct long, flags tinyint, first {kind}")
+    d = _matrix(docs, key, text, part, _rows_of, f"doc_id {kind}, part string, n_words long, n_distinct long, flags tinyint, first {kind}")
     fails = [
         F.col("n_words") < MIN_WORDS,
         100 * F.col("n_distinct") < MIN_DISTINCT_PERCENT * F.col("n_words"),
