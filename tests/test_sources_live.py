@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import pathlib
 
 import numpy as np
 import pytest
@@ -8,9 +10,11 @@ from wavegauge.functions import radio as R
 from wavegauge.operators import drift as D
 from wavegauge.plans import adapter as A
 from wavegauge.plans import live_queries as LQ
+from wavegauge.plans import validation_queries as VQ
 from wavegauge.sources import artefacts as S
 from wavegauge.sources import drive_test as DT
 from wavegauge.sources import timeline as T
+from wavegauge.sources.digests import sha256_in_pieces
 from wavegauge.streaming import live as U
 
 
@@ -57,6 +61,39 @@ def test_fingerprints(spark, tmp_path):
     assert S.verify(m.withColumn("sha256", F.lit("0")), files).where("status = 'MISMATCH'").count() == 1
 
 
+def test_fingerprints_of_long_files(spark, tmp_path):
+    """Files beyond the limit of Spark's reader of whole files give the same digests, read in pieces; only packed ones are read whole."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+    texts = {
+        "noise": noise(9999), "feeds": b"\n" * 4000, "no_feed": b"x" * 4000, "mark": b"\xef\xbb\xbf" + noise(3000) + b"\n", "returns": b"a\r\nb\r" * 700,
+        "edges": (b"y" * 999 + b"\n") * 4, "begins": (b"\n" + b"y" * 999) * 4, "a [b]{c}*?": noise(3000), "short": b"z",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.bin").write_bytes(text)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = S.fingerprint(spark, [str(tmp_path)], whole=1000, piece=1000).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {r["path"].rsplit("/", 1)[1]: (r["size"], r["sha256"]) for r in got} == {f"{n}.bin": (len(t), hashlib.sha256(t).hexdigest()) for n, t in texts.items()}
+    packed = gzip.compress(noise(3000))
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "a.gz").write_bytes(packed)
+    assert S.fingerprint(spark, [str(tmp_path / "only")], whole=1000, piece=1000).first()["sha256"] == hashlib.sha256(packed).hexdigest()
+    with pytest.raises(ValueError):
+        sha256_in_pieces(spark, str(tmp_path / "noise.bin"), 9000, 1000)
+
+
+def test_fingerprint_query_reads_files_once(spark, sf):
+    out = VQ.q_fingerprints(spark, sf)
+    assert "binaryFile" not in out._jdf.queryExecution().toString()
+    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in pathlib.Path(sf).glob("*.parquet")}
+    rows = out.collect()
+    assert {r["file"]: (r["size"], r["sha256"]) for r in rows} == want
+    assert {r["file"]: r["status"] for r in rows} == {n: "MISMATCH" if n == "region.parquet" else "OK" for n in want}
+
+
 def test_live_detectors_equal_batch(spark, sf):
     live = LQ.q_live(spark, sf).toPandas()
     t = A.telemetry(spark, sf).select(F.col("event_type").alias("stream_name"), "time_s", F.col("rsrp_serving_dbm").alias("value"))

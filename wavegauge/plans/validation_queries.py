@@ -101,7 +101,7 @@ def q_sinks(spark, d):
 
 @query("s14_fingerprints")
 def q_fingerprints(spark, d):
-    files = S.fingerprint(spark, [d], [".parquet"])
+    files = materialise(S.fingerprint(spark, [d], [".parquet"]), "fingerprints")
     manifest = files.withColumn("sha256", F.when(F.col("path").endswith("region.parquet"), F.lit("0")).otherwise(F.col("sha256")))
     out = S.verify(manifest, files).join(files, "path")
     return out.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "size", "sha256", "status")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scale import null_safe_join
+from .digests import PIECE, UNPACKED, escape_glob, sha256_in_pieces
 
+WHOLE = 64 << 20  # bytes up to which a task reads a file at once
 PIPELINES = ["anomaly", "drift", "adaptive", "demo"]
 SUMMARY_SCHEMA = """
 winning_detector_by_per_type_mean_pr_auc string, winning_detector_by_mean_pr_auc string, winning_detector_by_overall_pr_auc string,
@@ -31,10 +36,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def fingerprint(spark: SparkSession, roots: list[str], extensions: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
+def fingerprint(spark: SparkSession, roots: list[str], extensions: list[str] | None = None, excluded: list[str] | None = None, whole: int = WHOLE, piece: int = PIECE) -> DataFrame:
     """SHA-256 per file below the roots: path, size, sha256.
 
-    Files may be filtered by extension, and dropped when a path component is excluded.
+    Files may be filtered by extension, and dropped when a path component is excluded. Files beyond ``whole`` bytes
+    are read at once, by this call, in pieces of ``piece`` bytes: one file's pieces in turn, different files side by side.
     """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
     if extensions:
@@ -44,7 +50,19 @@ def fingerprint(spark: SparkSession, roots: list[str], extensions: list[str] | N
         d = d.where(ok)
     for part in excluded or []:
         d = d.where(~F.array_contains(F.split("path", "/"), part))
-    return d.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    digest = ["path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")]
+    out = d.where(F.col("length") <= whole).select(*digest)
+    long = [tuple(r) for r in d.where(F.col("length") > whole).select("path", "length").collect()]
+    packed = [path for path, _ in long if path.endswith(UNPACKED)]
+    if packed:
+        out = out.unionByName(spark.read.format("binaryFile").load([escape_glob(p) for p in packed]).select(*digest))
+    long = [(path, size) for path, size in long if not path.endswith(UNPACKED)]
+    if long:
+        with ThreadPoolExecutor(min(len(long), spark.sparkContext.defaultParallelism)) as pool:
+            found = [pool.submit(inheritable_thread_target(spark)(sha256_in_pieces), spark, path, size, piece) for path, size in long]
+            rows = [(path, size, f.result()) for (path, size), f in zip(long, found)]
+        out = out.unionByName(spark.createDataFrame(rows, "path string, size long, sha256 string"))
+    return out
 
 
 def verify(manifest: DataFrame, files: DataFrame) -> DataFrame:
