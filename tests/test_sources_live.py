@@ -137,3 +137,15 @@ def test_sample_event_join_by_slots(spark):
     assert sorted((r["ue_id"], r["event_id"], r["sample_id"]) for r in joined.collect()) == want
     keys = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_ss" in keys and "_es" in keys
+
+
+def test_sample_event_stream_keeps_blocks_and_not_pairs(spark, tmp_path):
+    """What the stream writes grows with the rows; the pairs, as many as in a plain join, are made on reading."""
+    s = spark.range(600).selectExpr("id % 2 AS ue_id", "id AS event_id", "timestamp_seconds(id * 5 + 5) AS ts", "-id / 2D AS rsrp_serving_dbm", "'RLF' AS event_type")
+    s.union(s.selectExpr("NULL", "event_id", "ts", "rsrp_serving_dbm", "event_type").limit(3)).write.parquet(str(tmp_path / "rows"))
+    stream = lambda: U.file_stream(spark, str(tmp_path / "rows"), s.schema)
+    blocks = U.run_available(U.sample_event_blocks(stream(), stream(), "30 MINUTES", "1 hour"))
+    assert blocks.count() < 100
+    got = U.sample_event_pairs(blocks, "30 MINUTES")
+    want = [(e, i, e % 2, "RLF", -i / 2) for e in range(600) for i in range(e % 2, e + 1, 2) if (e - i) * 5 <= 1800]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 50_000
