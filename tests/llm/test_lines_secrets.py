@@ -137,3 +137,30 @@ def test_the_background_is_every_run_in_any_layout(make):
     some = secrets.infer(ordinary[:50])
     assert len(ordinary) > 2000 and (spread.visits(some) == secrets.Listed(ordinary).visits(some)).all()
     assert spread.visits(some)[:, 128].sum() == len(ordinary)
+
+
+def test_automata_grow_from_every_string_in_full(make):
+    """No sample, no most frequent prefixes, no first characters: what differs late, or in many strings, counts."""
+    spark = make(rows("x")).sparkSession
+    late = [b"a" * 300 + b"b" + b"%06d" % i for i in range(400)]
+    wide = [b"%s-%05d" % (bytes([97 + i % 26, 97 + i // 26 % 26, 97 + i // 676 % 26]) * 2, i) for i in range(12_000)]
+    for strings in (late, wide):
+        spread = secrets.Spread(spark.createDataFrame([(x,) for x in strings], "value binary").repartition(5))
+        one, many = secrets.infer(strings), secrets.grown(spread)
+        assert (one.step == many.step).all() and (one.log == many.log).all()
+    a = secrets.infer(late)
+    state = 0
+    for c in late[0][:301]:
+        state = a.step[state, c]
+    assert a.log[state, ord("1")] > -3 > a.log[state, ord("a")]
+
+
+def test_every_labelled_string_is_fitted(make):
+    keys, passwords, words = credentials(3000, seed=2)
+    docs = make(rows(*[f"{w} password={p} {k} text" for w, p, k in zip(words, passwords, keys)]))
+    grammar = secrets.learn_grammar(docs)
+    values = docs.sparkSession.createDataFrame([(k.encode(),) for k in keys], "value binary")
+    fit = [bytes(r["value"]) for r in secrets.Spread(values).parts()[0].runs.collect()]
+    assert 2000 < len(fit) < 2500
+    want = secrets.infer(fit)
+    assert any(a.step.shape == want.step.shape and (a.step == want.step).all() and (a.log == want.log).all() for a in grammar.kinds)
