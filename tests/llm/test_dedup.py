@@ -165,3 +165,33 @@ def test_near_vectors_of_odd_tables(spark):
     assert sorted(map(tuple, near_vectors(df).collect()), key=repr) == sorted([(None, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)], key=repr)
     assert near_vectors(df.limit(0)).count() == 0
     assert near_vectors(df.where("vec_id is null")).count() == 1
+
+
+def test_links_of_a_list_against_all_its_pairs():
+    """Sparse and dense lists, whole and in two blocks: enough shared pivots, ``pivot`` the smallest, and near."""
+    rng = np.random.default_rng(8)
+    for n, spread, blocks in [(2, 0.0, 1), (40, 0.02, 1), (300, 0.3, 1), (300, 0.3, 2), (200, 0.05, 2), (120, 3.0, 1)]:
+        x = vectors(rng, n, 40 if spread > 0.05 else 3, spread)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        orders = np.array([np.append(rng.choice(np.setdiff1d(np.arange(30), [9]), 5, replace=False), 9) for _ in range(n)]).astype(np.int16)
+        blk = rng.integers(0, blocks, n) if n > 2 else np.zeros(n, int)
+        want = np.zeros((n, n), bool)
+        for i in range(n):
+            for j in range(n):
+                both = set(orders[i].tolist()) & set(orders[j].tolist())
+                want[i, j] = i != j and (blocks == 1 or blk[i] != blk[j]) and len(both) >= 2 and min(both) == 9 and x[i] @ x[j] >= 0.9
+        got = pivots.linked(x, orders, blk, 9, 0.9, 2)
+        assert (np.zeros((n, n), bool) if got is None else got).tolist() == want.tolist(), (n, spread, blocks)
+
+
+def test_vectors_travel_in_their_own_precision(spark, monkeypatch):
+    """What the lists are dealt from holds single precision as four bytes a component, with the same links."""
+    held = {}
+    write = pivots.materialise
+    monkeypatch.setattr(pivots, "materialise", lambda df, label: held.setdefault(label, write(df, label)))
+    v = vectors(np.random.default_rng(5), 200, 20, 0.15).astype(np.float32)
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert held["described"].schema["v"].dataType.simpleString() == "array<float>"
+    assert sorted(map(tuple, got)) == brute_vectors(list(range(200)), [x for _, x in rows])
+    assert sum(r["n_links"] for r in got) > 200

@@ -1,10 +1,10 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 A vector is described by its nearest reference vectors (pivots), in order. Each pivot has a list of
-the vectors that name it. Inside a list, the shared pivots of two vectors are counted; a pair that
-shares enough is verified by its cosine, in the list of the smallest pivot it shares, so once. Lists
-of more than a block are compared block by block. A list hands on link counts and the edges that
-span its links, never all its pairs.
+the vectors that name it. Inside a list, a matrix product singles out the pairs that may be near; a pair
+of them that shares enough pivots is verified by its cosine, in the list of the smallest pivot it shares,
+so once. Lists of more than a block are compared block by block. A list hands on link counts and the
+edges that span its links, never all its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ PREFIX, SHARED = 12, 2
 # No two pivots have this cosine: many pivots in one dense spot would be shared by chance only.
 APART = 0.8
 BLOCK = 1024
+# How far single precision may be off; the share of near pairs from which whole matrices are compared.
+ROUNDING, MANY_NEAR = 1e-4, 0.02
 
 
 def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +64,8 @@ def _describe(shared, width: int, prefix: int):
                 near = x @ pivots.T
                 top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
                 order = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1).astype(np.int16)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("weight"), pa.array(order.tolist(), pa.list_(pa.int16())), pa.array([r.tobytes() for r in x], pa.binary())], ["rep", "weight", "pivots", "unit"]
-                )
+                orders = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * keep), pa.array(order.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("weight"), orders, part.column("v")], ["rep", "weight", "pivots", "v"])
 
     return run
 
@@ -93,13 +94,35 @@ def shared_pivots(orders: np.ndarray, pivot: int, above: bool) -> np.ndarray:
     return np.maximum(out, out.T)
 
 
-def linked(x: np.ndarray, candidate: np.ndarray, least: float) -> np.ndarray:
-    """Candidate pairs whose cosine is at least ``least``, as a symmetric matrix."""
-    if candidate.mean() > 0.05:
+def meet(a: np.ndarray, b: np.ndarray, pivot: int, shared: int) -> np.ndarray:
+    """Which pairs of rows share ``shared`` pivots of which ``pivot`` is the smallest."""
+    same = np.array([(b.T == p).any(0) for p in a.T])
+    return (same.sum(0) >= shared) & ~(same & (a.T < pivot)).any(0)
+
+
+def linked(x: np.ndarray, orders: np.ndarray, blk: np.ndarray, pivot: int, least: float, shared: int) -> np.ndarray | None:
+    """Pairs of a list, or of two blocks of it, that share enough pivots and have a cosine of at least ``least``, as a
+    symmetric matrix; None without such a pair.
+
+    Both must hold, so the cheaper test comes first: a product in single precision singles out the pairs whose
+    pivots are counted and whose cosines are taken in double precision. Where many pairs are near, all are tested.
+    """
+    left, right = np.flatnonzero(blk == blk.min()), np.flatnonzero(blk == blk.max())
+    i, j = np.nonzero(x[left].astype(np.float32) @ x[right].astype(np.float32).T >= least - ROUNDING)
+    i, j = left[i], right[j]
+    if left[0] == right[0]:
+        i, j = i[i < j], j[i < j]
+    if not len(i):
+        return None
+    if len(i) > MANY_NEAR * len(left) * len(right):
+        candidate = shared_pivots(orders, pivot, True) + 1 >= shared
+        candidate &= shared_pivots(orders, pivot, False) == 0
+        np.fill_diagonal(candidate, False)
+        if left[0] != right[0]:
+            candidate &= blk[:, None] != blk[None, :]
         return candidate & (x @ x.T >= least)
-    i, j = np.nonzero(np.triu(candidate, 1))
-    ok = np.einsum("ij,ij->i", x[i], x[j]) >= least
-    out = np.zeros_like(candidate)
+    ok = meet(orders[i], orders[j], pivot, shared) & (np.einsum("ij,ij->i", x[i], x[j]) >= least)
+    out = np.zeros((len(x), len(x)), bool)
     out[i[ok], j[ok]] = out[j[ok], i[ok]] = True
     return out
 
@@ -126,21 +149,14 @@ def _search(width: int, least: float, shared: int):
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
             reps, weights, blocks, pivot = (np.asarray(table[c]) for c in ("rep", "weight", "blk", "pivot"))
             orders = np.asarray(table["pivots"].combine_chunks().flatten()).reshape(len(group), -1)
-            units = np.frombuffer(b"".join(table["unit"].combine_chunks().to_pylist()), np.float64).reshape(len(group), width)
+            units, _ = _unit(table["v"], width)
             rows: list[tuple] = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a < 2:
                     continue
-                order, x, p = orders[a:b], units[a:b], int(pivot[a])
-                candidate = shared_pivots(order, p, True) + 1 >= shared
-                candidate &= shared_pivots(order, p, False) == 0
-                np.fill_diagonal(candidate, False)
-                blk = blocks[a:b]
-                if blk.min() != blk.max():
-                    candidate &= blk[:, None] != blk[None, :]
-                if not candidate.any():
+                links = linked(units[a:b], orders[a:b], blocks[a:b], int(pivot[a]), least, shared)
+                if links is None:
                     continue
-                links = linked(x, candidate, least)
                 some = np.flatnonzero(links.any(1))
                 count = links[some] @ weights[a:b]
                 rows += [(int(reps[a + i]), None, int(c)) for i, c in zip(some.tolist(), count.tolist())]
@@ -175,11 +191,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     m = pivots or int(min(max(n // VECTORS_PER_PIVOT, LEAST_PIVOTS), MOST_PIVOTS))
     drawn = classes.orderBy(F.xxhash64("h"), "rep").limit(m).select("v").collect()  # at most MOST_PIVOTS vectors
     reference = spread(_unit(pa.array([r["v"] for r in drawn], pa.list_(pa.float64())), width)[0]) if drawn else np.zeros((1, width))
-    described = classes.select("rep", "weight", "v").mapInArrow(_describe(spark.sparkContext.broadcast(reference), width, prefix), "rep long, weight long, pivots array<short>, unit binary")
+    # Vectors travel as they are given, in single precision where they came so, and are scaled where they are compared.
+    given = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    slim = classes.select("rep", "weight", F.col("v").cast(given).alias("v"))
+    described = slim.mapInArrow(_describe(spark.sparkContext.broadcast(reference), width, prefix), f"rep long, weight long, pivots array<short>, v {given}")
     described = materialise(described, "described")
     posted = described.withColumn("pivot", F.explode("pivots"))
     lists = F.broadcast(described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg((F.count("*") / F.lit(BLOCK)).alias("blocks")))  # a row for each pivot
-    dealt = block_pairs(posted.join(lists, "pivot"), "rep", "blocks").select("pivot", "pair", "blk", "rep", "weight", "pivots", "unit")
+    dealt = block_pairs(posted.join(lists, "pivot"), "rep", "blocks").select("pivot", "pair", "blk", "rep", "weight", "pivots", "v")
     dealt = dealt.repartition(parallelism(vectors), "pivot", "pair").sortWithinPartitions("pivot", "pair", "rep")
     found = materialise(dealt.mapInArrow(_search(width, least, min(shared, len(reference))), "a long, b long, n long"), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
